@@ -6,7 +6,7 @@ import importlib
 
 from palaver.plans import registry
 
-MODULES = ("q_text", "q_rank", "q_messages", "q_activity", "q_corpus", "q_evaluate", "q_sinks", "q_stream")
+MODULES = ("q_text", "q_rank")
 
 
 def _load() -> None:

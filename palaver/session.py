@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+import palaver
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -17,7 +19,11 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings every operator relies on."""
+    """Apply the run-time settings every operator relies on.
+
+    Task functions travel by value, so workers need not have the package.
+    """
+    cloudpickle.register_pickle_by_value(palaver)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
