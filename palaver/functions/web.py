@@ -151,6 +151,22 @@ COMMON_ENTITIES = (
     ("&#39;", "'"),
     ("&apos;", "'"),
     ("&nbsp;", "\u00a0"),
+    ("&copy;", "©"),
+    ("&reg;", "®"),
+    ("&trade;", "™"),
+    ("&middot;", "·"),
+    ("&bull;", "•"),
+    ("&hellip;", "…"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&lsquo;", "‘"),
+    ("&rsquo;", "’"),
+    ("&ldquo;", "“"),
+    ("&rdquo;", "”"),
+    ("&laquo;", "«"),
+    ("&raquo;", "»"),
+    ("&euro;", "€"),
+    ("&#8217;", "’"),
     ("&amp;", "&"),
 )
 

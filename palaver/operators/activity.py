@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import display, lang, web
 from palaver.functions.text import strip
-from palaver.plans.scale import order_stats, position_cont, scalar
+from palaver.plans.scale import order_stats, position_cont, scalar, spread
 
 C = F.col
 
@@ -271,8 +271,8 @@ def word_frequency(df: DataFrame, text: str, k: int = 30) -> DataFrame:
     """
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-zA-ZÀ-ÿ]{3,})"), F.lit(1))
     return (
-        df.select(F.explode(found).alias("word"))
-        .where(~C("word").isin(STOP_WORDS))
+        spread(df.select(text)).select(F.explode_outer(found).alias("word"))
+        .where(C("word").isNotNull() & ~C("word").isin(STOP_WORDS))
         .groupBy("word")
         .agg(F.count("*").alias("n"))
         .orderBy(C("n").desc(), "word")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from palaver.functions.tasks import dense_scan
 from palaver.functions.text import tokenize
 from palaver.operators.activity import metadata_filter
-from palaver.plans.scale import checked_broadcast, scalar
+from palaver.plans.scale import checked_broadcast, scalar, spread
 from palaver.session import cut_lineage
 
 C = F.col
@@ -55,13 +55,14 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     tokens.  Every document contributes a term once, so partial counts combine
     map side and the shuffle carries the vocabulary, not the text.
     """
-    toks = tokenize(C("text"))
     marks = F.transform(
-        F.array_distinct(toks), lambda t: F.struct(t.alias("term"), F.lit(0).cast("bigint").alias("dl"))
+        F.array_distinct("toks"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("bigint").alias("dl"))
     )
-    whole = F.struct(F.lit(None).cast("string").alias("term"), F.size(toks).cast("bigint").alias("dl"))
+    whole = F.struct(F.lit(None).cast("string").alias("term"), F.size("toks").cast("bigint").alias("dl"))
     return (
-        docs.select(F.explode(F.array_append(marks, whole)).alias("m"))
+        spread(docs.select("text"))
+        .select(tokenize(C("text")).alias("toks"))
+        .select(F.explode_outer(F.array_append(marks, whole)).alias("m"))
         .groupBy("m.term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("m.dl").alias("dl"))
     )
@@ -81,7 +82,8 @@ def idf_table(vocab: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid, term, qtf): a repeated query term counts again."""
     return (
-        queries.select("qid", F.explode(tokenize(C("query"))).alias("term"))
+        queries.select("qid", F.explode_outer(tokenize(C("query"))).alias("term"))
+        .where(C("term").isNotNull())
         .groupBy("qid", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -94,9 +96,13 @@ def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     all other tokens drop out during the scan.
     """
     wanted = checked_broadcast(terms.select("term").distinct())
-    toks = docs.select("id", tokenize(C("text")).alias("toks"))
+    toks = spread(docs.select("id", "text")).select("id", tokenize(C("text")).alias("toks"))
     return (
-        toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        # the length is taken before the explode, so the array itself is not
+        # copied into every exploded row; the outer form keeps the optimizer
+        # from adding a size check that would tokenise every text twice
+        toks.select("id", F.size("toks").alias("dl"), "toks")
+        .select("id", "dl", F.explode_outer("toks").alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy("id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -168,7 +174,7 @@ def dense_rank(
     a row.  The filter applies before the cut.  ``skip`` names a query column
     with an id to leave out.
     """
-    stored = vectors.where(metadata_filter(**filters)).select("id", "embedding")
+    stored = spread(vectors.where(metadata_filter(**filters)).select("id", "embedding"))
     cols = ["qid", "embedding"] + ([skip] if skip else [])
     rows = queries.select(*cols).toLocalIterator(prefetchPartitions=True)
     found: DataFrame | None = None

@@ -30,6 +30,47 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on inputs too small to fill them.
+
+    A table of a few row groups is read by a few tasks; when the plan's size
+    estimate is below one full input split per core, the rows are dealt out
+    again.  Larger inputs are left alone: their scan has tasks enough.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < split * cores else df
+
+
+SMALL_PLAN = 64 << 20
+
+
+def small_plan(df: DataFrame) -> bool:
+    """True when the optimizer's size estimate is below SMALL_PLAN bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_PLAN
+
+
+def lookup(
+    big: DataFrame, table: DataFrame, key: str, *, how: str = "left", min_rows: int | None = None
+) -> DataFrame:
+    """Join ``big`` with a table that has one row per ``key``, safe for hot keys.
+
+    Keys that hold more than 1/HOT_SHARE of ``big`` (fewer than HOT_SHARE of
+    them, by pigeonhole) meet their table rows by broadcast, in the tasks where
+    they lie; all other keys take an ordinary shuffle join.
+    """
+    if min_rows is None and small_plan(big):
+        return big.join(table, key, how)
+    found = hot_groups(big.where(F.col(key).isNotNull()), [key], min_rows or HOT_ROWS).collect()
+    if not found:
+        return big.join(table, key, how)
+    is_hot = F.coalesce(F.col(key).isin([r[0] for r in found]), F.lit(False))
+    hot = big.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how)
+    return big.where(~is_hot).join(table.where(~is_hot), key, how).unionByName(hot)
+
+
 def scalar(df: DataFrame, expr: Column) -> Column:
     """One aggregated value as a scalar subquery (no cross join)."""
     return df.agg(expr.alias("_v")).scalar()
@@ -58,7 +99,7 @@ def split_hot(
     by: Sequence[str],
     order: Column,
     *,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
     slices: int = SLICES,
 ) -> DataFrame:
     """Add ``_slice``: 0 for ordinary groups, 0..slices-1 in order for hot ones.
@@ -68,7 +109,9 @@ def split_hot(
     (slice, order value) is the order of the group.
     """
     keyed = df.withColumn("_ord", order)
-    hot = hot_groups(df, by, min_rows)
+    if min_rows is None and small_plan(df):
+        return keyed.withColumn("_slice", F.lit(0)).withColumn("_hot", F.lit(False))
+    hot = hot_groups(df, by, min_rows or HOT_ROWS)
     cuts = (
         keyed.alias("l")
         .join(F.broadcast(hot).alias("r"), equi("l", "r", by), "left_semi")
@@ -121,7 +164,7 @@ def running_sum(
     value: Column,
     name: str,
     *,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per group, in ``order`` (ascending)."""
     sliced = split_hot(df, by, F.col(order[0]), min_rows=min_rows).withColumn("_val", value)
@@ -137,7 +180,7 @@ def running_sum(
 
 
 def row_numbers(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, *, min_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, *, min_rows: int | None = None
 ) -> DataFrame:
     """1-based position per group; hot groups are numbered slice by slice."""
     return running_sum(df, by, order, F.lit(1).cast("bigint"), name, min_rows=min_rows)
@@ -149,7 +192,7 @@ def previous(
     order: Sequence[str],
     cols: Mapping[str, str],
     *,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
 ) -> DataFrame:
     """Add the previous row's values (``{source column: new name}``) per group."""
     sliced = split_hot(df, by, F.col(order[0]), min_rows=min_rows).withColumn(
@@ -195,7 +238,7 @@ def order_stats(
     by: Sequence[str],
     positions: Mapping[str, Position],
     *,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
     **aggs: Column,
 ) -> DataFrame:
     """Exact order statistics per group.

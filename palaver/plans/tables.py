@@ -28,6 +28,13 @@ SELECT conv_id * 10000 + turn AS id, conv_id, turn, role AS sender, text,
        (conv_id * 10000 + turn) % 7 = 0 AS has_file,
        length(text) % 17 AS reaction_count
 FROM conversations""",
+    # the analysis frame: content messages with a topic; turn 3 carries no text
+    "v_frame": """
+SELECT id, conv_id, turn, sender, ts, mtype, has_photo, has_file, reaction_count, reaction_count % 3 AS link_count,
+       CASE WHEN turn = 3 THEN '' ELSE text END AS text,
+       CASE WHEN turn = 3 THEN 0 ELSE length(text) END AS text_length,
+       CASE WHEN sender = 'system' THEN NULL ELSE concat('topic ', CAST(conv_id % 12 AS VARCHAR(10))) END AS topic
+FROM v_messages WHERE mtype = 'message' OR sender = 'system'""",
     "v_turns": """
 SELECT conv_id * 10000 + turn AS id, conv_id AS chat_id, conv_id % 50 AS user_id,
        CAST(turn AS INT) AS turn_idx, role, text AS content,
