@@ -15,9 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-HOT_SHARE = 1000  # a group is hot above 1/1000 of all rows: at most 1000 hot groups
-HOT_ROWS = 1_000_000
-SLICES = 64
+HOT_SHARE = 10_000  # a group is hot above 1/HOT_SHARE of all rows: fewer than HOT_SHARE are
+HOT_ROWS = 1_000_000  # and never below this many rows
+CUTS = 4096  # quantiles taken of a hot group; thinned to what its size needs
+FAN = 64  # cuts are searched in two levels of at most FAN steps
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -66,7 +67,7 @@ def lookup(
     found = hot_groups(big.where(F.col(key).isNotNull()), [key], min_rows or HOT_ROWS).collect()
     if not found:
         return big.join(table, key, how)
-    is_hot = F.coalesce(F.col(key).isin([r[0] for r in found]), F.lit(False))
+    is_hot = F.coalesce(F.col(key).isin([r[key] for r in found]), F.lit(False))
     hot = big.where(is_hot).join(F.broadcast(table.where(is_hot)), key, how)
     return big.where(~is_hot).join(table.where(~is_hot), key, how).unionByName(hot)
 
@@ -84,56 +85,57 @@ def equi(left: str, right: str, cols: Sequence[str]) -> Column:
 
 
 def hot_groups(df: DataFrame, by: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Groups above ``min_rows`` and above 1/HOT_SHARE of all rows.
+    """(by, _parts): groups above ``min_rows`` and above 1/HOT_SHARE of all rows.
 
     By pigeonhole there are fewer than HOT_SHARE of them, which is the proof
-    needed to broadcast the result.
+    needed to broadcast the result.  ``_parts`` is the number of ordinary
+    groups each one is worth; their sum is below 2 * HOT_SHARE.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    total = scalar(df, F.count(F.lit(1)))
-    return sizes.where((F.col("_n") > min_rows) & (F.col("_n") > total / HOT_SHARE)).drop("_n")
+    unit = F.greatest(F.lit(float(min_rows)), scalar(df, F.count(F.lit(1))) / HOT_SHARE)
+    return sizes.where(F.col("_n") > unit).withColumn("_parts", F.ceil(F.col("_n") / unit)).drop("_n")
 
 
-def split_hot(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Column,
-    *,
-    min_rows: int | None = None,
-    slices: int = SLICES,
-) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary groups, 0..slices-1 in order for hot ones.
+def split_hot(df: DataFrame, by: Sequence[str], order: Column, *, min_rows: int | None = None) -> DataFrame:
+    """Add ``_slice``: 0 for ordinary groups, numbered in order for hot ones.
 
     Slice bounds are approximate quantiles (a bounded sketch, combined map
-    side); rows with equal order values always share a slice, so the order of
-    (slice, order value) is the order of the group.
+    side), as many as the size of the group calls for.  Rows with equal order
+    values always share a slice, so (slice, order value) orders a group.
     """
     keyed = df.withColumn("_ord", order)
     if min_rows is None and small_plan(df):
         return keyed.withColumn("_slice", F.lit(0)).withColumn("_hot", F.lit(False))
     hot = hot_groups(df, by, min_rows or HOT_ROWS)
-    cuts = (
+    quantiles = (
         keyed.alias("l")
         .join(F.broadcast(hot).alias("r"), equi("l", "r", by), "left_semi")
         .groupBy(*by)
-        .agg(
-            F.percentile_approx(
-                "_ord", [i / slices for i in range(1, slices)], F.lit(slices * 100)
-            ).alias("_cuts")
-        )
+        .agg(F.percentile_approx("_ord", [i / CUTS for i in range(1, CUTS)], F.lit(4 * CUTS)).alias("_q"))
+    )
+    sized = quantiles.alias("l").join(F.broadcast(hot).alias("r"), equi("l", "r", by)).select("l.*", "r._parts")
+    step = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / F.col("_parts"))).cast("int")
+    thin = sized.withColumn("_step", step).withColumn(
+        "_cuts", F.array_distinct(F.filter("_q", lambda c, i: (i + 1) % F.col("_step") == 0))
+    )
+    rows = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / FAN).cast("int")),
+        lambda j: F.slice("_cuts", j * FAN + 1, FAN),
     )
-    cuts = cuts.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_cuts")
+    tree = thin.where(F.size("_cuts") > 0).select(*[F.col(c).alias(f"_k_{c}") for c in by], rows.alias("_tree"))
     cond = F.lit(True)
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    top = F.size(F.filter("_tree", lambda r: F.element_at(r, -1) < F.col("_ord")))
+    leaf = F.size(F.filter(F.get(F.col("_tree"), F.col("_top")), lambda c: c < F.col("_ord")))
     return (
-        keyed.join(F.broadcast(cuts), cond, "left")
+        keyed.join(F.broadcast(tree), cond, "left")
+        .withColumn("_hot", F.col("_tree").isNotNull())
+        .withColumn("_top", F.when(F.col("_hot"), top))
         .withColumn(
-            "_slice",
-            F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_ord"))), F.lit(0)),
+            "_slice", F.when(F.col("_hot"), F.col("_top") * FAN + F.coalesce(leaf, F.lit(0))).otherwise(F.lit(0))
         )
-        .withColumn("_hot", F.col("_cuts").isNotNull())
-        .drop("_cuts", *[f"_k_{c}" for c in by])
+        .drop("_tree", "_top", *[f"_k_{c}" for c in by])
     )
 
 
@@ -142,7 +144,7 @@ def _sorted_window(by: Sequence[str], order: Sequence[Column]):
 
 
 def _hot_slices(sliced: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
-    """Per-slice aggregates of the hot groups: < HOT_SHARE * SLICES rows."""
+    """Per-slice aggregates of the hot groups: at most 3 * HOT_SHARE rows."""
     return (
         sliced.where("_hot").groupBy(*by, "_slice").agg(*[c.alias(n) for n, c in aggs.items()])
     )

@@ -100,7 +100,7 @@ FROM v_item_vectors i JOIN v_queries q ON q.qid = i.qid WHERE q.category = 'mult
     "v_link_messages": """
 SELECT m.id, m.conv_id, m.turn, m.sender, m.reply_to, m.mtype, m.ts, m.has_photo, m.has_file,
        concat(m.text, ' (see ', p.url, '), again ', p.url, '.') AS text
-FROM (SELECT *, id % (SELECT count(*) FROM pages) AS pid FROM v_messages) m
+FROM (SELECT *, (conv_id * 8 + turn) % (SELECT count(*) FROM pages) AS pid FROM v_messages) m
 JOIN pages p ON p.page_id = m.pid""",
     # one composed answer per document: cites itself, its neighbour and an
     # unknown id; its retrieved sources are the first two
