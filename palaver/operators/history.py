@@ -256,7 +256,7 @@ def _accept(pdf: pd.DataFrame, cooldown: int) -> pd.DataFrame:
 
 
 def cooldown_filter(
-    events: DataFrame, seconds: float, block_hours: float = 24.0, *, min_rows: int | None = None
+    events: DataFrame, seconds: float, block_hours: float = 720.0, *, min_rows: int | None = None
 ) -> DataFrame:
     """(event_id, user_id) of accepted events: at least ``seconds`` after the
     last accepted one of the user; a rejected one does not move the clock.

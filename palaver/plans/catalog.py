@@ -6,7 +6,7 @@ import importlib
 
 from palaver.plans import registry
 
-MODULES = ("q_text", "q_rank", "q_corpus", "q_messages", "q_activity")
+MODULES = ("q_text", "q_rank", "q_corpus", "q_messages", "q_activity", "q_evaluate")
 
 
 def _load() -> None:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palaver.session import cut_lineage
+
 BROADCAST_ROWS = 200_000
 HOT_SHARE = 10_000  # a group is hot above 1/HOT_SHARE of all rows: fewer than HOT_SHARE are
 HOT_ROWS = 1_000_000  # and never below this many rows
@@ -92,7 +94,7 @@ def hot_groups(df: DataFrame, by: Sequence[str], min_rows: int = HOT_ROWS) -> Da
     groups each one is worth; their sum is below 2 * HOT_SHARE.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    unit = F.greatest(F.lit(float(min_rows)), scalar(df, F.count(F.lit(1))) / HOT_SHARE)
+    unit = F.greatest(F.lit(float(min_rows)), scalar(sizes, F.sum("_n")) / HOT_SHARE)
     return sizes.where(F.col("_n") > unit).withColumn("_parts", F.ceil(F.col("_n") / unit)).drop("_n")
 
 
@@ -104,9 +106,17 @@ def split_hot(df: DataFrame, by: Sequence[str], order: Column, *, min_rows: int
     values always share a slice, so (slice, order value) orders a group.
     """
     keyed = df.withColumn("_ord", order)
+    whole = keyed.withColumn("_slice", F.lit(0)).withColumn("_hot", F.lit(False))
     if min_rows is None and small_plan(df):
-        return keyed.withColumn("_slice", F.lit(0)).withColumn("_hot", F.lit(False))
-    hot = hot_groups(df, by, min_rows or HOT_ROWS)
+        return whole
+    # one pass that counts per group; its result has fewer than HOT_SHARE rows,
+    # so it may come to the driver, and mostly it is empty: then the input is
+    # referenced once and steps can follow each other without plans doubling
+    found = hot_groups(df, by, min_rows or HOT_ROWS)
+    rows = found.collect()
+    if not rows:
+        return whole
+    hot = df.sparkSession.createDataFrame(rows, found.schema)
     quantiles = (
         keyed.alias("l")
         .join(F.broadcast(hot).alias("r"), equi("l", "r", by), "left_semi")
@@ -118,11 +128,13 @@ def split_hot(df: DataFrame, by: Sequence[str], order: Column, *, min_rows: int
     thin = sized.withColumn("_step", step).withColumn(
         "_cuts", F.array_distinct(F.filter("_q", lambda c, i: (i + 1) % F.col("_step") == 0))
     )
-    rows = F.transform(
+    branches = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / FAN).cast("int")),
         lambda j: F.slice("_cuts", j * FAN + 1, FAN),
     )
-    tree = thin.where(F.size("_cuts") > 0).select(*[F.col(c).alias(f"_k_{c}") for c in by], rows.alias("_tree"))
+    tree = cut_lineage(
+        thin.where(F.size("_cuts") > 0).select(*[F.col(c).alias(f"_k_{c}") for c in by], branches.alias("_tree"))
+    )
     cond = F.lit(True)
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
