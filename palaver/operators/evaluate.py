@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from palaver.functions import text as tx
 from palaver.operators.activity import count_if
 from palaver.plans.scale import order_stats, position_cont, position_exclusive, position_floor, position_round, running_sum, scalar
+from palaver.session import cut_lineage
 
 C = F.col
 
@@ -164,7 +165,8 @@ def threshold_sweep(run: DataFrame) -> DataFrame:
     Every seen score is a candidate.  Running counts over the distinct scores
     give both rates, so candidates and scores are never paired.
     """
-    counts = _split_scores(run).withColumn("_g", F.lit(0))
+    # one row per distinct score; every later step reads it
+    counts = cut_lineage(_split_scores(run).withColumn("_g", F.lit(0)))
     n_pos, n_neg = scalar(counts, F.sum("pos")), scalar(counts, F.sum("neg"))
     both = running_sum(running_sum(counts, ["_g"], ["score"], C("pos"), "_cp"), ["_g"], ["score"], C("neg"), "_cn")
     tp = (n_pos - (C("_cp") - C("pos"))) / n_pos
@@ -178,7 +180,7 @@ def threshold_sweep(run: DataFrame) -> DataFrame:
 
 
 def threshold_tradeoffs(run: DataFrame, thresholds: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5)) -> DataFrame:
-    counts = _split_scores(run)
+    counts = cut_lineage(_split_scores(run))
     at = counts.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
     above = C("score") >= C("threshold")
     return at.groupBy("threshold").agg(

@@ -6,7 +6,9 @@ import importlib
 
 from palaver.plans import registry
 
-MODULES = ("q_text", "q_rank", "q_corpus", "q_messages", "q_activity", "q_evaluate")
+MODULES = (
+    "q_text", "q_rank", "q_corpus", "q_messages", "q_activity", "q_evaluate", "q_sinks", "q_stream",
+)
 
 
 def _load() -> None:

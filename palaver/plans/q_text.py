@@ -182,12 +182,13 @@ def unescape_sql(e: str) -> str:
     return e
 
 
-def html_sql(e: str) -> str:
+def html_sql(e: str, decode: int = 1) -> str:
     for tag in ("script", "style", "iframe", "noscript"):
         e = rf"regexp_replace({e}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
     e = rf"regexp_replace({e}, '(?s)<!--.*?-->', '', 'g')"
     e = rf"regexp_replace({e}, '<[!/A-Za-z][^>]*>', chr(10), 'g')"
-    e = unescape_sql(e)
+    for _ in range(decode):
+        e = unescape_sql(e)
     e = rf"regexp_replace({e}, '\r\n?', chr(10), 'g')"
     e = rf"regexp_replace({e}, '[ \t\f\x{{00a0}}]+\n', chr(10), 'g')"
     e = rf"regexp_replace({e}, '\n{{3,}}', chr(10) || chr(10), 'g')"

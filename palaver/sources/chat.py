@@ -79,14 +79,14 @@ def reaction_sum(reactions: Column) -> Column:
     return F.coalesce(total, F.lit(0))
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of the first chat of each export file.
+def read_export(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
+    """Messages of the first chat of each export.
 
     One export is one JSON document and therefore one task; a corpus of many
-    exports is spread file by file.
+    exports is spread file by file, or line by line with ``one_per_line``.
     """
     schema = f"chats struct<list:array<struct<name:string,type:string,id:bigint,messages:array<{MESSAGE_SCHEMA}>>>>"
-    raw = spark.read.json(path, multiLine=True, schema=schema)
+    raw = spark.read.json(path, multiLine=not one_per_line, schema=schema)
     first = F.get(F.col("chats.list"), F.lit(0))
     return raw.select(F.explode(first["messages"]).alias("m")).select("m.*")
 

@@ -89,14 +89,15 @@ def read_scraped(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def manifest_rows(raw: DataFrame, json: str = "value") -> DataFrame:
-    """Rows of a map-shaped manifest, one per canonical url; entries that are
-    not objects are dropped, a later entry replaces an earlier one."""
+def manifest_rows(raw: DataFrame, json: str = "value", order: str | None = None) -> DataFrame:
+    """Rows of map-shaped manifests, one per canonical url; entries that are
+    not objects are dropped, a later entry replaces an earlier one.  ``order``
+    ranks several manifests."""
     loose = F.from_json(json, "map<string,string>")
     entry = F.from_json("text", MANIFEST_SCHEMA.replace("map<string,", "", 1)[:-1])
     rows = (
-        raw.select(F.posexplode(F.map_entries(loose)).alias("pos", "e"))
-        .select("pos", web.canonical_url(C("e.key")).alias("url"), C("e.value").alias("text"))
+        raw.select((C(order) if order else F.lit(0)).alias("o"), F.posexplode(F.map_entries(loose)).alias("p", "e"))
+        .select(F.struct("o", "p").alias("pos"), web.canonical_url(C("e.key")).alias("url"), C("e.value").alias("text"))
         .where(F.ltrim(F.coalesce("text", F.lit(""))).startswith("{"))
         .select("pos", "url", entry.alias("entry"))
     )

@@ -1,19 +1,104 @@
-"""Stateless streams and per-batch merges."""
+"""Stateless streams, joins of streams and per-batch merges."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions.text import redact_secrets
 from palaver.operators.activity import log_keep
+from palaver.session import scratch_table
 
 C = F.col
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """One of the tables as a file stream."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drain a stream into a Parquet table of the shared folder and read it."""
+    spark = df.sparkSession
+    path = scratch_table(spark, name)
+    query = (
+        df.writeStream.outputMode(mode).format("parquet").option("path", path)
+        .option("checkpointLocation", scratch_table(spark, f"{name}-log")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def log_rows(records: DataFrame) -> DataFrame:
     """Log records worth keeping: noise dropped, credentials hidden, level cut."""
     return records.where(log_keep()).select(
         "id", "ts", F.substring("level", 1, 16).alias("level"), "logger",
         F.coalesce(redact_secrets(C("message")), F.lit("")).alias("message"),
     )
+
+
+def message_stream(records: DataFrame, delay: str = "1 day", ts: str = "ts") -> DataFrame:
+    """New messages, each id once within the watermark."""
+    return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
+
+
+def answer_votes(answers: DataFrame, votes: DataFrame, within: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """Answers with the votes that follow within a time; answers without a vote
+    appear once no vote can come any more.
+
+    ``answers`` = (chat_id, message_id, ts), ``votes`` = (chat_id, message_id,
+    rating, created_at).
+    """
+    a = answers.withWatermark("ts", delay).alias("a")
+    v = votes.withWatermark("created_at", delay).alias("v")
+    cond = F.expr(
+        "a.chat_id = v.chat_id AND a.message_id = v.message_id "
+        f"AND v.created_at >= a.ts AND v.created_at <= a.ts + INTERVAL {within}"
+    )
+    return a.join(v, cond, "left_outer").select("a.chat_id", "a.message_id", "a.ts", "v.rating", "v.created_at")
+
+
+def registry_merge(state: str):
+    """``foreachBatch`` function that folds events into a table of users.
+
+    Counters add up, the last activity advances.  Each batch writes the next
+    version of the table and then moves the pointer, so a batch that is run
+    again after a failure starts from the version before it.
+    """
+    schema = "user_id bigint, query_count bigint, joined_at timestamp, last_active_at timestamp"
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        new = batch.groupBy("user_id").agg(
+            F.count("*").alias("query_count"), F.min("ts").alias("joined_at"), F.max("ts").alias("last_active_at")
+        )
+        before = spark.read.schema(schema).parquet(f"{state}/epoch={epoch - 1}") if epoch else spark.createDataFrame([], schema)
+        merged = before.unionByName(new).groupBy("user_id").agg(
+            F.sum("query_count").alias("query_count"), F.min("joined_at").alias("joined_at"), F.max("last_active_at").alias("last_active_at")
+        )
+        merged.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+
+    return merge
+
+
+def user_registry(events: DataFrame) -> DataFrame:
+    """Run the registry over a stream of (user_id, ts) and return the last table."""
+    spark = events.sparkSession
+    state = scratch_table(spark, "users")
+    query = (
+        events.writeStream.foreachBatch(registry_merge(state))
+        .option("checkpointLocation", scratch_table(spark, "users-log")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    table = spark.read.parquet(state)
+    last = table.agg(F.max("epoch")).scalar()
+    return table.where(C("epoch") == last).drop("epoch")
+
+
+def prune_old(oplog: DataFrame, now, days: int = 30) -> DataFrame:
+    """Rows young enough to keep; write the result as the next version."""
+    return oplog.where(C("ts") >= now - F.make_dt_interval(days=F.lit(days)))
