@@ -42,7 +42,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = plan_bytes(df)
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(cores) if size < split * cores else df
 
@@ -50,9 +50,17 @@ def spread(df: DataFrame) -> DataFrame:
 SMALL_PLAN = 64 << 20
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; nothing runs for it."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # joins of joins: a number too long to convert
+        return 1 << 62
+
+
 def small_plan(df: DataFrame) -> bool:
     """True when the optimizer's size estimate is below SMALL_PLAN bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_PLAN
+    return plan_bytes(df) < SMALL_PLAN
 
 
 def lookup(

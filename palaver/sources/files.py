@@ -114,7 +114,9 @@ def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     try:
         return spark.read.json(path, multiLine=True, schema=schema)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palaver.operators.corpus import index_delta
 from palaver.operators.history import number_turns
@@ -15,10 +16,13 @@ from palaver.plans.scale import scalar
 C = F.col
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The table, or no rows when it does not exist yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -30,7 +34,7 @@ def new_messages(incoming: DataFrame, stored: DataFrame, limit: int | None = Non
 
 
 def append_messages(incoming: DataFrame, path: str, limit: int | None = None) -> None:
-    stored = read_or_empty(incoming.sparkSession, path, incoming.schema.simpleString()[7:-1])
+    stored = read_or_empty(incoming.sparkSession, path, incoming.schema)
     new_messages(incoming, stored, limit).write.mode("append").parquet(path)
 
 
