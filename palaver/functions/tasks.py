@@ -53,3 +53,71 @@ def dense_scan(
             )
 
     return run
+
+
+def slice_transitions(cooldown: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """First accepted event of a slice -> last accepted event of the slice, for
+    every event that can be the first one; runs with a common exit keep their
+    last entry."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts = np.sort(pdf["us"].to_numpy())
+        after = np.searchsorted(ts, ts + cooldown, side="left")
+        leave = ts.copy()
+        for i in range(len(ts) - 1, -1, -1):
+            if after[i] < len(ts):
+                leave[i] = leave[after[i]]
+        # the last event accepted before the slice is older than its first event
+        n = min(int(after[0]) + 1, len(ts))
+        keep = np.append(leave[1:n] != leave[: n - 1], True)
+        return pd.DataFrame(
+            {
+                "user_id": pdf["user_id"].iloc[0],
+                "slice": pdf["slice"].iloc[0],
+                "entry": ts[:n][keep],
+                "exit": leave[:n][keep],
+                "final": ts[-1],
+            }
+        )
+
+    return run
+
+
+def walk_slices(cooldown: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Time of the last accepted event before each slice of one user."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, last = [], None
+        for number, rows in pdf.sort_values(["slice", "entry"]).groupby("slice", sort=True):
+            out.append((pdf["user_id"].iloc[0], number, last))
+            free = rows["entry"].iloc[0] if last is None else last + cooldown
+            if free <= rows["final"].iloc[0]:
+                at = int(rows["entry"].searchsorted(free, side="left"))
+                last = int(rows["exit"].iloc[at])
+        return pd.DataFrame(out, columns=["user_id", "slice", "last"]).astype({"last": "Int64"})
+
+    return run
+
+
+def accept_spaced(cooldown: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Accepted events of rows sorted by (user, slice, time); ``last`` is the
+    last event accepted before the slice, if any."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free = None, None
+        for pdf in batches:
+            keep = np.zeros(len(pdf), dtype=bool)
+            befores = pdf["last"].astype("Int64")
+            known = befores.notna().to_numpy()
+            lasts = befores.fillna(0).to_numpy(dtype=np.int64)
+            rows = zip(pdf["user_id"].to_numpy(), pdf["slice"].to_numpy(), pdf["us"].to_numpy())
+            for i, (user, part, us) in enumerate(rows):
+                if (user, part) != key:
+                    key = (user, part)
+                    free = lasts[i] + cooldown if known[i] else us
+                if us >= free:
+                    keep[i] = True
+                    free = us + cooldown
+            yield pdf.loc[keep, ["event_id", "user_id"]]
+
+    return run

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palaver.functions import lang, web
 from palaver.functions import text as tx
 from palaver.plans.scale import lookup, spread
+from palaver.session import cut_lineage
 
 C = F.col
 
@@ -159,11 +160,14 @@ def link_enrich(messages: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def page_index(pages: DataFrame) -> DataFrame:
-    """(url, title, body) per canonical address; the latest page wins."""
+    """(url, title, body) per canonical address; the latest page wins.
+
+    The extracted texts are written once: every user reads them several times.
+    """
     canon = pages.select("page_id", web.canonical_url(C("url")).alias("url"), "html")
     latest = canon.groupBy("url").agg(F.max_by("html", "page_id").alias("html"))
-    return spread(latest).select(
-        "url", web.html_title(C("html")).alias("title"), web.strip_html(C("html")).alias("body")
+    return cut_lineage(
+        spread(latest).select("url", web.html_title(C("html")).alias("title"), web.strip_html(C("html")).alias("body"))
     )
 
 

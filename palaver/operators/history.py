@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palaver.functions.tasks import accept_spaced, slice_transitions, walk_slices
 from palaver.operators.activity import visible_turn
-from palaver.plans.scale import previous, row_numbers, running_sum, split_hot
+from palaver.plans.scale import previous, python_tasks, row_numbers, running_sum, split_hot
 
 C = F.col
 
@@ -202,92 +202,28 @@ def streaks(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFra
 # --- cooldown ------------------------------------------------------------------------------------
 
 
-def _transitions(pdf: pd.DataFrame, cooldown: int) -> pd.DataFrame:
-    """First accepted event of a block -> last accepted event of the block, for
-    every event that can be the first one."""
-    import numpy as np
-
-    ts = np.sort(pdf["us"].to_numpy())
-    nxt = np.searchsorted(ts, ts + cooldown, side="left")
-    last = ts.copy()
-    for i in range(len(ts) - 1, -1, -1):
-        if nxt[i] < len(ts):
-            last[i] = last[nxt[i]]
-    # the last event accepted before the block is older than its first event
-    entries = min(int(np.searchsorted(ts, ts[0] + cooldown, side="left")) + 1, len(ts))
-    keep = np.concatenate([last[1:entries] != last[: entries - 1], [True]])
-    return pd.DataFrame(
-        {
-            "user_id": pdf["user_id"].iloc[0],
-            "block": pdf["block"].iloc[0],
-            "entry": ts[:entries][keep],
-            "exit": last[:entries][keep],
-            "final": ts[-1],
-        }
-    )
-
-
-def _carry(pdf: pd.DataFrame, cooldown: int) -> pd.DataFrame:
-    """Time of the last accepted event before each block of one user."""
-    out, free, carried = [], None, None
-    for block, rows in pdf.sort_values(["block", "entry"]).groupby("block", sort=True):
-        out.append((pdf["user_id"].iloc[0], block, carried))
-        entry, leave = rows["entry"].to_numpy(), rows["exit"].to_numpy()
-        if free is None or free <= rows["final"].iloc[0]:
-            # entries are the last ones of a stretch with a common exit
-            at = 0 if free is None else entry.searchsorted(free, side="left")
-            carried = int(leave[min(at, len(leave) - 1)])
-            free = carried + cooldown
-    return pd.DataFrame(out, columns=["user_id", "block", "last"]).astype({"last": "Int64"})
-
-
-def _accept(pdf: pd.DataFrame, cooldown: int) -> pd.DataFrame:
-    """Accepted events of one block, given the last one accepted before it."""
-    pdf = pdf.sort_values(["us", "event_id"])
-    last = pdf["last"].iloc[0]
-    free = None if pd.isna(last) else int(last) + cooldown
-    keep = []
-    for us in pdf["us"].to_numpy():
-        ok = free is None or us >= free
-        keep.append(ok)
-        if ok:
-            free = us + cooldown
-    return pdf.loc[keep, ["event_id", "user_id"]]
-
-
-def cooldown_filter(
-    events: DataFrame, seconds: float, block_hours: float = 720.0, *, min_rows: int | None = None
-) -> DataFrame:
+def cooldown_filter(events: DataFrame, seconds: float, *, min_rows: int | None = None) -> DataFrame:
     """(event_id, user_id) of accepted events: at least ``seconds`` after the
     last accepted one of the user; a rejected one does not move the clock.
 
-    The chain is sequential per user, so each user is cut into time blocks, and
-    the blocks of hot users into slices.  A block is summarised by where a chain
-    that enters it must leave it (an entry can only lie in its first
-    ``seconds``); the short summaries are walked per user, and every block is
-    then decided on its own.
+    Rows stream through the tasks in order of user and time, one row of state
+    at a time.  A hot user is cut into time slices: each slice is summarised by
+    where a chain that enters it must leave it (an entry can only lie in its
+    first ``seconds``), the short summaries are walked per user, and then every
+    slice is decided on its own, knowing the last event accepted before it.
     """
     cooldown = int(seconds * 1_000_000)
-    width = max(int(block_hours * 3_600_000_000), cooldown)
     us = F.unix_micros(C("ts").cast("timestamp"))
     rows = split_hot(events.select("event_id", "user_id", us.alias("us")), ["user_id"], C("us"), min_rows=min_rows)
-    rows = rows.select("event_id", "user_id", "us", (C("_slice") * 1_000_000 + F.floor(C("us") / width)).alias("block"))
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _transitions(pdf, cooldown)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _carry(pdf, cooldown)
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _accept(pdf, cooldown)
-
-    steps = rows.select("user_id", "block", "us").groupBy("user_id", "block").applyInPandas(
-        summarise, "user_id bigint, block bigint, entry bigint, exit bigint, final bigint"
+    rows = rows.select("event_id", "user_id", "us", C("_slice").alias("slice"), "_hot")
+    steps = (
+        rows.where("_hot").groupBy("user_id", "slice")
+        .applyInPandas(slice_transitions(cooldown), "user_id bigint, slice int, entry bigint, exit bigint, final bigint")
     )
-    carried = steps.groupBy("user_id").applyInPandas(walk, "user_id bigint, block bigint, last bigint")
-    return rows.join(carried, ["user_id", "block"]).groupBy("user_id", "block").applyInPandas(
-        decide, "event_id bigint, user_id bigint"
+    carried = steps.groupBy("user_id").applyInPandas(walk_slices(cooldown), "user_id bigint, slice int, last bigint")
+    ordered = python_tasks(rows.drop("_hot").join(F.broadcast(carried), ["user_id", "slice"], "left"), "user_id", "slice")
+    return ordered.sortWithinPartitions("user_id", "slice", "us", "event_id").mapInPandas(
+        accept_spaced(cooldown), "event_id bigint, user_id bigint"
     )
 
 

@@ -245,9 +245,10 @@ def max_dense_score(dense: DataFrame) -> DataFrame:
 def materialise(pool: DataFrame, dense: DataFrame, corpus: DataFrame) -> DataFrame:
     """Attach dense score (0.0 if only lexical) and the corpus columns.
 
-    The pool holds a fixed number of rows per query, so it is the small side.
+    The pool holds a fixed number of rows per query, so it is the small side;
+    it is written once, which also tells its size.
     """
-    scored = pool.join(dense, ["qid", "id"], "left").withColumn("dense_score", F.coalesce("dense_score", F.lit(0.0)))
+    scored = cut_lineage(pool.join(dense, ["qid", "id"], "left").withColumn("dense_score", F.coalesce("dense_score", F.lit(0.0))))
     return corpus.join(checked_broadcast(scored), "id")
 
 
@@ -314,18 +315,23 @@ def hybrid_search(
     """
     n = max(PER_RANKER, pool, k)
     texts = queries.select("qid", "query")
-    lexical: list[tuple[str, DataFrame]]
     if variants is None:
-        lexical = [("lexical", bm25_rank(corpus, texts, n, vocab=vocab, **filters))]
+        lexical = bm25_rank(corpus, texts, n, vocab=vocab, **filters)
     else:
         # one job for all wordings: a composite query number, split again below
         width = 1000
         tagged = variants.select((C("qid") * width + C("variant")).alias("qid"), "query")
-        ranked = bm25_rank(corpus, tagged, n, vocab=vocab, **filters)
-        lexical = [("lexical", ranked.withColumn("qid", F.floor(C("qid") / width)))]
+        found = bm25_rank(corpus, tagged, n, vocab=vocab, **filters)
+        lexical = found.withColumn("qid", F.floor(C("qid") / width))
     dense = dense_rank(vectors, query_vectors, n, **filters)
-    fused = rrf_fuse(ranking_union(*lexical, ("dense", dense)), pool)
-    hits = materialise(fused, max_dense_score(dense), corpus)
+    # n rows per query and ranker, read twice below
+    ranked = cut_lineage(
+        lexical.select("qid", F.lit("lexical").alias("ranker"), "id", "rank", "score").unionByName(
+            dense.select("qid", F.lit("dense").alias("ranker"), "id", "rank", "score")
+        )
+    )
+    strongest = max_dense_score(ranked.where("ranker = 'dense'"))
+    hits = materialise(rrf_fuse(ranked, pool), strongest, corpus)
     if rerank:
         hits = rescore(hits, texts, "term_coverage" if rerank is True else rerank)
     return diversify(hits, k)

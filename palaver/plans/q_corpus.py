@@ -8,6 +8,7 @@ from palaver.functions import lang, text as tx, web
 from palaver.operators import corpus, threads
 from palaver.plans import q_text as Q
 from palaver.plans.registry import query
+from palaver.session import cut_lineage
 
 C = F.col
 NN = "chr(10) || chr(10)"
@@ -205,11 +206,12 @@ def scraped(t):
     headers = F.create_map(
         F.lit("Source"), C("url"), F.lit("Title"), web.html_title(C("html")), F.lit("Language"), F.when(attr == "fr", attr).otherwise("")
     )
-    return t.pages.select(
+    stored = t.pages.select(
         web.url_host(C("url")).alias("site"),
         F.concat(tx.url_slug(web.url_path(C("url")), web.url_query(C("url"))), F.lit("-"), C("page_id").cast("string")).alias("slug"),
         headers.alias("headers"), web.strip_html(C("html")).alias("body"), "page_id",
     )
+    return cut_lineage(stored)  # scraped pages are a stored table
 
 
 PAGE_SLUG = f"""substring(CASE WHEN {Q.slug_sql('bare')} = '' THEN '_root' ELSE {Q.slug_sql('bare')} END || CASE WHEN q = '' THEN '' ELSE '_' || substring(sha1(q), 1, 6) END, 1, 120)"""

@@ -42,9 +42,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = plan_bytes(df)
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if size < split * cores else df
+    if plan_bytes(df) >= split * cores or "Repartition" in df._jdf.queryExecution().optimizedPlan().toString():
+        return df
+    return df.repartition(cores)
+
+
+def python_tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to the configured number of shuffle partitions by key.
+
+    Python work per byte is far above what the coalescing of small shuffle
+    partitions assumes, so the number is fixed here.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
 
 
 SMALL_PLAN = 64 << 20

@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palaver.plans.scale import spread
 from palaver.session import configure
 
 BASE = (
@@ -167,7 +168,9 @@ class Tables:
         return self.spark.sql(with_views(statement))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # text work is heavy per byte: small text tables go to all cores
+        return spread(df) if name in ("documents", "pages") else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:

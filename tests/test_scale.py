@@ -81,8 +81,8 @@ def test_cooldown_blocks_equal_the_plain_walk(spark):
     rnd = random.Random(5)
     rows = [(i, 0 if rnd.random() < 0.5 else rnd.randint(1, 5), rnd.randint(0, 3_000) * 250_000) for i in range(3000)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, us long").withColumn("ts", F.timestamp_micros("us"))
-    for seconds, hours in ((5, 720), (5, 0.01), (60, 0.005)):
-        got = history.cooldown_filter(df, seconds, hours, min_rows=100)
+    for seconds, min_rows in ((5, None), (5, 100), (60, 20), (1, 50)):
+        got = history.cooldown_filter(df, seconds, min_rows=min_rows)
         assert {r.event_id for r in got.collect()} == cooldown_by_hand(rows, seconds)
 
 
