@@ -18,15 +18,41 @@ def best_positions(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return pool[np.lexsort((ids[pool], -scores[pool]))][:n]
 
 
-def dense_scan(
-    qids: np.ndarray, matrix: np.ndarray, n: int, skip: np.ndarray | None, digits: int
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Scores one partition of vectors against a query block and keeps the n
-    best per query; memory is bounded by n rows per query."""
+class TopRows:
+    """The n best (id, score) seen so far for each query of a block."""
+
+    def __init__(self, qids: np.ndarray, n: int):
+        self.qids, self.n = qids, n
+        self.ids = [np.empty(0, dtype=np.int64)] * len(qids)
+        self.scores = [np.empty(0)] * len(qids)
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids = np.concatenate([self.ids[q], ids])
+        scores = np.concatenate([self.scores[q], scores])
+        best = best_positions(scores, ids, self.n)
+        self.ids[q], self.scores[q] = ids[best], scores[best]
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        sizes = [len(x) for x in self.ids]
+        if sum(sizes):
+            yield pd.DataFrame(
+                {
+                    "qid": np.repeat(self.qids, sizes),
+                    "id": np.concatenate(self.ids),
+                    "score": np.concatenate(self.scores),
+                }
+            )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep_id = [np.empty(0, dtype=np.int64)] * len(qids)
-        keep_score = [np.empty(0)] * len(qids)
+
+Frames = Iterator[pd.DataFrame]
+
+
+def dense_scan(qids: np.ndarray, matrix: np.ndarray, n: int, skip: np.ndarray | None, digits: int) -> Callable[[Frames], Frames]:
+    """Scores one partition of vectors (id, embedding) against a query block
+    and keeps the n best per query; memory is bounded by n rows per query."""
+
+    def run(batches: Frames) -> Frames:
+        top = TopRows(qids, n)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -34,23 +60,61 @@ def dense_scan(
             block = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             scores = np.round(matrix @ block.T, digits)
             for q in range(len(qids)):
-                row_ids, row = ids, scores[q]
-                if skip is not None:
+                if skip is None:
+                    top.add(q, ids, scores[q])
+                else:
                     other = ids != skip[q]
-                    row_ids, row = ids[other], row[other]
-                cand_id = np.concatenate([keep_id[q], row_ids])
-                cand = np.concatenate([keep_score[q], row])
-                best = best_positions(cand, cand_id, n)
-                keep_id[q], keep_score[q] = cand_id[best], cand[best]
-        sizes = [len(x) for x in keep_id]
-        if sum(sizes):
-            yield pd.DataFrame(
-                {
-                    "qid": np.repeat(qids, sizes),
-                    "id": np.concatenate(keep_id),
-                    "score": np.concatenate(keep_score),
-                }
-            )
+                    top.add(q, ids[other], scores[q][other])
+        yield from top.frames()
+
+    return run
+
+
+def lexical_scan(
+    qids: np.ndarray, weights: np.ndarray, n: int, k1: float, b: float, avgdl: float, digits: int, cells: int = 4_000_000
+) -> Callable[[Frames], Frames]:
+    """Scores one partition of matched tokens (id, dl, tidx) against a query
+    block and keeps the n best per query.
+
+    ``weights`` is (terms x queries).  The tokens of a document follow each
+    other, so counting them needs no shuffle; the last document of a batch
+    waits for the next batch.
+    """
+    n_terms = weights.shape[0]
+
+    def score(ids: np.ndarray, dl: np.ndarray, tidx: np.ndarray, top: TopRows) -> None:
+        if not len(ids):
+            return
+        new = np.append(True, ids[1:] != ids[:-1])
+        doc = np.cumsum(new) - 1
+        doc_ids, doc_dl = ids[new], dl[new]
+        pairs, tf = np.unique(doc * n_terms + tidx, return_counts=True)
+        d, t = pairs // n_terms, pairs % n_terms
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_dl[d] / avgdl))
+        step = max(1, cells // n_terms)
+        for lo in range(0, len(doc_ids), step):
+            at = slice(*np.searchsorted(d, [lo, lo + step]))
+            block = np.zeros((min(step, len(doc_ids) - lo), n_terms))
+            block[d[at] - lo, t[at]] = part[at]
+            scores = np.round(block @ weights, digits).T
+            here = doc_ids[lo : lo + step]
+            for q in range(len(qids)):
+                hit = scores[q] > 0
+                top.add(q, here[hit], scores[q][hit])
+
+    def run(batches: Frames) -> Frames:
+        top = TopRows(qids, n)
+        held = [np.empty(0, dtype=np.int64)] * 3
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            rows = [np.concatenate([h, pdf[c].to_numpy(dtype=np.int64)]) for h, c in zip(held, ("id", "dl", "tidx"))]
+            others = np.flatnonzero(rows[0] != rows[0][-1])
+            cut = others[-1] + 1 if len(others) else 0
+            score(*[r[:cut] for r in rows], top)
+            held = [r[cut:] for r in rows]
+        score(*held, top)
+        yield from top.frames()
 
     return run
 

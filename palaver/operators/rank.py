@@ -7,14 +7,14 @@ Equal scores are ordered by id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palaver.functions.tasks import dense_scan
+from palaver.functions.tasks import dense_scan, lexical_scan
 from palaver.functions.text import tokenize
 from palaver.operators.activity import metadata_filter
 from palaver.plans.scale import checked_broadcast, scalar, spread
@@ -32,6 +32,7 @@ K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
 DIGITS = 9  # scores are compared at this precision, so sums may run in any order
 
 QUERY_BLOCK = 4096  # query vectors held by one task at a time
+BLOCK_CELLS = 8_000_000  # terms by queries held by one task at a time
 
 
 # --- generic ranks -----------------------------------------------------------------
@@ -109,29 +110,82 @@ def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
+def bm25_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(qid, term, weight): repeats of the term times its idf."""
+    return terms.join(idf_table(vocab), "term").select("qid", "term", (C("qtf") * C("idf")).alias("weight"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) of every document that shares a term with the query.
+    """(qid, id, score) of *every* document that shares a term with a query.
 
-    ``docs`` = (id, text); ``queries`` = (qid, query).  ``vocab`` may be the
-    stored result of ``vocabulary``; otherwise it is computed and checkpointed,
-    because the weights and the mean length both read it.
+    Its result grows with documents times queries; ``bm25_rank`` finds the best
+    n without building it.
     """
     vocab = cut_lineage(vocabulary(docs)) if vocab is None else vocab
-    whole = vocab.where(C("term").isNull())
-    avgdl = whole.select(C("dl") / C("df")).scalar()
+    avgdl = vocab.where(C("term").isNull()).select(C("dl") / C("df")).scalar()
     terms = query_terms(queries)
-    weights = terms.join(idf_table(vocab), "term").select("qid", "term", (C("qtf") * C("idf")).alias("weight"))
     saturated = C("tf") * (K1 + 1) / (C("tf") + K1 * (1 - B + B * C("dl") / avgdl))
     return (
         query_postings(docs, terms)
         .select("id", "term", saturated.alias("part"))
-        .join(checked_broadcast(weights), "term")
+        .join(checked_broadcast(bm25_weights(terms, vocab)), "term")
         .groupBy("qid", "id")
         .agg(F.round(F.sum(C("weight") * C("part")), DIGITS).alias("score"))
         .where(C("score") > 0)
     )
 
 
+def _query_blocks(weights: DataFrame) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+    """Blocks of queries as (qids, terms, matrix), each of a bounded size.
+
+    One row per query comes to the driver at a time; a block closes when its
+    matrix of terms by queries would outgrow BLOCK_CELLS.
+    """
+    per_query = weights.groupBy("qid").agg(F.collect_list(F.struct("term", "weight")).alias("w"))
+    qids: list[int] = []
+    index: dict[str, int] = {}
+    cells: list[tuple[int, int, float]] = []
+
+    def block():
+        matrix = np.zeros((len(index), len(qids)))
+        for t, q, w in cells:
+            matrix[t, q] = w
+        return list(qids), list(index), matrix
+
+    for row in per_query.toLocalIterator(prefetchPartitions=True):
+        grown = len(index) + sum(t.term not in index for t in row.w)
+        if qids and grown * (len(qids) + 1) > BLOCK_CELLS:
+            yield block()
+            qids, index, cells = [], {}, []
+        cells += [(index.setdefault(t.term, len(index)), len(qids), t.weight) for t in row.w]
+        qids.append(row.qid)
+    if qids:
+        yield block()
+
+
+def _lexical_top(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
+    """(qid, id, score) of the n best documents per query and task.
+
+    The texts are tokenised and joined with the broadcast query terms where
+    they lie.  The matched tokens of a document stay together, so the same task
+    counts and scores them, a block of documents against a block of queries at
+    a time, and only n rows per query leave it.
+    """
+    whole = vocab.where(C("term").isNull()).select("df", "dl").first()
+    avgdl = whole.dl / whole.df if whole and whole.dl else 1.0
+    toks = spread(docs.select("id", "text")).select("id", tokenize(C("text")).alias("toks"))
+    rows = toks.select("id", F.size("toks").alias("dl"), "toks").select("id", "dl", F.explode_outer("toks").alias("term"))
+    out = docs.sparkSession.createDataFrame([], "qid bigint, id bigint, score double")
+    found: DataFrame | None = None
+    for qids, terms, matrix in _query_blocks(bm25_weights(query_terms(queries), vocab)):
+        names = docs.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "term string, tidx int")
+        matched = rows.join(F.broadcast(names), "term").select("id", "dl", "tidx")
+        scan = lexical_scan(np.array(qids, dtype=np.int64), matrix, n, K1, B, avgdl, DIGITS)
+        hits = matched.mapInPandas(scan, "qid bigint, id bigint, score double")
+        found = hits if found is None else found.unionByName(hits)
+    return out if found is None else found
+
+
 def bm25_rank(
     docs: DataFrame,
     queries: DataFrame,
@@ -141,16 +195,22 @@ def bm25_rank(
     filter_mode: str = "post",
     **filters,
 ) -> DataFrame:
-    """(qid, id, score, rank).  By default the metadata filter applies after the
-    cut to n, so fewer than n rows may remain; ``filter_mode='pre'`` cuts last."""
-    scores = bm25_scores(docs.select("id", "text"), queries, vocab)
-    if not any(v is not None for v in filters.values()):
-        return rank_rows(scores, n)
-    allowed = docs.where(metadata_filter(**filters)).select("id")
-    if filter_mode == "pre":
-        return rank_rows(scores.join(allowed, "id", "left_semi"), n)
-    cut = rank_rows(scores, n).join(allowed, "id", "left_semi")
-    return rank_rows(cut.drop("rank"))
+    """(qid, id, score, rank) of the n best documents per query.
+
+    ``docs`` = (id, text, filter columns); ``queries`` = (qid, query).  By
+    default the metadata filter applies after the cut to n, so fewer than n
+    rows may remain; ``filter_mode='pre'`` cuts last.  ``vocab`` may be the
+    stored result of ``vocabulary``; otherwise it is computed and written.
+    """
+    vocab = cut_lineage(vocabulary(docs)) if vocab is None else vocab
+    filtered = any(v is not None for v in filters.values())
+    allowed = docs.where(metadata_filter(**filters))
+    if filtered and filter_mode == "pre":
+        return rank_rows(_lexical_top(allowed, queries, vocab, n), n)
+    cut = rank_rows(_lexical_top(docs, queries, vocab, n), n)
+    if not filtered:
+        return cut
+    return rank_rows(cut.join(allowed.select("id"), "id", "left_semi").drop("rank"))
 
 
 # --- dense side ----------------------------------------------------------------------

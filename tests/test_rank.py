@@ -32,16 +32,25 @@ def bm25_by_hand(docs, queries, n):
     return out
 
 
-def test_bm25(spark):
+def test_bm25(spark, monkeypatch):
     rnd = random.Random(2)
     words = ["the"] * 20 + [f"w{i}" for i in range(60)] + ["été", "سؤال"]
     docs = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 40)))) for i in range(120)] + [(120, "")]
     queries = [(q, " ".join(rnd.choices(words, k=5)) + " the the!") for q in range(8)] + [(8, "unseen")]
     got = rank.bm25_rank(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "qid long, query string"), 10)
-    found = {}
-    for r in got.orderBy("qid", "rank").collect():
-        found.setdefault(r.qid, []).append(r.id)
-    assert found == {q: v for q, v in bm25_by_hand(docs, queries, 10).items() if v}
+    want = {q: v for q, v in bm25_by_hand(docs, queries, 10).items() if v}
+
+    def lists(ranked):
+        found = {}
+        for r in ranked.orderBy("qid", "rank").collect():
+            found.setdefault(r.qid, []).append(r.id)
+        return found
+
+    assert lists(got) == want
+    frames = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "qid long, query string")
+    assert lists(rank.rank_rows(rank.bm25_scores(*frames), 10)) == want
+    monkeypatch.setattr(rank, "BLOCK_CELLS", 12)  # several blocks of queries
+    assert lists(rank.bm25_rank(*frames, 10)) == want
 
 
 def unit(rng, n, dim=8):
