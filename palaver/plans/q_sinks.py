@@ -23,8 +23,9 @@ def _(t):
         (C("conv_id") * 10000 + C("turn")).alias("id"), F.when(C("turn") == 0, "service").otherwise("message").alias("type"),
         "text", C("role").alias("from"),
     )
-    # one export per conversation, as long as that conversation
-    exports = t.conversations.groupBy("conv_id").agg(F.collect_list(message).alias("messages"))
+    # one export per conversation and thousand turns, so that no document is unbounded
+    part = F.floor(C("turn") / 1000)
+    exports = t.conversations.groupBy("conv_id", part.alias("part")).agg(F.collect_list(message).alias("messages"))
     document = F.to_json(F.struct(F.struct(F.array(F.struct("messages")).alias("list")).alias("chats")))
     path = scratch_table(t.spark, "exports")
     exports.select(document.alias("value")).write.text(path)
@@ -60,6 +61,16 @@ def _(t):
     return files.manifest_rows(t.pages.select("page_id", manifest.alias("value")), order="page_id").select("url", "chars", "host")
 
 
+@query("S06_summary_source", "SELECT doc_id AS file, lang AS language, n_chars AS chars FROM documents")
+def _(t):
+    """Summary rows written as JSON and read back; a missing summary adds none."""
+    schema = "file bigint, language string, chars bigint"
+    path = scratch_table(t.spark, "summary")
+    t.documents.select(C("doc_id").alias("file"), C("lang").alias("language"), C("n_chars").alias("chars")).write.json(path)
+    missing = files.read_summary(t.spark, path + "-none", schema)
+    return files.read_summary(t.spark, path, schema, one_per_line=True).unionByName(missing)
+
+
 @query("S08_incremental_message_ingest", "SELECT id FROM v_messages WHERE id > (SELECT coalesce(max(id), 0) FROM v_messages WHERE id > 0 AND sender = 'system')")
 def _(t):
     return sinks.new_messages(t.messages, t.messages.where("sender = 'system'")).select("id")

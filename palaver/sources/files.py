@@ -108,12 +108,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return manifest_rows(spark.read.text(path, wholetext=True))
 
 
-def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of summary rows; a missing file gives no rows."""
+def read_summary(spark: SparkSession, path: str, schema: str, *, one_per_line: bool = False) -> DataFrame:
+    """A JSON array of summary rows, or one row per line; a missing file gives
+    no rows."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.json(path, multiLine=True, schema=schema)
+        return spark.read.json(path, multiLine=not one_per_line, schema=schema)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
