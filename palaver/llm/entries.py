@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import near_dup
+from palaver.llm import decontaminate, language, near_dup
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,12 +17,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=2)
 
 
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_decontamination": op5,
     "op7_minhash_near_dedup": op7,
+    "op8_language_id": op8,
 }
 
 ORACLES: dict[str, str] = {}
