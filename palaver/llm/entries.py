@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import decontaminate, language, near_dup
+from palaver.llm import decontaminate, language, mixing, near_dup, tokens
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_sizes(_table(spark, folder, "documents"))
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -29,10 +39,16 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(_table(spark, folder, "documents"))
 
 
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.tokenised(_table(spark, folder, "documents"), tokenizer_file(), dtype="<u2")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_source_mixing": op2,
     "op5_decontamination": op5,
     "op7_minhash_near_dedup": op7,
     "op8_language_id": op8,
+    "op9_token_files": op9,
 }
 
 ORACLES: dict[str, str] = {}
