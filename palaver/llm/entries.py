@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import decontaminate, language, mixing, near_dup, tokens
+from palaver.llm import decontaminate, language, mixing, near_dup, suffix_dedup, tokens
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+
+
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), shingle=2)
 
@@ -46,6 +50,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": op2,
     "op5_decontamination": op5,
+    "op6_suffix_dedup": op6,
     "op7_minhash_near_dedup": op7,
     "op8_language_id": op8,
     "op9_token_files": op9,
