@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import decontaminate, language, mixing, near_dup, suffix_dedup, tokens
+from palaver.llm import chat, decontaminate, language, licenses, mixing, near_dup, suffix_dedup, tokens, url_filter
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,17 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, folder, "documents"))
 
 
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, folder, "conversations").select(*extra.columns)
+    return chat.digests(chat.format_chats(rows.unionByName(extra)))
+
+
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -47,16 +58,25 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.tokenised(_table(spark, folder, "documents"), tokenizer_file(), dtype="<u2")
 
 
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": op2,
+    "op3_chat_format": op3,
+    "op4_license_scan": op4,
     "op5_decontamination": op5,
     "op6_suffix_dedup": op6,
     "op7_minhash_near_dedup": op7,
     "op8_language_id": op8,
     "op9_token_files": op9,
+    "op10_url_filter": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat_format": chat.SQL,
+}
 
 
 def queries() -> dict[str, Query]:
