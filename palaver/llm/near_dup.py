@@ -5,15 +5,17 @@
 2. The k smallest hashes of a set are its sketch.  Inverted lists of the
    retained values give the candidates.  Two sets at the threshold share at
    least h sketch values (by counting for sets within the sketch, else with a
-   probability of about 1 - 1e-9), so only the k - h + 1 rarest values of a
-   sketch are listed: values that a third of all documents hold are listed by
-   hardly any of them.
+   probability of 1 - 1e-9), so only the k - h + 1 rarest values of a sketch are
+   listed: values that a third of all documents hold are listed by few of them.
 3. Lists are not expanded into pairs.  Each list first compares all its members
    with one of them.  Members that this joins to one component need no further
-   test; the others are taken as pivots, 16, 64, 256, ... per list and round,
-   and compared with the members of other components, until no list has an
-   untested member outside its main component.  No link between different
-   components is lost, and a group of n copies costs about n comparisons.
+   test.  Lists in which many others are left are built anew over the full sets
+   of their members: two sets at the threshold share one of the rarest fifth of
+   their values, which documents that only have a passage in common do not.
+   Then the members outside the main component of a list are taken as pivots,
+   16, 64, 256, ... per list and round, and compared with the members of other
+   components, until none is left.  No link between different components is
+   lost, and a group of n copies costs about n comparisons.
 4. Pairs are filtered by set sizes and by the sketch of the union, then
    confirmed on full sets; components of the confirmed links are returned.
 """
@@ -21,6 +23,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +36,11 @@ from palaver.llm.hashing import Words, long_lists, ranges, shingle_sets, utf8
 from palaver.llm.shared import components, only, stored
 
 K = 64  # values kept of a set
-SHARED = 30  # of which two sets at the threshold share at least so many
-UNION = 31  # and the k smallest values of the union are common to both at least so often
+MISS = 1e-9  # probability that a link at the threshold shares fewer sketch values than asked for
+CROWDED = 64  # members outside the main component above which a list is built anew from full sets
 PERCENT = 80
 
-C = F.col
+C, L = F.col, F.lit
 
 
 def _sketches(size: int):
@@ -68,6 +71,18 @@ def _sets(size: int):
     return run
 
 
+def _members(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for a, b in ranges(offsets):
+                sets = list(shingle_sets(*words.of(data, offsets[a : b + 1]), size))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), long_lists(sets)], ["doc_id", "items"])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,8 +96,39 @@ def _confirm(percent: int):
     return run
 
 
+def shared_values(n: int, percent: int) -> int:
+    """How many of the K smallest values of a union both of its sets have, but for a probability of MISS.
+
+    The larger set has n values, so the union has 100 n / percent at most; its K
+    smallest are a sample without replacement.
+    """
+    total = max(K, 100 * n // percent)
+    good = -(-percent * total // 100)
+
+    def log_choose(x: int, y: int) -> float:
+        return math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
+
+    below = 0.0
+    for x in range(max(0, K - (total - good)), K + 1):
+        below += math.exp(log_choose(good, x) + log_choose(total - good, K - x) - log_choose(total, K))
+        if below > MISS:
+            return x
+    return K
+
+
+def _need(n: Column, percent: int) -> Column:
+    """Sketch values that a set of n values shares with every set it is linked with, at least."""
+    sizes = [int(K * 1.25**i) for i in range(1, 24)] + [1 << 40]
+    found = F.lit(shared_values(sizes[-1], percent))
+    for size in reversed(sizes):
+        found = F.when(n <= size, shared_values(size, percent)).otherwise(found)
+    # a set within the sketch: its common values, less those the other's sketch may lack
+    inside = F.greatest(F.lit(1), F.ceil(n * percent / 100) - F.greatest(F.lit(0), F.ceil(n * 100 / percent) - K))
+    return F.when(n <= K, inside).otherwise(found).cast("int")
+
+
 def _pairs_by_sketch(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and union sketch allow the threshold."""
+    """The pairs whose sketches allow the threshold."""
     left = reps.select(C("doc_id").alias("a"), C("sketch").alias("sa"), C("n").alias("na"))
     right = reps.select(C("doc_id").alias("b"), C("sketch").alias("sb"), C("n").alias("nb"))
     joined = pairs.join(left, "a").join(right, "b")
@@ -90,48 +136,54 @@ def _pairs_by_sketch(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFra
     common = F.size(F.array_intersect(F.array_intersect(F.slice(union, 1, K), "sa"), "sb"))
     whole = (C("na") <= K) & (C("nb") <= K)
     exact = 100 * F.size(F.array_intersect("sa", "sb")) >= percent * F.size(union)
-    return joined.where(F.when(whole, exact).otherwise(common >= UNION)).select("a", "b")
+    return joined.where(F.when(whole, exact).otherwise(common >= shared_values(1 << 40, percent))).select("a", "b")
 
 
 def _size_fits(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _lists(reps: DataFrame, percent: int) -> DataFrame:
-    """(value, doc_id, n): the inverted lists with two members or more, of the rarest values of each sketch."""
-    if percent == PERCENT:
-        within = F.least(F.ceil(C("n") * percent / 100), K - F.floor(C("n") / 4))
-        need = F.when(C("n") <= K, within).otherwise(F.lit(SHARED))
-    else:
-        need = F.lit(1)
-    values = reps.select("doc_id", "n", F.size("sketch").alias("s"), need.cast("int").alias("h"), F.explode("sketch").alias("value"))
+def _lists(values: DataFrame) -> DataFrame:
+    """(value, doc_id, n): the lists, with two members or more, of the rarest values of each document.
+
+    ``values`` has doc_id, n, value, of which there are s, and need: so many of
+    them are shared with every linked document.
+    """
     common = values.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     listed = (
         values.join(common, "value")
-        .groupBy("doc_id", "n", "s", "h")
+        .groupBy("doc_id", "n", "s", "need")
         .agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("found"))
         # values that no other document has are the rarest, and come first
-        .withColumn("take", C("s") - C("h") + 1 - (C("s") - F.size("found")))
+        .withColumn("take", C("s") - C("need") + 1 - (C("s") - F.size("found")))
         .where("take > 0")
     )
-    return listed.select("doc_id", "n", F.explode(F.slice("found", 1, C("take"))).alias("x")).select(C("x.value").alias("value"), "doc_id", "n")
-
-
-def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame | None:
-    """(a, b): confirmed links that span every component of the graph of all links; None without candidates."""
-    lists = stored(_lists(reps, percent), "lists")
-    sizes = lists.groupBy("value").agg(F.count("*").alias("m"), F.min("doc_id").alias("pivot")).where("m > 1")
-    lists = stored(lists.join(sizes, "value"), "lists")
-    with_n = lists.where("doc_id = pivot").select("value", C("n").alias("pn"))
-    pairs = (
-        lists.where("doc_id <> pivot").join(with_n, "value").where(_size_fits(C("n"), C("pn"), percent))
-        .select(C("pivot").alias("a"), C("doc_id").alias("b")).distinct()
-    )
-    sets = tested = found = None
-    pivots, used = 16, None
+    rows = listed.select("doc_id", "n", F.explode(F.slice("found", 1, C("take"))).alias("x"))
+    return rows.select(C("x.value").alias("value"), "doc_id", "n")
+
+
+def _full_lists(docs: DataFrame, ids: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The lists over the full sets of some documents: exact, as linked sets share percent of the larger one."""
+    sets = only(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_members(shingle), "doc_id long, items array<long>")
+    size = F.size("items").cast("long")
+    need = F.ceil(size * percent / 100).cast("int")
+    return _lists(sets.select("doc_id", size.alias("n"), size.cast("int").alias("s"), need.alias("need"), F.explode("items").alias("value")))
+
+
+def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
+    """(a, b): confirmed links that span every component of the graph of all links."""
+    values = reps.select("doc_id", "n", F.size("sketch").alias("s"), _need(C("n"), percent).alias("need"), F.explode("sketch").alias("value"))
+    lists = stored(_lists(values), "lists")
+    heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("head")).where("m > 1")
+    lists = stored(lists.join(heads, "value"), "lists")
+    pairs = lists.where((C("doc_id") != C("head.doc_id")) & _size_fits(C("n"), C("head.n"), percent))
+    pairs = pairs.select(C("head.doc_id").alias("a"), C("doc_id").alias("b")).distinct()
+    lists = lists.select("value", "doc_id", "n")
+    sets = tested = found = used = None
+    pivots, anew = 16, False
     while True:
         tried = stored(_pairs_by_sketch(pairs, reps, percent), "pairs")
-        if tried.limit(1).count():
+        if found is None or tried.limit(1).count():
             ids = tried.select(C("a").alias("doc_id")).union(tried.select(C("b").alias("doc_id"))).distinct()
             ids = stored(ids if sets is None else ids.join(sets, "doc_id", "left_anti"), "ids")
             more = stored(only(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_sets(shingle), "doc_id long, items binary"), "sets")
@@ -141,17 +193,22 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
             good = stored(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
             found = good if found is None else found.unionByName(good)
             tested = tried if tested is None else tested.unionByName(tried)
-        elif used is None and found is None:
-            found = tried
-        labels = stored(components(found), "labels")
-        now = lists.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        groups = now.groupBy("value", "label").agg(F.count("*").alias("k"))
-        main = groups.groupBy("value").agg(F.count("*").alias("groups"), F.max_by("label", F.struct("k", "label")).alias("main")).where("groups > 1")
-        now = stored(now.join(main, "value").select("value", "doc_id", "n", "label", "main"), "open")
+            labels = stored(components(found), "labels").withColumnRenamed("node", "doc_id")
+        now = _open_lists(lists, labels)
+        if not anew:  # once: crowded lists give way to lists over full sets
+            anew = True
+            crowded = now.where("label <> main").groupBy("value").agg(F.count("*").alias("k")).where(C("k") > CROWDED)
+            members = stored(now.join(crowded, "value", "left_semi").select("doc_id").distinct(), "crowded")
+            if members.limit(1).count():
+                again = stored(_full_lists(docs, members, shingle, percent), "lists")
+                lists = lists.join(crowded, "value", "left_anti").select(F.struct(L("sketch").alias("of"), "value").alias("value"), "doc_id", "n")
+                lists = stored(lists.unionByName(again.select(F.struct(L("set").alias("of"), "value").alias("value"), "doc_id", "n")), "lists")
+                now = _open_lists(lists, labels)
         rest = now.where("label <> main")
         if used is not None:
             rest = rest.join(used, ["value", "doc_id"], "left_anti")
-        rank = F.row_number().over(W.partitionBy("value").orderBy(F.xxhash64("value", "doc_id"), "doc_id"))
+        # lists of one group choose the same pivots
+        rank = F.row_number().over(W.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
         chosen = stored(rest.withColumn("rank", rank).where(C("rank") <= pivots).drop("rank", "main"), "pivots")
         if not chosen.limit(1).count():
             return found
@@ -159,11 +216,18 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
         p = chosen.select("value", C("doc_id").alias("p"), C("n").alias("pn"), C("label").alias("pl"))
         pairs = now.join(p, "value").where((C("label") != C("pl")) & _size_fits(C("n"), C("pn"), percent))
         pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pivots *= 4
 
 
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists with members of several components, each member's component and the largest one."""
+    now = lists.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    groups = now.groupBy("value", "label").agg(F.count("*").alias("k"))
+    main = groups.groupBy("value").agg(F.count("*").alias("groups"), F.max(F.struct("k", "label")).alias("top")).where("groups > 1")
+    return stored(now.join(main.select("value", C("top.label").alias("main")), "value").select("value", "doc_id", "n", "label", "main"), "open")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
