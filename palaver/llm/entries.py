@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import chat, decontaminate, language, licenses, mixing, near_dup, suffix_dedup, tokens, url_filter
+from palaver.llm import audio, chat, decontaminate, language, licenses, mixing, near_dup, suffix_dedup, tokens, url_filter
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return audio.align(audio.sung(spark, _table(spark, folder, "conversations")))
+
+
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, folder, "documents"))
 
@@ -63,6 +67,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_audio_fingerprints": op1,
     "op2_source_mixing": op2,
     "op3_chat_format": op3,
     "op4_license_scan": op4,
