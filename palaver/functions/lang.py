@@ -49,12 +49,12 @@ def lang_ratio(
     *,
     arabic_over: int = 30,
     french_over: float = 0.05,
-    sample: int | None = 5000,
+    sample: int | None = None,
     labels: tuple[str, str, str, str] = ("ar", "fr", "en", "empty"),
 ) -> Column:
-    """Script counts and the share of French function words in a sample.
+    """Script counts and the share of French function words.
 
-    ``sample`` is the rule's own limit; ``None`` reads the whole text.
+    The whole text is read; ``sample`` asks for its first characters only.
     """
     arabic, french, english, none = (F.lit(v) for v in labels)
     head = F.coalesce(text if sample is None else F.substring(text, 1, sample), F.lit(""))
@@ -71,7 +71,7 @@ def lang_ratio(
     )
 
 
-def lang_ratio_document(text: Column, sample: int | None = 5000) -> Column:
+def lang_ratio_document(text: Column, sample: int | None = None) -> Column:
     """The ratio rule for whole documents: more Arabic needed, long labels."""
     return lang_ratio(
         text,

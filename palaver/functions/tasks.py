@@ -18,51 +18,66 @@ def best_positions(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return pool[np.lexsort((ids[pool], -scores[pool]))][:n]
 
 
+def sortable(ids) -> np.ndarray:
+    """Ids as numbers or as fixed-width strings, which sort by code point."""
+    values = np.asarray(ids)
+    return values.astype(str) if values.dtype == object else values
+
+
 class TopRows:
-    """The n best (id, score) seen so far for each query of a block."""
+    """The n best (id, score) seen so far for each query of a block; ``keys`` has a row per query."""
 
-    def __init__(self, qids: np.ndarray, n: int):
-        self.qids, self.n = qids, n
-        self.ids = [np.empty(0, dtype=np.int64)] * len(qids)
-        self.scores = [np.empty(0)] * len(qids)
+    def __init__(self, keys: pd.DataFrame, n: int):
+        self.keys, self.n = keys, n
+        self.ids: list[np.ndarray | None] = [None] * len(keys)
+        self.scores = [np.empty(0)] * len(keys)
 
     def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids = np.concatenate([self.ids[q], ids])
-        scores = np.concatenate([self.scores[q], scores])
+        if self.ids[q] is not None:
+            ids = np.concatenate([self.ids[q], ids])
+            scores = np.concatenate([self.scores[q], scores])
         best = best_positions(scores, ids, self.n)
         self.ids[q], self.scores[q] = ids[best], scores[best]
 
+    def add_block(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of all queries (rows) for the same ids; only what can enter the best n is merged."""
+        if scores.shape[1] > 4 * self.n:
+            best = np.argpartition(scores, scores.shape[1] - self.n, axis=1)[:, -self.n :]
+            floor = np.take_along_axis(scores, best, axis=1).min(axis=1)
+        else:
+            floor = np.full(len(scores), -np.inf)
+        for q in range(len(scores)):
+            at = np.flatnonzero(scores[q] >= floor[q])
+            self.add(q, ids[at], scores[q][at])
+
     def frames(self) -> Iterator[pd.DataFrame]:
-        sizes = [len(x) for x in self.ids]
+        sizes = [0 if x is None else len(x) for x in self.ids]
         if sum(sizes):
-            yield pd.DataFrame(
-                {
-                    "qid": np.repeat(self.qids, sizes),
-                    "id": np.concatenate(self.ids),
-                    "score": np.concatenate(self.scores),
-                }
-            )
+            out = self.keys.iloc[np.repeat(np.arange(len(self.keys)), sizes)].reset_index(drop=True)
+            out["id"] = np.concatenate([x for x in self.ids if x is not None])
+            out["score"] = np.concatenate(self.scores)
+            yield out
 
 
 Frames = Iterator[pd.DataFrame]
 
 
-def dense_scan(qids: np.ndarray, matrix: np.ndarray, n: int, skip: np.ndarray | None, digits: int) -> Callable[[Frames], Frames]:
+def dense_scan(keys: pd.DataFrame, matrix: np.ndarray, n: int, skip: np.ndarray | None, digits: int) -> Callable[[Frames], Frames]:
     """Scores one partition of vectors (id, embedding) against a query block
     and keeps the n best per query; memory is bounded by n rows per query."""
 
     def run(batches: Frames) -> Frames:
-        top = TopRows(qids, n)
+        top = TopRows(keys, n)
         for pdf in batches:
             if pdf.empty:
                 continue
-            ids = pdf["id"].to_numpy()
+            ids = sortable(pdf["id"])
             block = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             scores = np.round(matrix @ block.T, digits)
-            for q in range(len(qids)):
-                if skip is None:
-                    top.add(q, ids, scores[q])
-                else:
+            if skip is None:
+                top.add_block(ids, scores)
+            else:
+                for q in range(len(keys)):
                     other = ids != skip[q]
                     top.add(q, ids[other], scores[q][other])
         yield from top.frames()
@@ -71,7 +86,7 @@ def dense_scan(qids: np.ndarray, matrix: np.ndarray, n: int, skip: np.ndarray |
 
 
 def lexical_scan(
-    qids: np.ndarray, weights: np.ndarray, n: int, k1: float, b: float, avgdl: float, digits: int, cells: int = 4_000_000
+    keys: pd.DataFrame, weights: np.ndarray, n: int, k1: float, b: float, avgdl: float, digits: int, cells: int = 4_000_000
 ) -> Callable[[Frames], Frames]:
     """Scores one partition of matched tokens (id, dl, tidx) against a query
     block and keeps the n best per query.
@@ -98,22 +113,25 @@ def lexical_scan(
             block[d[at] - lo, t[at]] = part[at]
             scores = np.round(block @ weights, digits).T
             here = doc_ids[lo : lo + step]
-            for q in range(len(qids)):
+            for q in range(len(keys)):
                 hit = scores[q] > 0
                 top.add(q, here[hit], scores[q][hit])
 
     def run(batches: Frames) -> Frames:
-        top = TopRows(qids, n)
-        held = [np.empty(0, dtype=np.int64)] * 3
+        top = TopRows(keys, n)
+        held: list[np.ndarray] | None = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            rows = [np.concatenate([h, pdf[c].to_numpy(dtype=np.int64)]) for h, c in zip(held, ("id", "dl", "tidx"))]
+            rows = [sortable(pdf["id"]), pdf["dl"].to_numpy(dtype=np.int64), pdf["tidx"].to_numpy(dtype=np.int64)]
+            if held is not None:
+                rows = [np.concatenate(pair) for pair in zip(held, rows)]
             others = np.flatnonzero(rows[0] != rows[0][-1])
             cut = others[-1] + 1 if len(others) else 0
             score(*[r[:cut] for r in rows], top)
             held = [r[cut:] for r in rows]
-        score(*held, top)
+        if held is not None:
+            score(*held, top)
         yield from top.frames()
 
     return run

@@ -143,7 +143,7 @@ def page_links(page: Column, base: Column, covered_hosts=()) -> Column:
     return F.array_distinct(own)
 
 
-# fixed values: entity names decoded without Python
+# fixed values: the entity names of the pages at hand, for callers that stay in the JVM
 COMMON_ENTITIES = (
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -184,7 +184,7 @@ def unescape_all(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else html.unescape(x))
 
 
-def strip_html(page: Column, *, unescape=unescape_common) -> Column:
+def strip_html(page: Column, *, unescape=unescape_all) -> Column:
     """Visible text: no scripts or styles, a line break per tag, one blank line."""
     for tag in ("script", "style", "iframe", "noscript"):
         page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
@@ -197,5 +197,5 @@ def strip_html(page: Column, *, unescape=unescape_common) -> Column:
     return strip(page)
 
 
-def html_title(page: Column, *, unescape=unescape_common) -> Column:
+def html_title(page: Column, *, unescape=unescape_all) -> Column:
     return strip(unescape(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)))

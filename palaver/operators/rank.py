@@ -1,15 +1,17 @@
 """Lexical and dense rankings, their fusion and diversification.
 
 All queries are ranked in one job.  Columns: ``qid`` names a query, ``id`` a
-document.  Only ids and scores travel; text is joined to the final pool.
-Equal scores are ordered by id.
+document, both of any type that sorts.  A query of several wordings has one row
+per (``qid``, ``variant``).  Only ids and scores travel; text is joined to the
+final rows.  Equal scores are ordered by id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from palaver.functions.tasks import dense_scan, lexical_scan
 from palaver.functions.text import tokenize
 from palaver.operators.activity import metadata_filter
 from palaver.plans.scale import checked_broadcast, scalar, spread
-from palaver.session import cut_lineage
+from palaver.session import cut_lineage, scratch_table
 
 C = F.col
 
@@ -38,10 +40,20 @@ BLOCK_CELLS = 8_000_000  # terms by queries held by one task at a time
 # --- generic ranks -----------------------------------------------------------------
 
 
-def rank_rows(scores: DataFrame, n: int | None = None, by: str = "qid", score: str = "score") -> DataFrame:
+def query_keys(queries: DataFrame) -> list[str]:
+    """The columns that name a ranking: the query and, if there, its wording."""
+    return [c for c in ("qid", "variant") if c in queries.columns]
+
+
+def _hit_schema(queries: DataFrame, docs: DataFrame) -> str:
+    fields = [(c, queries.schema[c].dataType) for c in query_keys(queries)] + [("id", docs.schema["id"].dataType)]
+    return ", ".join(f"{c} {kind.simpleString()}" for c, kind in fields) + ", score double"
+
+
+def rank_rows(scores: DataFrame, n: int | None = None, by: str | Sequence[str] = "qid", score: str = "score") -> DataFrame:
     """1-based rank per query, best first.  With ``n`` only the best n are kept,
     and Spark prunes to n rows per query before the shuffle."""
-    w = W.partitionBy(by).orderBy(C(score).desc(), "id")
+    w = W.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(C(score).desc(), "id")
     ranked = scores.withColumn("rank", F.row_number().over(w))
     return ranked if n is None else ranked.where(C("rank") <= n)
 
@@ -81,11 +93,12 @@ def idf_table(vocab: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, term, qtf): a repeated query term counts again."""
+    """(qid, term, qtf), by wording if there are several: a repeated query term counts again."""
+    keys = query_keys(queries)
     return (
-        queries.select("qid", F.explode_outer(tokenize(C("query"))).alias("term"))
+        queries.select(*keys, F.explode_outer(tokenize(C("query"))).alias("term"))
         .where(C("term").isNotNull())
-        .groupBy("qid", "term")
+        .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
 
@@ -112,57 +125,47 @@ def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def bm25_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """(qid, term, weight): repeats of the term times its idf."""
-    return terms.join(idf_table(vocab), "term").select("qid", "term", (C("qtf") * C("idf")).alias("weight"))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) of *every* document that shares a term with a query.
-
-    Its result grows with documents times queries; ``bm25_rank`` finds the best
-    n without building it.
-    """
-    vocab = cut_lineage(vocabulary(docs)) if vocab is None else vocab
-    avgdl = vocab.where(C("term").isNull()).select(C("dl") / C("df")).scalar()
-    terms = query_terms(queries)
-    saturated = C("tf") * (K1 + 1) / (C("tf") + K1 * (1 - B + B * C("dl") / avgdl))
-    return (
-        query_postings(docs, terms)
-        .select("id", "term", saturated.alias("part"))
-        .join(checked_broadcast(bm25_weights(terms, vocab)), "term")
-        .groupBy("qid", "id")
-        .agg(F.round(F.sum(C("weight") * C("part")), DIGITS).alias("score"))
-        .where(C("score") > 0)
-    )
+    return terms.join(idf_table(vocab), "term").select(*query_keys(terms), "term", (C("qtf") * C("idf")).alias("weight"))
 
 
-def _query_blocks(weights: DataFrame) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
-    """Blocks of queries as (qids, terms, matrix), each of a bounded size.
+def _query_blocks(weights: DataFrame) -> Iterator[tuple[pd.DataFrame, list[str], np.ndarray]]:
+    """Blocks of queries as (keys, terms, matrix), each of a bounded size.
 
     One row per query comes to the driver at a time; a block closes when its
     matrix of terms by queries would outgrow BLOCK_CELLS.
     """
-    per_query = weights.groupBy("qid").agg(F.collect_list(F.struct("term", "weight")).alias("w"))
-    qids: list[int] = []
+    keys = query_keys(weights)
+    per_query = weights.groupBy(*keys).agg(F.collect_list(F.struct("term", "weight")).alias("w"))
+    names: list[tuple] = []
     index: dict[str, int] = {}
     cells: list[tuple[int, int, float]] = []
 
     def block():
-        matrix = np.zeros((len(index), len(qids)))
+        matrix = np.zeros((len(index), len(names)))
         for t, q, w in cells:
             matrix[t, q] = w
-        return list(qids), list(index), matrix
+        return pd.DataFrame(names, columns=keys), list(index), matrix
 
     for row in per_query.toLocalIterator(prefetchPartitions=True):
         grown = len(index) + sum(t.term not in index for t in row.w)
-        if qids and grown * (len(qids) + 1) > BLOCK_CELLS:
+        if names and grown * (len(names) + 1) > BLOCK_CELLS:
             yield block()
-            qids, index, cells = [], {}, []
-        cells += [(index.setdefault(t.term, len(index)), len(qids), t.weight) for t in row.w]
-        qids.append(row.qid)
-    if qids:
+            names, index, cells = [], {}, []
+        cells += [(index.setdefault(t.term, len(index)), len(names), t.weight) for t in row.w]
+        names.append(tuple(row[c] for c in keys))
+    if names:
         yield block()
 
 
+def _gathered(docs: DataFrame, schema: str, jobs: Iterator[Callable[[], DataFrame]]) -> DataFrame:
+    """The hits of one block of queries after the other, each written before the next block is read."""
+    spark, path = docs.sparkSession, scratch_table(docs.sparkSession, "hits")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for job in jobs:
+        job().write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def _lexical_top(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
     """(qid, id, score) of the n best documents per query and task.
 
@@ -175,15 +178,16 @@ def _lexical_top(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: int)
     avgdl = whole.dl / whole.df if whole and whole.dl else 1.0
     toks = spread(docs.select("id", "text")).select("id", tokenize(C("text")).alias("toks"))
     rows = toks.select("id", F.size("toks").alias("dl"), "toks").select("id", "dl", F.explode_outer("toks").alias("term"))
-    out = docs.sparkSession.createDataFrame([], "qid bigint, id bigint, score double")
-    found: DataFrame | None = None
-    for qids, terms, matrix in _query_blocks(bm25_weights(query_terms(queries), vocab)):
-        names = docs.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "term string, tidx int")
-        matched = rows.join(F.broadcast(names), "term").select("id", "dl", "tidx")
-        scan = lexical_scan(np.array(qids, dtype=np.int64), matrix, n, K1, B, avgdl, DIGITS)
-        hits = matched.mapInPandas(scan, "qid bigint, id bigint, score double")
-        found = hits if found is None else found.unionByName(hits)
-    return out if found is None else found
+    schema = _hit_schema(queries, docs)
+
+    def jobs():
+        for keys, terms, matrix in _query_blocks(bm25_weights(query_terms(queries), vocab)):
+            names = docs.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "term string, tidx int")
+            matched = rows.join(F.broadcast(names), "term").select("id", "dl", "tidx")
+            scan = lexical_scan(keys, matrix, n, K1, B, avgdl, DIGITS)
+            yield lambda matched=matched, scan=scan: matched.mapInPandas(scan, schema)
+
+    return _gathered(docs, schema, jobs())
 
 
 def bm25_rank(
@@ -197,7 +201,8 @@ def bm25_rank(
 ) -> DataFrame:
     """(qid, id, score, rank) of the n best documents per query.
 
-    ``docs`` = (id, text, filter columns); ``queries`` = (qid, query).  By
+    ``docs`` = (id, text, filter columns); ``queries`` = (qid, query), or
+    (qid, variant, query) to rank each wording on its own.  By
     default the metadata filter applies after the cut to n, so fewer than n
     rows may remain; ``filter_mode='pre'`` cuts last.  ``vocab`` may be the
     stored result of ``vocabulary``; otherwise it is computed and written.
@@ -205,12 +210,13 @@ def bm25_rank(
     vocab = cut_lineage(vocabulary(docs)) if vocab is None else vocab
     filtered = any(v is not None for v in filters.values())
     allowed = docs.where(metadata_filter(**filters))
+    keys = query_keys(queries)
     if filtered and filter_mode == "pre":
-        return rank_rows(_lexical_top(allowed, queries, vocab, n), n)
-    cut = rank_rows(_lexical_top(docs, queries, vocab, n), n)
+        return rank_rows(_lexical_top(allowed, queries, vocab, n), n, keys)
+    cut = rank_rows(_lexical_top(docs, queries, vocab, n), n, keys)
     if not filtered:
         return cut
-    return rank_rows(cut.join(allowed.select("id"), "id", "left_semi").drop("rank"))
+    return rank_rows(cut.join(allowed.select("id"), "id", "left_semi").drop("rank"), by=keys)
 
 
 # --- dense side ----------------------------------------------------------------------
@@ -225,37 +231,37 @@ def dense_rank(
     block: int = QUERY_BLOCK,
     **filters,
 ) -> DataFrame:
-    """Exact nearest vectors: (qid, id, score, rank).
+    """Exact nearest vectors: (qid, id, score, rank), by wording if there are several.
 
-    ``vectors`` = (id, embedding), ``queries`` = (qid, embedding); unit vectors,
-    so the dot product is the cosine.  Queries are taken in blocks of a fixed
+    ``vectors`` = (id, embedding), ``queries`` = (qid, embedding) or (qid,
+    variant, embedding); unit vectors, so the dot product is the cosine.  Queries are taken in blocks of a fixed
     size, each block is multiplied with every partition of vectors where it
     lies, and only the n best per query and partition leave it: no pair is ever
     a row.  The filter applies before the cut.  ``skip`` names a query column
     with an id to leave out.
     """
     stored = spread(vectors.where(metadata_filter(**filters)).select("id", "embedding"))
-    cols = ["qid", "embedding"] + ([skip] if skip else [])
-    rows = queries.select(*cols).toLocalIterator(prefetchPartitions=True)
-    found: DataFrame | None = None
-    while True:
-        part = [r for _, r in zip(range(block), rows)]
-        if not part:
-            break
-        qids = np.array([r[0] for r in part], dtype=np.int64)
-        matrix = np.array([r[1] for r in part], dtype=np.float64)
-        skipped = np.array([r[2] for r in part], dtype=np.int64) if skip else None
-        hits = stored.mapInPandas(dense_scan(qids, matrix, n, skipped, DIGITS), "qid bigint, id bigint, score double")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "qid bigint, id bigint, score double")
-    return rank_rows(found, n)
+    keys, schema = query_keys(queries), _hit_schema(queries, vectors)
+    rows = queries.select(*keys, "embedding", *([skip] if skip else [])).toLocalIterator(prefetchPartitions=True)
+
+    def jobs():
+        while part := [r for _, r in zip(range(block), rows)]:
+            names = pd.DataFrame([tuple(r[c] for c in keys) for r in part], columns=keys)
+            matrix = np.array([r["embedding"] for r in part], dtype=np.float64)
+            skipped = np.array([r[skip] for r in part]) if skip else None
+            scan = dense_scan(names, matrix, n, skipped, DIGITS)
+            yield lambda scan=scan: stored.mapInPandas(scan, schema)
+
+    return rank_rows(_gathered(vectors, schema, jobs()), n, keys)
+
+
+def lsh_planes(planes: int, tables: int, dim: int, seed: int = 7) -> np.ndarray:
+    """tables x planes random normals of dim numbers."""
+    return np.random.default_rng(seed).standard_normal((tables, planes, dim))
 
 
 def lsh_buckets(vectors: DataFrame, planes: int, tables: int, dim: int, seed: int = 7) -> DataFrame:
-    """(.., table, bucket): sign pattern of random projections, in the JVM."""
-    rng = np.random.default_rng(seed)
-    normals = rng.standard_normal((tables, planes, dim))
+    """(.., bucket): sign pattern of random projections, one row a table, in the JVM."""
 
     def side(normal) -> Column:
         weights = F.array(*[F.lit(float(x)) for x in normal])
@@ -264,10 +270,26 @@ def lsh_buckets(vectors: DataFrame, planes: int, tables: int, dim: int, seed: in
         )
         return F.when(dot >= 0, "1").otherwise("0")
 
+    normals = lsh_planes(planes, tables, dim, seed)
     keys = F.array(*[F.concat(F.lit(f"{t}:"), *[side(p) for p in normals[t]]) for t in range(tables)])
     return vectors.withColumn("bucket", F.explode(keys))
 
 
+def lsh_rank(vectors: DataFrame, queries: DataFrame, n: int = PER_RANKER, *, planes: int, tables: int, dim: int) -> DataFrame:
+    """Approximate nearest vectors: candidates share a bucket with the query, and are scored exactly.
+
+    The buckets of the vectors can be stored; a query meets them by an equi-join.
+    ``dense_rank`` is the exact form that recall is measured against.
+    """
+    keys = query_keys(queries)
+    stored = lsh_buckets(vectors.select("id", "embedding"), planes, tables, dim).select("id", "bucket")
+    asked = lsh_buckets(queries.select(*keys, "embedding"), planes, tables, dim).select(*keys, "bucket")
+    pairs = asked.join(stored, "bucket").select(*keys, "id").distinct()
+    full = pairs.join(vectors.select("id", C("embedding").alias("_v")), "id").join(queries.select(*keys, C("embedding").alias("_q")), keys)
+    dot = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return rank_rows(full.select(*keys, "id", F.round(dot, DIGITS).alias("score")), n, keys)
+
+
 # --- fusion ----------------------------------------------------------------------------
 
 
@@ -371,30 +393,35 @@ def hybrid_search(
 
     ``corpus`` = (id, text, doc_key, site, ...); ``vectors`` = (id, embedding)
     plus the filter columns; ``variants`` = (qid, variant, query) adds further
-    wordings that are ranked on the lexical side and fused with the rest.
+    wordings that are ranked and fused with the rest, and so does a ``variant``
+    column of ``query_vectors`` on the dense side.  Until the last step rows
+    have ids and scores only; texts join the k rows that stay.
     """
     n = max(PER_RANKER, pool, k)
     texts = queries.select("qid", "query")
-    if variants is None:
-        lexical = bm25_rank(corpus, texts, n, vocab=vocab, **filters)
-    else:
-        # one job for all wordings: a composite query number, split again below
-        width = 1000
-        tagged = variants.select((C("qid") * width + C("variant")).alias("qid"), "query")
-        found = bm25_rank(corpus, tagged, n, vocab=vocab, **filters)
-        lexical = found.withColumn("qid", F.floor(C("qid") / width))
+    lexical = bm25_rank(corpus, texts if variants is None else variants, n, vocab=vocab, **filters)
     dense = dense_rank(vectors, query_vectors, n, **filters)
-    # n rows per query and ranker, read twice below
+    # n rows per query, wording and ranker, read twice below
     ranked = cut_lineage(
         lexical.select("qid", F.lit("lexical").alias("ranker"), "id", "rank", "score").unionByName(
             dense.select("qid", F.lit("dense").alias("ranker"), "id", "rank", "score")
         )
     )
     strongest = max_dense_score(ranked.where("ranker = 'dense'"))
-    hits = materialise(rrf_fuse(ranked, pool), strongest, corpus)
+    hits = materialise(rrf_fuse(ranked, pool), strongest, corpus.drop("text"))
     if rerank:
-        hits = rescore(hits, texts, "term_coverage" if rerank is True else rerank)
-    return diversify(hits, k)
+        hits = cut_lineage(hits)  # bounded rows per query
+        pair = pair_scores(hits, corpus, texts, "term_coverage" if rerank is True else rerank)
+        hits = rank_rows(hits.join(pair, ["qid", "id"], "left").withColumn("score", F.coalesce("pair", "score")).drop("pair", "rank"))
+    return corpus.select("id", "text").join(checked_broadcast(cut_lineage(diversify(hits, k))), "id")
+
+
+def pair_scores(pool: DataFrame, corpus: DataFrame, queries: DataFrame, scorer: str | Scorer) -> DataFrame:
+    """(qid, id, pair): the pair scorer on pools of two or more; texts stay where the corpus lies."""
+    pair = SCORERS[scorer] if isinstance(scorer, str) else scorer
+    size = F.count(F.lit(1)).over(W.partitionBy("qid"))
+    wanted = pool.select("qid", "id").withColumn("_size", size).where(C("_size") > 1).join(queries, "qid").drop("_size")
+    return corpus.select("id", "text").join(checked_broadcast(wanted), "id").select("qid", "id", F.round(pair(C("query"), C("text")), DIGITS).alias("pair"))
 
 
 # --- presentation of the hits -------------------------------------------------------------

@@ -71,11 +71,11 @@ def link_edges(pages: DataFrame, covered_hosts=()) -> DataFrame:
     return found.where(C("link").isNotNull()).select(web.canonical_url(C("page")).alias("url"), "link")
 
 
-def link_frontier(seeds: DataFrame, edges: DataFrame, stored: DataFrame, depth: int = 0, cap: int = 30) -> DataFrame:
+def link_frontier(seeds: DataFrame, edges: DataFrame, stored: DataFrame, depth: int = 0, cap: int | None = None) -> DataFrame:
     """Stored, useful pages reached from the seeds in at most ``depth`` steps.
 
     ``seeds`` = (url), ``edges`` = (url, link), ``stored`` = (url, chars).  A
-    page counts once, at its least depth; a host yields at most ``cap`` pages.
+    page counts once, at its least depth; with ``cap`` a host yields that many pages.
     """
     reached = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     frontier = reached
@@ -90,4 +90,4 @@ def link_frontier(seeds: DataFrame, edges: DataFrame, stored: DataFrame, depth:
         frontier = cut_lineage(nxt)
         reached = reached.unionByName(frontier)
     useful = stored.join(reached, "url").withColumn("host", web.url_host(C("url")))
-    return per_host_cap(useful, cap)
+    return useful if cap is None else per_host_cap(useful, cap)

@@ -189,12 +189,18 @@ def _(t):
 DOCFILE = "SELECT doc_id, concat(source, ' n°', CAST(doc_id AS VARCHAR(20)), '.txt') AS file, text, CASE WHEN lang = 'de' THEN 'ocr' ELSE 'original' END AS text_source FROM documents"
 
 
-@query("R02_document_chunks", f"""WITH RECURSIVE df AS ({DOCFILE}), {pack_sql('df', 'doc_id', 'text')}
+R02_SQL = f"""WITH RECURSIVE df AS ({DOCFILE}), {pack_sql('df', 'doc_id', 'text')}
 SELECT concat('pdf_', regexp_replace(regexp_replace(nfc_normalize(regexp_replace(df.file, '^(.+)\\.[^.]*$', '\\1')), '[^\\p{{L}}\\p{{N}}_]+', '_', 'g'), '^_+|_+$', '', 'g'), '_', chunk_index) AS id,
- c.text, df.file AS pdf_file, {Q.ratio_sql('c.text', 30, ('ar', 'fr', 'en', 'empty'))} AS language, text_source, chunk_index FROM chunks c JOIN df ON df.doc_id = c.doc_id""")
+ c.text, df.file AS pdf_file, {Q.ratio_sql('c.text', 30, ('ar', 'fr', 'en', 'empty'))} AS language, text_source, chunk_index FROM chunks c JOIN df ON df.doc_id = c.doc_id"""
+
+
+def document_rows(t):
+    return corpus.document_chunks(t.sql(DOCFILE).select("file", "text", "text_source"))
+
+
+@query("R02_document_chunks", R02_SQL)
 def _(t):
-    rows = corpus.document_chunks(t.sql(DOCFILE).select("file", "text", "text_source"))
-    return rows.select("id", "text", "metadata.pdf_file", "metadata.language", "metadata.text_source", "metadata.chunk_index")
+    return document_rows(t).select("id", "text", "metadata.pdf_file", "metadata.language", "metadata.text_source", "metadata.chunk_index")
 
 
 LANG_ATTR = "regexp_extract(html, '<html lang=\"([a-z]+)\"', 1)"
@@ -219,11 +225,18 @@ SCRAPED = f"""sp AS (SELECT page_id, {Q.host_sql('url')} AS site, url, {Q.TITLE_
  CASE WHEN regexp_replace({Q.PATH_SQL.format(u='url')}, '^/+|/+$', '', 'g') = '' THEN '_root' ELSE regexp_replace({Q.PATH_SQL.format(u='url')}, '^/+|/+$', '', 'g') END AS bare FROM pages)"""
 
 
-@query("R03_web_chunks", f"""WITH RECURSIVE {SCRAPED}, {pack_sql('sp', 'page_id', 'body')}
+R03_SQL = f"""WITH RECURSIVE {SCRAPED}, {pack_sql('sp', 'page_id', 'body')}
 SELECT concat('ext_', site, '_', {PAGE_SLUG}, '-', sp.page_id, '_', chunk_index) AS id, c.text, site, url, title,
- CASE WHEN attr = 'fr' THEN 'fr' ELSE {Q.ratio_sql('body', 30, ('ar', 'fr', 'en', 'empty'))} END AS language FROM chunks c JOIN sp ON sp.page_id = c.page_id""")
+ CASE WHEN attr = 'fr' THEN 'fr' ELSE {Q.ratio_sql('body', 30, ('ar', 'fr', 'en', 'empty'))} END AS language FROM chunks c JOIN sp ON sp.page_id = c.page_id"""
+
+
+def web_rows(t):
+    return corpus.web_chunks(scraped(t))
+
+
+@query("R03_web_chunks", R03_SQL)
 def _(t):
-    return corpus.web_chunks(scraped(t)).select("id", "text", "metadata.site", "metadata.url", "metadata.title", "metadata.language")
+    return web_rows(t).select("id", "text", "metadata.site", "metadata.url", "metadata.title", "metadata.language")
 
 
 def shared_messages(t):
@@ -238,21 +251,23 @@ SELECT concat('chat_', e.id) AS id, e.text, r.topic, {Q.ratio_sql('e.text', 30,
  WHERE e.mtype = 'message' AND length({Q.strip_sql('m.text')}) >= 20"""
 
 
-@query("R04_chat_chunks", f"WITH RECURSIVE {CHAT_CHUNKS}")
+R04_SQL = f"WITH RECURSIVE {CHAT_CHUNKS}"
+
+
+def chat_rows(t):
+    return corpus.chat_chunks(shared_messages(t), topics(t), corpus.page_index(t.pages))
+
+
+@query("R04_chat_chunks", R04_SQL)
 def _(t):
-    rows = corpus.chat_chunks(shared_messages(t), topics(t), corpus.page_index(t.pages))
-    return rows.select("id", "text", "metadata.topic", "metadata.language", "metadata.message_id", "metadata.date", "metadata.sender")
+    return chat_rows(t).select("id", "text", "metadata.topic", "metadata.language", "metadata.message_id", "metadata.date", "metadata.sender")
 
 
 @query("U01_corpus_union", f"""WITH RECURSIVE df AS ({DOCFILE}), {pack_sql('df', 'doc_id', 'text')}, {SCRAPED}, {pack_sql('sp', 'page_id', 'body').replace('pars', 'wpars').replace('fold', 'wfold').replace('packed', 'wpacked').replace('chunks', 'wchunks')}
 SELECT 'pdf' AS source_type, count(*) AS n FROM chunks UNION ALL SELECT 'external' AS source_type, count(*) AS n FROM wchunks
 UNION ALL SELECT 'chat' AS source_type, count(*) AS n FROM v_link_messages WHERE mtype = 'message' AND length({Q.strip_sql('text')}) >= 20""")
 def _(t):
-    everything = corpus.corpus_union(
-        corpus.chat_chunks(shared_messages(t), topics(t), corpus.page_index(t.pages)),
-        corpus.document_chunks(t.sql(DOCFILE).select("file", "text", "text_source")),
-        corpus.web_chunks(scraped(t)),
-    )
+    everything = corpus.corpus_union(chat_rows(t), document_rows(t), web_rows(t))
     return everything.groupBy("metadata.source_type").agg(F.count("*").alias("n"))
 
 
@@ -270,25 +285,25 @@ USEFUL = f"useful AS (SELECT url, {Q.host_sql('url')} AS host, length(body) AS c
 
 
 @query("R18_link_frontier", f"""WITH {PAGES}, {USEFUL}, seeds AS (SELECT DISTINCT {Q.canon_sql(FIRST_URL)} AS url FROM v_link_messages)
-SELECT url, host, chars, 0 AS depth, position FROM (SELECT u.*, row_number() OVER (PARTITION BY host ORDER BY u.url) AS position FROM useful u JOIN seeds s ON s.url = u.url) WHERE position <= 30""")
+SELECT u.url, host, chars, 0 AS depth FROM useful u JOIN seeds s ON s.url = u.url""")
 def _(t):
     from palaver.sources.files import seed_urls
 
     stored = corpus.page_index(t.pages).select("url", F.length("body").alias("chars")).where("chars >= 300")
     found = threads.link_frontier(seed_urls(t.link_messages, skip=False), threads.link_edges(t.pages), stored, depth=0)
-    return found.select("url", "host", "chars", "depth", "position")
+    return found.select("url", "host", "chars", "depth")
 
 
 @query("R18b_link_frontier_depth", f"""WITH {PAGES}, {USEFUL}, seeds AS (SELECT DISTINCT {Q.canon_sql(FIRST_URL)} AS url FROM v_link_messages),
 reach AS (SELECT url, 0 AS depth FROM seeds UNION ALL SELECT link AS url, 1 AS depth FROM (
   SELECT DISTINCT link FROM ({Q.links_sql()}) l WHERE {Q.canon_sql('l.url')} IN (SELECT url FROM seeds)) WHERE link NOT IN (SELECT url FROM seeds))
-SELECT url, host, chars, depth, position FROM (SELECT u.*, r.depth, row_number() OVER (PARTITION BY host ORDER BY r.depth, u.url) AS position FROM useful u JOIN reach r ON r.url = u.url) WHERE position <= 30""")
+SELECT u.url, host, chars, r.depth FROM useful u JOIN reach r ON r.url = u.url""")
 def _(t):
     from palaver.sources.files import seed_urls
 
     stored = corpus.page_index(t.pages).select("url", F.length("body").alias("chars")).where("chars >= 300")
     found = threads.link_frontier(seed_urls(t.link_messages, skip=False), threads.link_edges(t.pages), stored, depth=1)
-    return found.select("url", "host", "chars", "depth", "position")
+    return found.select("url", "host", "chars", "depth")
 
 
 @query("W13_per_host_cap", f"SELECT url, host, position FROM (SELECT url, {Q.host_sql('url')} AS host, row_number() OVER (PARTITION BY {Q.host_sql('url')} ORDER BY url, page_id) AS position FROM pages) WHERE position <= 30")

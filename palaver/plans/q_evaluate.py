@@ -11,6 +11,8 @@ from palaver.plans import q_rank as K
 from palaver.plans import q_text as Q
 from palaver.plans import sql_rank as S
 from palaver.plans.registry import query
+from palaver.plans.scale import checked_broadcast
+from palaver.session import cut_lineage
 
 C = F.col
 
@@ -174,23 +176,22 @@ def _(t):
 # its first five documents contains the whole original text ------------------------------
 
 SQL_FORMS = ["original", "lowercase_no_punct", "truncate_3", "reverse"]
-WIDTH = 1000
 
 
 def stress(t, forms=None):
     wordings = ev.perturbed_queries(t.queries, forms)
-    asked = wordings.where(~C("skipped")).select((C("qid") * WIDTH + C("form_no")).alias("qid"), "query")
-    hits = rank.bm25_rank(K.corpus(t), asked, 5)
-    originals = t.queries.select(C("qid").alias("_q"), C("query").alias("phrase"), "must_refuse")
+    asked = wordings.where(~C("skipped")).select("qid", C("form_no").alias("variant"), "query")
+    hits = cut_lineage(rank.bm25_rank(K.corpus(t), asked, 5))  # five rows a wording
+    originals = t.queries.select("qid", C("query").alias("phrase"))
     judged = (
-        K.corpus(t).select("id", "text").join(hits, "id")
-        .withColumn("_q", F.floor(C("qid") / WIDTH)).join(originals.drop("must_refuse"), "_q")
-        .groupBy("_q", (C("qid") % WIDTH).alias("form_no"))
-        .agg(F.bool_or(F.contains("text", C("phrase"))).alias("_hit"), F.max(F.when(C("rank") == 1, C("score"))).alias("top1_score"))
+        K.corpus(t).select("id", "text").join(checked_broadcast(hits.join(originals, "qid")), "id")
+        .select("qid", "variant", F.contains("text", C("phrase")).alias("found"), F.when(C("rank") == 1, C("score")).alias("top"))
+        .groupBy("qid", C("variant").alias("form_no"))
+        .agg(F.bool_or("found").alias("_hit"), F.max("top").alias("top1_score"))
     )
     refuse = t.queries.select("qid", "must_refuse")
     return (
-        wordings.withColumnRenamed("qid", "_q").join(judged, ["_q", "form_no"], "left").withColumnRenamed("_q", "qid").join(refuse, "qid")
+        wordings.join(judged, ["qid", "form_no"], "left").join(refuse, "qid")
         .withColumn("hit_any", F.when(~C("must_refuse"), F.coalesce("_hit", F.lit(False))))
         .select("qid", "perturbation", "hit_any", "top1_score", "skipped")
     )

@@ -7,8 +7,10 @@ from pyspark.sql.types import DoubleType
 
 from palaver.functions import text as tx
 from palaver.operators import rank
+from palaver.plans import q_corpus as K
 from palaver.plans import sql_rank as S
 from palaver.plans.registry import query
+from palaver.session import cut_lineage
 
 C = F.col
 
@@ -86,12 +88,30 @@ def _(t):
     return rank.dense_rank(stored, t.item_vectors, 10, label=3).select("qid", C("id").alias("vec_id"), "rank")
 
 
-@query("R06b_lsh_buckets")
+def bucket_sql(planes: int, tables: int, dim: int) -> str:
+    """The buckets of ``embedding`` as a list: the planes are drawn from a fixed seed."""
+    side = lambda p: f"CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), {[float(x) for x in p]}) >= 0 THEN '1' ELSE '0' END"
+    return "[" + ", ".join(f"concat('{i}:', {', '.join(map(side, t))})" for i, t in enumerate(rank.lsh_planes(planes, tables, dim))) + "]"
+
+
+@query("R06b_lsh_buckets", f"SELECT bucket, count(*) AS n FROM (SELECT unnest({bucket_sql(8, 2, 64)}) AS bucket FROM embeddings) GROUP BY bucket")
 def _(t):
     first = t.embeddings.select("vec_id", "embedding")
     return rank.lsh_buckets(first, planes=8, tables=2, dim=64).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+LSH_SQL = f"""lv AS (SELECT vec_id, unnest({bucket_sql(6, 8, 64)}) AS bucket FROM embeddings), lq AS (SELECT qid, unnest({bucket_sql(6, 8, 64)}) AS bucket FROM v_item_vectors),
+lsh AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (
+ SELECT q.qid, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score
+ FROM (SELECT DISTINCT lq.qid, lv.vec_id FROM lq JOIN lv ON lv.bucket = lq.bucket) c JOIN v_item_vectors q ON q.qid = c.qid JOIN embeddings v ON v.vec_id = c.vec_id))"""
+
+
+@query("R06c_lsh_search", f"WITH {LSH_SQL} SELECT qid, vec_id, rank FROM lsh WHERE rank <= 10")
+def _(t):
+    stored = t.embeddings.select(C("vec_id").alias("id"), "embedding")
+    return rank.lsh_rank(stored, t.item_vectors, 10, planes=6, tables=8, dim=64).select("qid", C("id").alias("vec_id"), "rank")
+
+
 @query("W04_rank_per_ranker", f"WITH {S.bm25()}, {S.DENSE} SELECT 'lexical' AS ranker, qid, doc_id, rank FROM bmr UNION ALL SELECT 'dense' AS ranker, qid, doc_id, rank FROM dnr")
 def _(t):
     return ids(both(t), "ranker", "qid", "doc_id", "rank")
@@ -113,12 +133,12 @@ def _(t):
     return ids(rank.rrf_fuse(both(t)), "qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("R08_max_dense_score", f"""WITH {S.DENSE}, flipped AS (SELECT qid, doc_id, -score AS score FROM dnr)
-SELECT qid, doc_id, round(max(score), 6) AS dense_score FROM (SELECT qid, doc_id, score FROM dnr UNION ALL SELECT qid, doc_id, score FROM flipped) GROUP BY qid, doc_id""")
+@query("R08_max_dense_score", f"""WITH wordings AS (SELECT qid * 2 AS qid, embedding FROM v_item_vectors UNION ALL SELECT qid * 2 + 1 AS qid, list_reverse(embedding) AS embedding FROM v_item_vectors),
+{S.DENSE.replace('v_item_vectors', 'wordings')} SELECT qid // 2 AS qid, doc_id, round(max(score), 6) AS dense_score FROM dnr GROUP BY qid // 2, doc_id""")
 def _(t):
-    d = dense(t).select("qid", "id", "score")
-    variants = d.unionByName(d.withColumn("score", -C("score")))
-    return ids(rank.max_dense_score(variants), "qid", "doc_id", F.round("dense_score", 6).alias("dense_score"))
+    first = t.item_vectors.select("qid", F.lit(0).alias("variant"), "embedding")
+    wordings = first.unionByName(t.item_vectors.select("qid", F.lit(1).alias("variant"), F.reverse("embedding").alias("embedding")))
+    return ids(rank.max_dense_score(rank.dense_rank(vectors(t), wordings)), "qid", "doc_id", F.round("dense_score", 6).alias("dense_score"))
 
 
 @query("R09_query_variants", r"""
@@ -222,6 +242,68 @@ def _(t):
     return final(search(t, variants=variants))
 
 
+# the chunks that the engine builds itself, with their string ids; a chunk gets a stored vector by its length
+CHUNK_SQL = f"""ck AS (SELECT id AS doc_id, text, language, pdf_file AS doc_key, '' AS site FROM ({K.R02_SQL})
+ UNION ALL SELECT id AS doc_id, text, language, url AS doc_key, site FROM ({K.R03_SQL})
+ UNION ALL SELECT id AS doc_id, text, language, '' AS doc_key, '' AS site FROM ({K.R04_SQL})),
+cv AS (SELECT k.doc_id, k.language, e.embedding FROM ck k JOIN embeddings e ON e.vec_id = length(k.text) % (SELECT count(*) FROM embeddings))"""
+CHUNK_QUERIES = "SELECT concat('q', qid) AS qid, query FROM v_queries"
+CHUNK_VECTORS = "SELECT concat('q', qid) AS qid, embedding FROM v_item_vectors"
+
+
+def chunks(t):
+    """(corpus, vectors) of document, page and chat chunks."""
+    blank = F.lit("")
+    documents = K.document_rows(t).select("id", "text", "metadata.language", C("metadata.pdf_file").alias("doc_key"), blank.alias("site"))
+    pages = K.web_rows(t).select("id", "text", "metadata.language", C("metadata.url").alias("doc_key"), "metadata.site")
+    said = K.chat_rows(t).select("id", "text", "metadata.language", blank.alias("doc_key"), blank.alias("site"))
+    rows = cut_lineage(documents.unionByName(pages).unionByName(said))  # chunks are a stored table
+    n = t.embeddings.agg(F.count(F.lit(1))).scalar()
+    keyed = rows.select("id", "language", (F.length("text") % n).alias("vec_id"))
+    return rows, keyed.join(t.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
+def chunk_search_sql(lexical: str, dense: str, queries: str, vectors: str) -> str:
+    bm = S.BM25.replace("documents", "ck").replace("{queries}", "cq")
+    dn = S.DENSE.replace("v_item_vectors", "cqv").replace("v_doc_vectors", "cv")
+    fused = S.FUSED.replace("documents c", "ck c").replace("c.source AS site,\n   concat(c.source, '/', c.n_chars % 50) AS doc_key, c.lang", "c.site, c.doc_key")
+    fused = fused.replace("SELECT qid, doc_id, rank FROM bmr", lexical).replace("SELECT qid, doc_id, rank FROM dnr", dense)
+    fused = fused.replace("LEFT JOIN dnr dn", "LEFT JOIN dbest dn")
+    # blank keys never cap
+    best = S.diversified("hits").replace("WHERE nd <= 1", "WHERE nd <= 1 OR doc_key = ''").replace("WHERE ns <= 2", "WHERE ns <= 2 OR site = ''")
+    return f"""WITH RECURSIVE cq AS ({queries}), cqv AS ({vectors}), {CHUNK_SQL}, {bm}, {dn},
+dbest AS (SELECT split_part(qid, '/', 1) AS qid, doc_id, max(score) AS score FROM dnr GROUP BY split_part(qid, '/', 1), doc_id), {fused}, {best}
+SELECT qid, rank, doc_id, round(score, 6) AS score, round(dense_score, 6) AS dense_score, site FROM best"""
+
+
+def chunk_queries(t):
+    return t.queries.select(F.concat(F.lit("q"), C("qid").cast("string")).alias("qid"), "query")
+
+
+def chunk_query_vectors(t):
+    return t.item_vectors.select(F.concat(F.lit("q"), C("qid").cast("string")).alias("qid"), "embedding")
+
+
+@query("R12c_chunk_search", chunk_search_sql(
+    "SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bmr WHERE doc_id IN (SELECT doc_id FROM ck WHERE language = 'fr')",
+    "SELECT qid, doc_id, rank FROM dnr", CHUNK_QUERIES, CHUNK_VECTORS).replace("CROSS JOIN cv v", "JOIN cv v ON v.language = 'fr'"))
+def _(t):
+    rows, stored = chunks(t)
+    return final(rank.hybrid_search(rows, chunk_queries(t), stored, chunk_query_vectors(t), language="fr"))
+
+
+@query("R12d_chunk_search_variants", chunk_search_sql(
+    "SELECT split_part(qid, '/', 1) AS qid, doc_id, rank FROM bmr", "SELECT split_part(qid, '/', 1) AS qid, doc_id, rank FROM dnr",
+    CHUNK_QUERIES + r""" UNION ALL SELECT concat('q', qid, '/1') AS qid, array_to_string(list_reverse(list_filter(regexp_split_to_array(query, '\s+'), lambda w: w <> '')), ' ') AS query FROM v_queries""",
+    CHUNK_VECTORS + " UNION ALL SELECT concat('q', qid, '/1') AS qid, list_reverse(embedding) AS embedding FROM v_item_vectors"))
+def _(t):
+    rows, stored = chunks(t)
+    asked, own = chunk_queries(t), chunk_query_vectors(t)
+    variants = asked.select("qid", F.lit(0).alias("variant"), "query").unionByName(asked.select("qid", F.lit(1).alias("variant"), tx.reversed_words(C("query")).alias("query")))
+    vectors = own.select("qid", F.lit(0).alias("variant"), "embedding").unionByName(own.select("qid", F.lit(1).alias("variant"), F.reverse("embedding").alias("embedding")))
+    return final(rank.hybrid_search(rows, asked, stored, vectors, variants=variants))
+
+
 @query("W11_top_margin", f"WITH {S.DENSE} SELECT qid, round(max(score) FILTER (WHERE rank = 1), 6) AS top1, round(max(score) FILTER (WHERE rank = 2), 6) AS top2, round(max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2), 6) AS margin FROM dnr GROUP BY qid")
 def _(t):
     return rank.top_margin(dense(t)).select("qid", F.round("top1", 6).alias("top1"), F.round("top2", 6).alias("top2"), "margin")

@@ -31,16 +31,18 @@ def _(t):
 def _(t):
     rows = events(t).select(C("event_id").alias("id"), "user_id", "ts")
     doubled = rows.unionByName(events(t).select(C("event_id").alias("id"), "user_id", "ts"))
-    return sinks.run_to_table(sinks.message_stream(doubled), "messages").select("id", "user_id")
+    return sinks.message_table(doubled).select("id", "user_id")
 
 
-@query("X13_answer_feedback_join")
+@query("X13_answer_feedback_join", """SELECT a.user_id AS chat_id, a.event_id AS message_id, a.ts, CASE WHEN v.event_id IS NOT NULL THEN 'useful' END AS rating, v.ts AS created_at
+FROM (SELECT * FROM events WHERE event_type = 'view') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') v
+ ON v.user_id = a.user_id AND v.event_id = a.event_id + 1 AND v.ts >= a.ts AND v.ts <= a.ts + INTERVAL '7' DAY""")
 def _(t):
     answers = events(t).where("event_type = 'view'").select(C("user_id").alias("chat_id"), C("event_id").alias("message_id"), "ts")
     votes = events(t).where("event_type = 'click'").select(
         C("user_id").alias("chat_id"), (C("event_id") - 1).alias("message_id"), F.lit("useful").alias("rating"), C("ts").alias("created_at")
     )
-    return sinks.run_to_table(sinks.answer_votes(answers, votes), "answers")
+    return sinks.answer_votes(answers, votes)
 
 
 @query("X01b_cooldown_stream", """WITH RECURSIVE acc AS (

@@ -26,7 +26,7 @@ def strip_sql(e: str) -> str:
 
 def ratio_sql(col: str, arabic: int, labels) -> str:
     ar, fr, en, none = labels
-    head = f"substring(coalesce({col}, ''), 1, 5000)"
+    head = f"coalesce({col}, '')"
     toks = f"regexp_extract_all(lower({head}), '[a-zA-ZÀ-ÿ]+')"
     n_ar = f"len(regexp_extract_all({head}, '{AR}'))"
     wordless = f"CASE WHEN {n_ar} > 0 THEN '{ar}' ELSE '{none}' END" if none == "empty" else f"'{none}'"
@@ -200,10 +200,10 @@ def _(t):
     return t.pages.select("page_id", web.strip_html(C("html")).alias("body"))
 
 
-@query("F12_html_unescape", f"SELECT page_id, {unescape_sql('html')} AS decoded, TRUE AS same_as_full FROM pages")
+@query("F12_html_unescape", f"SELECT page_id, {unescape_sql('html')} || ' université début — ℵ' AS decoded FROM pages")
 def _(t):
-    common = web.unescape_common(C("html"))
-    return t.pages.select("page_id", common.alias("decoded"), (common == web.unescape_all(C("html"))).alias("same_as_full"))
+    named = F.concat("html", F.lit(" universit&eacute; d&#233;but &#x2014; &alefsym;"))
+    return t.pages.select("page_id", web.unescape_all(named).alias("decoded"))
 
 
 TITLE_SQL = strip_sql(unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
@@ -302,7 +302,14 @@ def _(t):
     )
 
 
-@query("F22_scrub_citations")
+def scrub_sql(e: str) -> str:
+    e = f"regexp_replace({e}, '{cite.GROUP}', '', 'g')"
+    for pattern, kept in cite.TIDY:
+        e = f"regexp_replace({e}, '{pattern}', '{kept}', 'g')"
+    return strip_sql(e)
+
+
+@query("F22_scrub_citations", f"SELECT answer_id, {scrub_sql('answer')} AS scrubbed FROM v_answers")
 def _(t):
     return t.answers.select("answer_id", cite.scrub_citations(C("answer")).alias("scrubbed"))
 

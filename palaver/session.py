@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import palaver
 from pyspark import cloudpickle
@@ -48,16 +47,14 @@ def local_session(cpus: int = 8, memory: str = "12g", **extra: str) -> SparkSess
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, else one in the warehouse.
 
-    Only a local master may fall back to a folder of its own: on a cluster a
-    machine-local folder would be lost with its executor, so that is an error.
+    The warehouse, too, is a folder that driver and executors share; a
+    machine-local folder would be lost with its executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_runs")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -77,7 +74,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
-    """Path of a fresh table folder below the shared folder."""
+    """Path of a fresh table folder below the shared folder.
+
+    All tables of an application lie in one folder named after it, which can go
+    when the application has ended.
+    """
     import uuid
 
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(checkpoint_dir(spark), spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")

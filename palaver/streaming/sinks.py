@@ -13,12 +13,15 @@ C = F.col
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """One of the tables as a file stream."""
+    """One of the tables as a file stream, be it one file or a folder of part files.
+
+    A table that does not exist raises, as it does when read as a batch.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parque[t]")  # a pattern may match a file or a folder
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -41,20 +44,37 @@ def log_rows(records: DataFrame) -> DataFrame:
     )
 
 
-def message_stream(records: DataFrame, delay: str = "1 day", ts: str = "ts") -> DataFrame:
-    """New messages, each id once within the watermark."""
-    return records.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
+def message_table(records: DataFrame, name: str = "messages") -> DataFrame:
+    """Drain a stream of messages into a table that holds each id once.
+
+    A batch drops the ids that are stored already, however old the message is;
+    a batch that runs again after a failure therefore adds nothing twice.
+    """
+    spark = records.sparkSession
+    path, schema = scratch_table(spark, name), records.schema
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        known = batch.sparkSession.read.schema(schema).parquet(path).select("id")
+        batch.dropDuplicates(["id"]).join(known, "id", "left_anti").select(*schema.names).write.mode("append").parquet(path)
+
+    query = (
+        records.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", scratch_table(spark, f"{name}-log")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(path)
 
 
-def answer_votes(answers: DataFrame, votes: DataFrame, within: str = "7 days", delay: str = "1 day") -> DataFrame:
-    """Answers with the votes that follow within a time; answers without a vote
-    appear once no vote can come any more.
+def answer_votes(answers: DataFrame, votes: DataFrame, within: str = "7 days") -> DataFrame:
+    """Every answer with the votes that follow within a time, or without one.
 
     ``answers`` = (chat_id, message_id, ts), ``votes`` = (chat_id, message_id,
-    rating, created_at).
+    rating, created_at), as streams.  Both are stored as they come and joined
+    when read, so no answer waits for a watermark and no late vote is lost.
     """
-    a = answers.withWatermark("ts", delay).alias("a")
-    v = votes.withWatermark("created_at", delay).alias("v")
+    a = run_to_table(answers, "answers").alias("a")
+    v = run_to_table(votes, "votes").alias("v")
     cond = F.expr(
         "a.chat_id = v.chat_id AND a.message_id = v.message_id "
         f"AND v.created_at >= a.ts AND v.created_at <= a.ts + INTERVAL {within}"

@@ -48,9 +48,13 @@ def test_bm25(spark, monkeypatch):
 
     assert lists(got) == want
     frames = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "qid long, query string")
-    assert lists(rank.rank_rows(rank.bm25_scores(*frames), 10)) == want
     monkeypatch.setattr(rank, "BLOCK_CELLS", 12)  # several blocks of queries
     assert lists(rank.bm25_rank(*frames, 10)) == want
+    # ids and query names of any type, several wordings
+    named = frames[0].withColumn("id", F.format_string("d%05d", "id"))
+    asked = frames[1].select(F.concat(F.lit("q"), "qid").alias("qid"), F.lit(1000).alias("variant"), "query")
+    found = rank.bm25_rank(named, asked, 10).select(F.substring("qid", 2, 9).cast("long").alias("qid"), "variant", F.substring("id", 2, 9).cast("long").alias("id"), "rank")
+    assert lists(found) == want and {r.variant for r in found.collect()} == {1000}
 
 
 def unit(rng, n, dim=8):
