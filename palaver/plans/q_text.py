@@ -517,10 +517,10 @@ def _(t):
     return t.pages.select("page_id", web.crawl_skip(C("url")).alias("skipped"))
 
 
-@query("P06_photo_only_filter", f"""SELECT id FROM (SELECT id, mtype, has_photo, CASE WHEN turn = 3 THEN ' ' ELSE text END AS text FROM v_messages)
+@query("P06_photo_only_filter", f"""SELECT id FROM (SELECT id, mtype, has_photo, CASE WHEN turn = 5 THEN ' ' ELSE text END AS text FROM v_messages)
 WHERE mtype = 'message' AND has_photo AND {strip_sql('text')} = ''""")
 def _(t):
-    blanked = t.messages.withColumn("text", F.when(C("turn") == 3, F.lit(" ")).otherwise(C("text")))
+    blanked = t.messages.withColumn("text", F.when(C("turn") == 5, F.lit(" ")).otherwise(C("text")))
     return activity.photo_only(blanked).select("id")
 
 
