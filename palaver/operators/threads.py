@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import web
 from palaver.plans.scale import lookup
-from palaver.session import cut_lineage
+from palaver.session import cut_lineage, scratch_table
 
 C = F.col
 
@@ -25,22 +25,24 @@ def resolve_topics(messages: DataFrame, topics: DataFrame, *, max_rounds: int |
     """
     titles = topics.select(C("id").alias("ptr"), F.struct(C("title").alias("v")).alias("_t"))
     edges = messages.where(C("reply_to").isNotNull()).select("id", C("reply_to").alias("ptr"))
+    spark, path = messages.sparkSession, scratch_table(messages.sparkSession, "settled")
     state = cut_lineage(lookup(edges, titles, "ptr"))
     rounds = max_rounds
     for _ in range(64):
-        open_rows = state.where(C("_t").isNull())
+        # rows that have settled are written once and stay; only open ones move on
+        state.where(C("_t").isNotNull()).select("id", "_t").write.mode("append").parquet(path)
+        open_rows = state.where(C("_t").isNull()).drop("_t")
         left = open_rows.count()
         if left == 0 or rounds == 0:
             break
         if rounds is None:
             rounds = math.ceil(math.log2(left + 1)) + 1
         rounds -= 1
-        step = state.select(C("id").alias("ptr"), C("ptr").alias("_next"), C("_t").alias("_found"))
-        moved = lookup(open_rows.drop("_t"), step, "ptr", how="inner").select(
-            "id", C("_next").alias("ptr"), C("_found").alias("_t")
-        )
-        state = cut_lineage(state.where(C("_t").isNotNull()).unionByName(moved))
-    return state.where(C("_t").isNotNull()).select("id", C("_t.v").alias("topic"))
+        settled = spark.read.parquet(path).select(C("id").alias("ptr"), F.lit(None).cast(open_rows.schema["ptr"].dataType).alias("_next"), C("_t").alias("_found"))
+        step = settled.unionByName(open_rows.select(C("id").alias("ptr"), C("ptr").alias("_next"), F.lit(None).cast(settled.schema["_found"].dataType).alias("_found")))
+        moved = lookup(open_rows, step, "ptr", how="inner").select("id", C("_next").alias("ptr"), C("_found").alias("_t"))
+        state = cut_lineage(moved)
+    return spark.read.schema(state.select("id", "_t").schema).parquet(path).select("id", C("_t.v").alias("topic"))
 
 
 def reply_chain_topic(messages: DataFrame, topics: DataFrame) -> DataFrame:

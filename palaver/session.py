@@ -43,7 +43,7 @@ def local_session(cpus: int = 8, memory: str = "12g", **extra: str) -> SparkSess
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

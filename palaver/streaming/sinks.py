@@ -83,30 +83,31 @@ def answer_votes(answers: DataFrame, votes: DataFrame, within: str = "7 days") -
 
 
 def registry_merge(state: str):
-    """``foreachBatch`` function that folds events into a table of users.
+    """``foreachBatch`` function that adds a batch's part to a table of users.
 
-    Counters add up, the last activity advances.  Each batch writes the next
-    version of the table and then moves the pointer, so a batch that is run
-    again after a failure starts from the version before it.
+    A batch writes one row for each user it has seen into a folder of its own,
+    so its work does not grow with the table, and a batch that is run again
+    after a failure replaces its own part only.
     """
-    schema = "user_id bigint, query_count bigint, joined_at timestamp, last_active_at timestamp"
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         new = batch.groupBy("user_id").agg(
             F.count("*").alias("query_count"), F.min("ts").alias("joined_at"), F.max("ts").alias("last_active_at")
         )
-        before = spark.read.schema(schema).parquet(f"{state}/epoch={epoch - 1}") if epoch else spark.createDataFrame([], schema)
-        merged = before.unionByName(new).groupBy("user_id").agg(
-            F.sum("query_count").alias("query_count"), F.min("joined_at").alias("joined_at"), F.max("last_active_at").alias("last_active_at")
-        )
-        merged.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        new.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
     return merge
 
 
+def registry(parts: DataFrame) -> DataFrame:
+    """The table of users from its parts; also what a compaction of old parts writes."""
+    return parts.groupBy("user_id").agg(
+        F.sum("query_count").alias("query_count"), F.min("joined_at").alias("joined_at"), F.max("last_active_at").alias("last_active_at")
+    )
+
+
 def user_registry(events: DataFrame) -> DataFrame:
-    """Run the registry over a stream of (user_id, ts) and return the last table."""
+    """Run the registry over a stream of (user_id, ts) and return the table."""
     spark = events.sparkSession
     state = scratch_table(spark, "users")
     query = (
@@ -114,9 +115,8 @@ def user_registry(events: DataFrame) -> DataFrame:
         .option("checkpointLocation", scratch_table(spark, "users-log")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    table = spark.read.parquet(state)
-    last = table.agg(F.max("epoch")).scalar()
-    return table.where(C("epoch") == last).drop("epoch")
+    schema = "user_id bigint, query_count bigint, joined_at timestamp, last_active_at timestamp"
+    return registry(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(state))
 
 
 def prune_old(oplog: DataFrame, now, days: int = 30) -> DataFrame:
