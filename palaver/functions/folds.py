@@ -108,9 +108,13 @@ def awarded(state, rows):
     return json.dumps(held), out
 
 
-def grouped(fold: Fold, order: list[str], columns: list[str], keys: list[str]):
+def grouped(fold: Fold, order: list[str], columns: list[str], keys: list[str], time: str = "", seconds: float = 0):
     """Adapt a fold to ``applyInPandasWithState``: the rows of a key in one
-    micro-batch are put in order, folded, and the state is stored as text."""
+    micro-batch are put in order, folded, and the state is stored as text.
+
+    With ``time``, a column, the state of a key goes once the watermark is so
+    many seconds past its last row.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -119,6 +123,9 @@ def grouped(fold: Fold, order: list[str], columns: list[str], keys: list[str]):
         rows = pd.concat(list(batches)).sort_values(order)
         after, out = fold(state.get[0] if state.exists else None, rows)
         state.update((after or "",))
+        if time:
+            due = int((rows[time].max().timestamp() + seconds) * 1000) + 1
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if out:
             pdf = pd.DataFrame(out, columns=columns)
             for name, value in zip(keys, key):

@@ -180,10 +180,13 @@ def _(t):
     return history.pending_report_asof(t.sql(REPORTS), t.sql(INBOX), ["user_id"], minutes=1440)
 
 
-@query("J22_attach_report_reason", f"""WITH line AS (SELECT user_id, created_at AS ts, 0 AS kind, id, NULL AS text FROM ({REPORTS}) UNION ALL SELECT user_id, ts, 1 AS kind, id, text FROM ({INBOX})),
+REASONS = f"""WITH line AS (SELECT user_id, created_at AS ts, 0 AS kind, id, NULL AS text FROM ({REPORTS}) UNION ALL SELECT user_id, ts, 1 AS kind, id, text FROM ({INBOX})),
 s AS (SELECT *, sum(CASE WHEN kind = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, kind, id) - CASE WHEN kind = 0 THEN 1 ELSE 0 END AS level FROM line),
 p AS (SELECT *, lag(kind) OVER w AS pkind, lag(id) OVER w AS report_id, lag(ts) OVER w AS pts FROM s WINDOW w AS (PARTITION BY user_id, level ORDER BY ts, kind, id))
-SELECT report_id, id AS message_id, substring(text, 1, 500) AS reason FROM p WHERE kind = 1 AND pkind = 0 AND pts >= ts - INTERVAL '1440' MINUTE""")
+SELECT report_id, id AS message_id, substring(text, 1, 500) AS reason FROM p WHERE kind = 1 AND pkind = 0 AND pts >= ts - INTERVAL '1440' MINUTE"""
+
+
+@query("J22_attach_report_reason", REASONS)
 def _(t):
     return history.attach_report_reason(t.sql(REPORTS), t.sql(INBOX), ["user_id"], minutes=1440)
 

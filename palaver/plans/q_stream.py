@@ -54,6 +54,27 @@ def _(t):
     return sinks.run_to_table(stateful.cooldown_stream(events(t), 6 * 3600), "accepted").select("event_id", "user_id")
 
 
+@query("X02c_feedback_toggle_stream", f"WITH RECURSIVE {A.FOLDED} SELECT id, outcome FROM folded")
+def _(t):
+    clicks = sinks.replay(t.sql(A.CLICKS), "clicks")
+    return sinks.run_to_table(stateful.toggle_stream(clicks), "outcomes").select("id", "outcome")
+
+
+@query("X04b_conversation_memory_stream", A.HISTORY)
+def _(t):
+    # a turn with index 0 resets the conversation
+    turns = t.turns.withColumn("visible", ~C("refused")).withColumn("reset", C("turn_idx") == 0)
+    return sinks.run_to_table(stateful.memory_stream(sinks.replay(turns, "turns"), 2, 24), "memory").select("question_id", "id", "back")
+
+
+@query("X05b_pending_report_stream", A.REASONS)
+def _(t):
+    reports = t.sql(A.REPORTS).select("user_id", F.lit(0).alias("kind"), "id", C("created_at").alias("ts"), F.lit(None).cast("string").alias("text"))
+    said = t.sql(A.INBOX).select("user_id", F.lit(1).alias("kind"), "id", "ts", "text")
+    line = sinks.replay(reports.unionByName(said), "line")
+    return sinks.run_to_table(stateful.report_stream(line, 1440), "reasons").select("report_id", "message_id", "reason")
+
+
 @query("X03b_streak_stream", f"WITH {A.STREAKS} SELECT user_id, current_streak, best_streak FROM streak")
 def _(t):
     days = sinks.run_to_table(stateful.streak_stream(events(t)), "streaks")

@@ -24,6 +24,13 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(f"{folder}/{name}.parque[t]")  # a pattern may match a file or a folder
 
 
+def replay(df: DataFrame, name: str) -> DataFrame:
+    """A derived table as a stream: written into the shared folder and read as it comes."""
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain a stream into a Parquet table of the shared folder and read it."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ def feed(spark, tmp_path):
 
 def events(spark, n=400, seed=1):
     rnd = random.Random(seed)
-    rows = [(i, rnd.randint(1, 4), rnd.randint(0, 12 * 86400)) for i in range(n)]
+    rows = [(i, rnd.randint(1, 4), 10**6 + rnd.randint(0, 12 * 86400)) for i in range(n)]
     return spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
 
 
@@ -54,7 +54,7 @@ def test_votes(spark, feed):
 
 def test_memory(spark, feed):
     rnd = random.Random(3)
-    rows = [(i, 1, i % 2, i // 2, "user" if rnd.random() < 0.5 else "assistant", rnd.random() < 0.8, i * 9000) for i in range(120)]
+    rows = [(i, 1, i % 2, i // 2, "user" if rnd.random() < 0.5 else "assistant", rnd.random() < 0.8, 10**6 + i * 9000) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, chat_id long, user_id long, turn_idx int, role string, visible boolean, s long").withColumn("ts", F.timestamp_seconds("s")).withColumn("reset", F.lit(False))
     got = sinks.run_to_table(stateful.memory_stream(feed(df, "ts", "t"), 2, 24), "t")
     turns = df.withColumn("refused", ~C("visible")).withColumn("cleared_at", F.lit(None).cast("timestamp"))
@@ -70,7 +70,7 @@ def test_reset_forgets(spark):
 
 def test_report_reasons(spark, feed):
     rnd = random.Random(4)
-    rows = [(rnd.randint(1, 3), rnd.randint(0, 1), i, i * 97, f"m{i}") for i in range(200)]
+    rows = [(rnd.randint(1, 3), rnd.randint(0, 1), i, 10**6 + i * 97, f"m{i}") for i in range(200)]
     df = spark.createDataFrame(rows, "user_id long, kind int, id long, s long, text string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     got = sinks.run_to_table(stateful.report_stream(feed(df, "ts", "r")), "r")
     reports = df.where("kind = 0").withColumnRenamed("ts", "created_at")
@@ -79,6 +79,35 @@ def test_report_reasons(spark, feed):
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
 
+def test_state_expires(spark, feed):
+    rows = [(i // 10, 0, i, i * 3600, f"m{i}") for i in range(80)]  # a new user every ten hours
+    df = spark.createDataFrame(rows, "user_id long, kind int, id long, s long, text string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    stream = stateful.report_stream(feed(df, "ts", "x"), delay="1 minute")
+    query = stream.writeStream.format("memory").queryName("reasons").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) < 8 and kept[-1] <= 3
+
+
+def test_messages_and_votes_keep_late_rows(spark, feed):
+    times = [0, 10, 20, 0, 30, 5]
+    rows = [(i, d * 86400) for i, d in zip([1, 2, 3, 1, 5, 4], times)]
+    df = spark.createDataFrame(rows, "id long, s long").withColumn("n", F.monotonically_increasing_id())
+    assert sorted(r.id for r in sinks.message_table(feed(df, "n", "late")).collect()) == [1, 2, 3, 4, 5]
+    answers = spark.createDataFrame([(1, i, i * 86400) for i in range(6)], "chat_id long, message_id long, s long").select("chat_id", "message_id", F.timestamp_seconds("s").alias("ts"))
+    votes = spark.createDataFrame([(1, 2, "useful", 3 * 86400), (1, 3, "useful", 30 * 86400)], "chat_id long, message_id long, rating string, s long")
+    votes = votes.select("chat_id", "message_id", "rating", F.timestamp_seconds("s").alias("created_at"))
+    got = sinks.answer_votes(feed(answers, "ts", "answers"), feed(votes, "created_at", "votes")).collect()
+    assert sorted((r.message_id, r.rating) for r in got if r.rating) == [(2, "useful")] and len(got) == 6
+
+
+def test_folder_table_streams(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert sinks.run_to_table(sinks.stream_table(spark, str(tmp_path), "events"), "e").count() == 100
+    with pytest.raises(Exception):
+        sinks.stream_table(spark, str(tmp_path), "orders")
+
+
 def test_registry_and_windows(spark, feed):
     df = events(spark)
     got = sinks.user_registry(feed(df.select("user_id", "ts"), "ts", "u"))
