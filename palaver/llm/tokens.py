@@ -10,10 +10,12 @@ segment are decoded side by side by table look-up.  ``read`` gives the ids back.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,10 +29,11 @@ from palaver.llm.shared import parts, scratch, stored
 MAX_BITS = 18  # length limit of a code; the decoding table has 2**MAX_BITS entries
 BLOCK = 1024  # ids between two checkpoints
 SEGMENT = 1 << 19  # ids after which a segment ends (it ends with a document)
-CACHE = 300_000  # pieces of text whose ids a worker remembers
+CACHE = 1_200_000  # pieces of text whose ids a worker remembers: about 200 bytes each
 LONGEST = 48  # characters of the longest piece remembered
 END_ID = 0
-TAIL = ",.!?;:"  # these never join a preceding letter or digit in one token
+# these never join a preceding letter or digit in one token; | and > end special tokens
+TAIL = "!\"#$%&'()*+,-./:;<=?@[\\]^_`{}~"
 
 C = F.col
 SEGMENTS = "part int, seg int, start long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -45,53 +48,79 @@ class Pieces(dict):
     The byte-level pre-tokeniser never joins a character other than white space
     with white space that follows, nor a letter or digit with punctuation that
     follows.  Between such characters a text may be cut without changing its
-    ids, so most words are looked up.
+    ids, so most words are looked up; those not yet seen that are all letters
+    are one token of the pre-tokeniser and go straight to the merges.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode, self.plain = encode, {}
+    def __init__(self, tokenizer, dtype: str) -> None:
+        self.tokenizer, self.dtype, self.plain = tokenizer, dtype, {}
+        self.merges, self.kind = tokenizer.model.tokenize, np.dtype(dtype).char
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letter = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def word(self, before: str, word: str) -> bytes:
+        """Ids of a piece that need not be cut further."""
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            shown = word if word.isascii() else "".join(map(self.letter.__getitem__, word.encode()))
+            head = self.letter[32] if before else ""
+            return array(self.kind, [t.id for t in self.merges(head + shown)]).tobytes()
+        return self.encode(before + word)
 
     def __missing__(self, piece: str) -> bytes | None:
         if len(self) > CACHE:
             self.clear()
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        if piece.isalpha():
+            found = self.word(" ", piece)
+        elif not piece or piece[0].isspace() or piece[-1].isspace():
             found = None
         else:
-            found = self.split(piece, " ")
+            found = self.cut(piece, " ")
         if len(piece) <= LONGEST:
             self[piece] = found
         return found
 
-    def split(self, piece: str, before: str) -> bytes:
+    def cut(self, piece: str, before: str) -> bytes:
         left, line, right = piece.rpartition("\n")
-        if line and not left[-1:].isspace() and left and not right[:1].isspace() and right:
-            return (self[left] if before else self.bare(left)) + self.bare("\n" + right)
+        if left and right and not left[-1].isspace() and not right[0].isspace():
+            return (self[left] if before else self.bare(left)) + self.bare("\n") + self.bare(right)
         core = piece.rstrip(TAIL)
         if core and len(core) < len(piece) and core[-1].isalnum():
             return (self[core] if before else self.bare(core)) + self.bare(piece[len(core) :])
-        return self.encode(before + piece)
+        return self.word(before, piece)
 
     def bare(self, piece: str) -> bytes:
         """Ids of a piece as it stands."""
         found = self.plain.get(piece)
         if found is None:
-            if len(self.plain) > CACHE:
+            if len(self.plain) > CACHE // 4:
                 self.plain.clear()
-            core = piece.rstrip(TAIL)
-            if core and len(core) < len(piece) and core[-1].isalnum():
-                found = self.bare(core) + self.bare(piece[len(core) :])
-            else:
-                found = self.encode(piece)
+            found = self.cut(piece, "")
             if len(piece) <= LONGEST:
                 self.plain[piece] = found
         return found
 
 
+class Whole:
+    """Any other tokenizer: whole texts, nothing remembered."""
+
+    def __init__(self, tokenizer, dtype: str) -> None:
+        self.tokenizer, self.dtype = tokenizer, dtype
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def ids_of(text: str, pieces: Pieces) -> bytes:
+def ids_of(text: str, pieces: Pieces | Whole) -> bytes:
     """Ids of a whole text, as little-endian numbers."""
+    if isinstance(pieces, Whole):
+        return pieces.ids(text)
     words = text.split(" ")
     head = words[0]
     try:
@@ -102,7 +131,7 @@ def ids_of(text: str, pieces: Pieces) -> bytes:
         return b"".join(pieces.bare(x) if x[:1] != " " else pieces[x[1:]] or pieces.encode(x) for x in CUT.split(text) if x)
 
 
-def _pieces(path: str, dtype: str) -> Pieces:
+def _pieces(path: str, dtype: str) -> Pieces | Whole:
     """The worker's tokenizer with the pieces it remembers from earlier tasks."""
     held = sys.modules.setdefault("_palaver_pieces", types.ModuleType("_palaver_pieces"))
     if getattr(held, "key", None) != (path, dtype):
@@ -110,11 +139,12 @@ def _pieces(path: str, dtype: str) -> Pieces:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-
-        def encode(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=dtype).tobytes()
-
-        held.key, held.pieces = (path, dtype), Pieces(encode)
+        form = json.loads(tokenizer.to_str())
+        first, model = form["pre_tokenizer"] or {}, form["model"]
+        known = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+        special = [t for t in form["added_tokens"] if re.search(r"\s", t["content"]) or t["content"][-1] in TAIL or t["content"][-1].isalnum() or t["lstrip"] or t["rstrip"]]
+        known = known and model["type"] == "BPE" and not form["normalizer"] and not special
+        held.key, held.pieces = (path, dtype), (Pieces if known else Whole)(tokenizer, dtype)
     return held.pieces
 
 
