@@ -33,13 +33,23 @@ def _(t):
     return rows.select("id", "type", chat.flatten_text(C("text")).alias("text"), C("from").alias("sender"))
 
 
-@query("S02_document_text_source", "SELECT doc_id, text FROM (SELECT doc_id, " + Q.strip_sql("text") + " AS text FROM documents) WHERE text <> ''")
+@query("S02_document_text_source", "SELECT concat(source, ' n°', doc_id, '.txt') AS file, concat(source, ' n°', doc_id) AS stem, text FROM documents WHERE text <> '' AND doc_id % 5 <> 0")
 def _(t):
-    """Whole texts through a JSON source and back, empty ones dropped."""
-    path = scratch_table(t.spark, "texts")
-    t.documents.select("doc_id", "text").write.json(path)
-    back = t.spark.read.schema("doc_id bigint, text string").json(path)
-    return back.withColumn("text", tx.strip(C("text"))).where("text <> ''")
+    """Texts as files of a folder; every fifth file is empty."""
+    path = F.concat(F.lit("/texts/"), C("source"), F.lit(" n°"), C("doc_id").cast("string"), F.lit(".txt"))
+    content = F.when(C("doc_id") % 5 == 0, "").otherwise(C("text"))
+    return files.document_files(t.documents.select(path.alias("path"), content.alias("content"))).select("file", "stem", "text")
+
+
+@query("S03_scraped_tree_source", f"""SELECT CASE WHEN page_id % 3 = 0 THEN 'chat_links' ELSE host END AS site, CASE WHEN page_id % 3 = 0 THEN concat(host, '__p.', page_id) ELSE concat('p.', page_id) END AS slug,
+ url AS source, body FROM (SELECT page_id, url, {Q.host_sql('url')} AS host, {Q.html_sql('html')} AS body FROM pages) WHERE body <> '' AND page_id % 7 <> 0""")
+def _(t):
+    """Pages as files below their host; those shared in chats lie one folder deeper, and hidden files do not count."""
+    host, name = web.url_host(C("url")), F.concat(F.when(C("page_id") % 7 == 0, "_").otherwise(""), F.lit("p."), C("page_id").cast("string"), F.lit(".txt"))
+    folder = F.when(C("page_id") % 3 == 0, F.concat(F.lit("chat_links/"), host)).otherwise(host)
+    content = F.concat(F.lit("[Source: "), C("url"), F.lit("]\n\n"), web.strip_html(C("html")))
+    tree = t.pages.select(F.concat(F.lit("/data/web/"), folder, F.lit("/"), name).alias("path"), content.alias("content"))
+    return files.scraped_files(tree, "/data/web").select("site", "slug", F.try_element_at("headers", F.lit("Source")).alias("source"), "body")
 
 
 @query("S04_header_block_parse", f"SELECT page_id, url AS source, {Q.TITLE_SQL} AS title, {Q.html_sql('html')} AS body FROM pages")
@@ -119,12 +129,13 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("S12_turn_append", "SELECT chat_id, user_id, CAST(row_number() OVER (PARTITION BY chat_id, user_id ORDER BY id) - 1 AS INT) AS turn_idx, role FROM v_turns WHERE role <> 'system'")
+@query("S12_turn_append", "SELECT chat_id, user_id, CAST(row_number() OVER (PARTITION BY chat_id, user_id ORDER BY role = 'assistant', id) - 1 AS INT) AS turn_idx, role FROM v_turns WHERE role <> 'system'")
 def _(t):
     """Appends the questions, then the answers, and reads the numbered table."""
     path = scratch_table(t.spark, "turns")
-    batch = t.turns.where("role <> 'system'").select("chat_id", "user_id", C("id").alias("seq"), "role", "refused", "rerank")
-    sinks.append_turns(batch, path)
+    for role in ("user", "assistant"):
+        batch = t.turns.where(C("role") == role).select("chat_id", "user_id", C("id").alias("seq"), "role", "refused", "rerank")
+        sinks.append_turns(batch, path)
     return t.spark.read.parquet(path).select("chat_id", "user_id", "turn_idx", "role")
 
 

@@ -71,7 +71,7 @@ def _(t):
 def _(t):
     reports = t.sql(A.REPORTS).select("user_id", F.lit(0).alias("kind"), "id", C("created_at").alias("ts"), F.lit(None).cast("string").alias("text"))
     said = t.sql(A.INBOX).select("user_id", F.lit(1).alias("kind"), "id", "ts", "text")
-    line = sinks.replay(reports.unionByName(said), "line")
+    line = sinks.replay(reports.unionByName(said).withColumn("ts", C("ts").cast("timestamp")), "line")
     return sinks.run_to_table(stateful.report_stream(line, 1440), "reasons").select("report_id", "message_id", "reason")
 
 

@@ -21,12 +21,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(file, stem, text) of the non-empty ``*.txt`` files of a folder; Spark
     hides names that start with ``_``.  One file is one row."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
-    name = C("_metadata.file_name")
-    return (
-        raw.where(C("_metadata.file_size") > 0)
-        .select(_decoded(name).alias("file"), C("value").alias("text"))
-        .withColumn("stem", tx.nfc(tx.stem(C("file"))))
-    )
+    return document_files(raw.select(_decoded(C("_metadata.file_name")).alias("path"), C("value").alias("content")))
+
+
+def document_files(files: DataFrame) -> DataFrame:
+    """(file, stem, text) of files given as (path, content); empty ones are dropped."""
+    named = files.where(C("content") != "").select(F.substring_index("path", "/", -1).alias("file"), C("content").alias("text"))
+    return named.withColumn("stem", tx.nfc(tx.stem(C("file"))))
 
 
 def _decoded(name: Column) -> Column:
@@ -72,11 +73,16 @@ def read_scraped(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     base = root.rstrip("/").split("://", 1)[-1]
     path = F.regexp_replace(C("_metadata.file_path"), r"^[a-z]+:/*", "/")
-    rel = F.split(_decoded(F.replace(path, F.lit(base + "/"), F.lit(""))), "/")
-    headers, body = parse_header_block(C("value"))
+    return scraped_files(raw.select(_decoded(path).alias("path"), C("value").alias("content")), base)
+
+
+def scraped_files(files: DataFrame, base: str) -> DataFrame:
+    """``read_scraped`` on files given as (path, content) below the folder ``base``."""
+    rel = F.split(F.replace("path", F.lit(base.rstrip("/") + "/"), F.lit("")), "/")
+    headers, body = parse_header_block(C("content"))
     stem = tx.stem(F.element_at(rel, -1))
     return (
-        raw.where(~F.startswith(C("_metadata.file_name"), F.lit("_")))
+        files.where(~F.startswith(F.element_at(rel, -1), F.lit("_")))
         .select(
             rel[0].alias("site"),
             F.when((rel[0] == "chat_links") & (F.size(rel) >= 3), F.concat(rel[1], F.lit("__"), stem))
