@@ -13,10 +13,12 @@
    of their members: two sets at the threshold share one of the rarest fifth of
    their values, which documents that only have a passage in common do not.
    Then the members outside the main component of a list are taken as pivots,
-   16, 64, 256, ... per list and round, and compared with the members of other
+   64, 512, ... per list and round, and compared with the members of other
    components, until none is left.  No link between different components is
    lost, and a group of n copies costs about n comparisons.
-4. Pairs are filtered by set sizes and by the sketch of the union, then
+4. Where lists meet pivots, a pair must pass set sizes and 128 bits, one of the
+   least hash in each of 128 bins: at the threshold a tenth of them differ, of
+   unrelated sets half.  Pairs are then filtered by the sketch of the union and
    confirmed on full sets; components of the confirmed links are returned.
 """
 
@@ -36,13 +38,22 @@ from palaver.llm.hashing import Words, long_lists, ranges, shingle_sets, utf8
 from palaver.llm.shared import components, only, stored
 
 K = 64  # values kept of a set
+BITS = 128
 MISS = 1e-9  # probability that a link at the threshold shares fewer sketch values than asked for
+PIVOTS = 64  # members of a list that its others are compared with in the first of these rounds
 CROWDED = 64  # members outside the main component above which a list is built anew from full sets
 PERCENT = 80
 
 C, L = F.col, F.lit
 
 
+def _bits(items: np.ndarray) -> np.ndarray:
+    """One bit of the least value in each of BITS bins, as two numbers."""
+    found = np.zeros(BITS, bool)
+    found[(items & (BITS - 1))[::-1]] = ((items >> 7) & 1)[::-1] == 1  # the first of equal places is written last
+    return np.packbits(found).view("<i8")
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -50,10 +61,11 @@ def _sketches(size: int):
             data, offsets = utf8(batch.column("text"))
             for a, b in ranges(offsets):
                 sets = list(shingle_sets(*words.of(data, offsets[a : b + 1]), size))
+                bits = np.stack([_bits(s) for s in sets])
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), long_lists([s[:K] for s in sets])],
-                    ["doc_id", "n", "key", "sketch"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), long_lists([s[:K] for s in sets]), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+                    ["doc_id", "n", "key", "sketch", "x", "y"],
                 )
 
     return run
@@ -139,8 +151,21 @@ def _pairs_by_sketch(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFra
     return joined.where(F.when(whole, exact).otherwise(common >= shared_values(1 << 40, percent))).select("a", "b")
 
 
-def _size_fits(x: Column, y: Column, percent: int) -> Column:
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+def differing_bits(percent: int) -> int:
+    """How many of the BITS of two sets at the threshold differ at most, but for a probability of MISS."""
+    p, above = (100 - percent) / 200, 1.0
+    for k in range(BITS + 1):
+        above -= math.comb(BITS, k) * p**k * (1 - p) ** (BITS - k)
+        if above < MISS:
+            return k
+    return BITS
+
+
+def _fits(percent: int, n: str, x: str, y: str) -> Column:
+    """Set sizes and bits of a list's member allow the threshold with another's."""
+    sizes = 100 * F.least(C("n"), C(n)) >= percent * F.greatest(C("n"), C(n))
+    bits = F.bit_count(C("x").bitwiseXOR(C(x))) + F.bit_count(C("y").bitwiseXOR(C(y)))
+    return sizes & (bits <= differing_bits(percent))
 
 
 def _lists(values: DataFrame) -> DataFrame:
@@ -170,17 +195,18 @@ def _full_lists(docs: DataFrame, ids: DataFrame, shingle: int, percent: int) ->
     return _lists(sets.select("doc_id", size.alias("n"), size.cast("int").alias("s"), need.alias("need"), F.explode("items").alias("value")))
 
 
-def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """(a, b): confirmed links that span every component of the graph of all links."""
+def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(a, b): confirmed links that span every component of the graph of all links, and (doc_id, label): its components."""
     values = reps.select("doc_id", "n", F.size("sketch").alias("s"), _need(C("n"), percent).alias("need"), F.explode("sketch").alias("value"))
-    lists = stored(_lists(values), "lists")
-    heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("head")).where("m > 1")
-    lists = stored(lists.join(heads, "value"), "lists")
-    pairs = lists.where((C("doc_id") != C("head.doc_id")) & _size_fits(C("n"), C("head.n"), percent))
-    pairs = pairs.select(C("head.doc_id").alias("a"), C("doc_id").alias("b")).distinct()
-    lists = lists.select("value", "doc_id", "n")
+    bits = reps.select("doc_id", "x", "y")
+    lists = stored(_lists(values).join(bits, "doc_id"), "lists")
+    heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n", "x", "y")).alias("head")).where("m > 1")
+    heads = heads.select("value", *[C(f"head.{c}").alias(f"h_{c}") for c in ("doc_id", "n", "x", "y")])
+    pairs = lists.join(heads, "value").where((C("doc_id") != C("h_doc_id")) & _fits(percent, "h_n", "h_x", "h_y"))
+    pairs = pairs.select(C("h_doc_id").alias("a"), C("doc_id").alias("b")).distinct()
+    lists = lists.join(heads.select("value"), "value", "left_semi")
     sets = tested = found = used = None
-    pivots, anew = 16, False
+    pivots, anew = PIVOTS, False
     while True:
         tried = stored(_pairs_by_sketch(pairs, reps, percent), "pairs")
         if found is None or tried.limit(1).count():
@@ -193,16 +219,17 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
             good = stored(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
             found = good if found is None else found.unionByName(good)
             tested = tried if tested is None else tested.unionByName(tried)
-            labels = stored(components(found), "labels").withColumnRenamed("node", "doc_id")
+            labels = components(found).withColumnRenamed("node", "doc_id")
         now = _open_lists(lists, labels)
         if not anew:  # once: crowded lists give way to lists over full sets
             anew = True
             crowded = now.where("label <> main").groupBy("value").agg(F.count("*").alias("k")).where(C("k") > CROWDED)
             members = stored(now.join(crowded, "value", "left_semi").select("doc_id").distinct(), "crowded")
             if members.limit(1).count():
-                again = stored(_full_lists(docs, members, shingle, percent), "lists")
-                lists = lists.join(crowded, "value", "left_anti").select(F.struct(L("sketch").alias("of"), "value").alias("value"), "doc_id", "n")
-                lists = stored(lists.unionByName(again.select(F.struct(L("set").alias("of"), "value").alias("value"), "doc_id", "n")), "lists")
+                again = _full_lists(docs, members, shingle, percent).join(bits, "doc_id")
+                parts = lists.join(crowded, "value", "left_anti"), again
+                lists = [x.select(F.struct(L(of).alias("of"), "value").alias("value"), "doc_id", "n", "x", "y") for of, x in zip(("sketch", "set"), parts, strict=True)]
+                lists = stored(lists[0].unionByName(lists[1]), "lists")
                 now = _open_lists(lists, labels)
         rest = now.where("label <> main")
         if used is not None:
@@ -211,13 +238,13 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
         rank = F.row_number().over(W.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
         chosen = stored(rest.withColumn("rank", rank).where(C("rank") <= pivots).drop("rank", "main"), "pivots")
         if not chosen.limit(1).count():
-            return found
+            return found, labels
         used = chosen.select("value", "doc_id") if used is None else used.unionByName(chosen.select("value", "doc_id"))
-        p = chosen.select("value", C("doc_id").alias("p"), C("n").alias("pn"), C("label").alias("pl"))
-        pairs = now.join(p, "value").where((C("label") != C("pl")) & _size_fits(C("n"), C("pn"), percent))
+        p = chosen.select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", "x", "y")])
+        pairs = now.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_n", "p_x", "p_y"))
         pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pivots *= 4
+        pivots *= 8
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,7 +252,7 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     now = lists.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     groups = now.groupBy("value", "label").agg(F.count("*").alias("k"))
     main = groups.groupBy("value").agg(F.count("*").alias("groups"), F.max(F.struct("k", "label")).alias("top")).where("groups > 1")
-    return stored(now.join(main.select("value", C("top.label").alias("main")), "value").select("value", "doc_id", "n", "label", "main"), "open")
+    return stored(now.join(main.select("value", "groups", C("top.label").alias("main")), "value").drop("groups"), "open")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -242,20 +269,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT
     several texts; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(C("doc_id").cast("long").alias("doc_id"), C("text").cast("string").alias("text"))
-    found = stored(docs.mapInArrow(_sketches(shingle), "doc_id long, n long, key binary, sketch array<long>"), "sketches")
+    found = stored(docs.mapInArrow(_sketches(shingle), "doc_id long, n long, key binary, sketch array<long>, x long, y long"), "sketches")
     named = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").dropDuplicates(["key", "doc_id"])
-    reps = stored(reps.select("doc_id", "n", "sketch"), "reps")
+    reps = stored(reps.select("doc_id", "n", "sketch", "x", "y"), "reps")
     member = named.select("doc_id", "key").join(classes, "key").where("doc_id <> rep").select(C("rep").alias("a"), C("doc_id").alias("b"))
-    near = links(docs, reps, shingle=shingle, percent=percent)
+    near, labels = links(docs, reps, shingle=shingle, percent=percent)
     twice = member.join(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(C("doc_id").alias("b")), "b", "left_semi").select("a", "b")
-    labels = stored(components(near.unionByName(twice)), "labels")
+    if twice.limit(1).count():  # rows that share a doc_id join their classes
+        labels = components(near.unionByName(twice)).withColumnRenamed("node", "doc_id")
     out = (
         found.select("doc_id", "n", "key")
         .join(classes, "key", "left")
         .withColumn("rep", F.when(C("n") > 0, F.coalesce("rep", "doc_id")).otherwise(C("doc_id")))
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
         .withColumn("component_id", F.when(C("doc_id").isNotNull(), F.coalesce("label", "rep")))
     )
     return out.select("doc_id", C("n").alias("n_shingles"), "component_id", F.coalesce(C("doc_id") == C("component_id"), F.lit(True)).alias("kept"))
