@@ -16,10 +16,11 @@
    64, 512, ... per list and round, and compared with the members of other
    components, until none is left.  No link between different components is
    lost, and a group of n copies costs about n comparisons.
-4. Where lists meet pivots, a pair must pass set sizes and 128 bits, one of the
-   least hash in each of 128 bins: at the threshold a tenth of them differ, of
-   unrelated sets half.  Pairs are then filtered by the sketch of the union and
-   confirmed on full sets; components of the confirmed links are returned.
+4. Where lists meet pivots, a pair must pass set sizes and two bit strings.  Of
+   one bit of the least hash in each of 128 bins, a tenth differ at the threshold
+   and half between unrelated sets.  Of the parities of 512 further bins, no more
+   can differ than the sets have values in which they differ.  Pairs are then
+   filtered by the sketch of the union and confirmed on full sets; components of the confirmed links are returned.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ from palaver.llm.hashing import Words, long_lists, ranges, shingle_sets, utf8
 from palaver.llm.shared import components, only, stored
 
 K = 64  # values kept of a set
-BITS = 128
+BITS, PARITIES = 128, 512
+SIGNS = [f"b{i}" for i in range((BITS + PARITIES) // 64)]  # the bit strings, as numbers
 MISS = 1e-9  # probability that a link at the threshold shares fewer sketch values than asked for
 PIVOTS = 64  # members of a list that its others are compared with in the first of these rounds
 CROWDED = 64  # members outside the main component above which a list is built anew from full sets
@@ -48,10 +50,11 @@ C, L = F.col, F.lit
 
 
 def _bits(items: np.ndarray) -> np.ndarray:
-    """One bit of the least value in each of BITS bins, as two numbers."""
+    """One bit of the least value in each of BITS bins, and the parity of the number of values in each of PARITIES others."""
     found = np.zeros(BITS, bool)
     found[(items & (BITS - 1))[::-1]] = ((items >> 7) & 1)[::-1] == 1  # the first of equal places is written last
-    return np.packbits(found).view("<i8")
+    odd = np.bincount((items >> 20) & (PARITIES - 1), minlength=PARITIES) % 2 == 1
+    return np.packbits(np.concatenate([found, odd])).view("<i8")
 
 
 def _sketches(size: int):
@@ -64,8 +67,8 @@ def _sketches(size: int):
                 bits = np.stack([_bits(s) for s in sets])
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), long_lists([s[:K] for s in sets]), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
-                    ["doc_id", "n", "key", "sketch", "x", "y"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), long_lists([s[:K] for s in sets]), *map(pa.array, bits.T)],
+                    ["doc_id", "n", "key", "sketch", *SIGNS],
                 )
 
     return run
@@ -161,11 +164,13 @@ def differing_bits(percent: int) -> int:
     return BITS
 
 
-def _fits(percent: int, n: str, x: str, y: str) -> Column:
-    """Set sizes and bits of a list's member allow the threshold with another's."""
-    sizes = 100 * F.least(C("n"), C(n)) >= percent * F.greatest(C("n"), C(n))
-    bits = F.bit_count(C("x").bitwiseXOR(C(x))) + F.bit_count(C("y").bitwiseXOR(C(y)))
-    return sizes & (bits <= differing_bits(percent))
+def _fits(percent: int, other: str) -> Column:
+    """Set sizes and bit strings of a list's member allow the threshold with another's, whose columns begin with ``other``."""
+    n = C(f"{other}n")
+    sizes = 100 * F.least(C("n"), n) >= percent * F.greatest(C("n"), n)
+    differ = [F.bit_count(C(b).bitwiseXOR(C(other + b))) for b in SIGNS]
+    first, rest = sum(differ[1 : BITS // 64], differ[0]), sum(differ[BITS // 64 + 1 :], differ[BITS // 64])
+    return sizes & (first <= differing_bits(percent)) & ((100 + percent) * rest <= (100 - percent) * (C("n") + n))
 
 
 def _lists(values: DataFrame) -> DataFrame:
@@ -198,11 +203,11 @@ def _full_lists(docs: DataFrame, ids: DataFrame, shingle: int, percent: int) ->
 def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(a, b): confirmed links that span every component of the graph of all links, and (doc_id, label): its components."""
     values = reps.select("doc_id", "n", F.size("sketch").alias("s"), _need(C("n"), percent).alias("need"), F.explode("sketch").alias("value"))
-    bits = reps.select("doc_id", "x", "y")
+    bits = reps.select("doc_id", *SIGNS)
     lists = stored(_lists(values).join(bits, "doc_id"), "lists")
-    heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n", "x", "y")).alias("head")).where("m > 1")
-    heads = heads.select("value", *[C(f"head.{c}").alias(f"h_{c}") for c in ("doc_id", "n", "x", "y")])
-    pairs = lists.join(heads, "value").where((C("doc_id") != C("h_doc_id")) & _fits(percent, "h_n", "h_x", "h_y"))
+    heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n", *SIGNS)).alias("head")).where("m > 1")
+    heads = heads.select("value", *[C(f"head.{c}").alias(f"h_{c}") for c in ("doc_id", "n", *SIGNS)])
+    pairs = lists.join(heads, "value").where((C("doc_id") != C("h_doc_id")) & _fits(percent, "h_"))
     pairs = pairs.select(C("h_doc_id").alias("a"), C("doc_id").alias("b")).distinct()
     lists = lists.join(heads.select("value"), "value", "left_semi")
     sets = tested = found = used = None
@@ -228,7 +233,7 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
             if members.limit(1).count():
                 again = _full_lists(docs, members, shingle, percent).join(bits, "doc_id")
                 parts = lists.join(crowded, "value", "left_anti"), again
-                lists = [x.select(F.struct(L(of).alias("of"), "value").alias("value"), "doc_id", "n", "x", "y") for of, x in zip(("sketch", "set"), parts, strict=True)]
+                lists = [x.select(F.struct(L(of).alias("of"), "value").alias("value"), "doc_id", "n", *SIGNS) for of, x in zip(("sketch", "set"), parts, strict=True)]
                 lists = stored(lists[0].unionByName(lists[1]), "lists")
                 now = _open_lists(lists, labels)
         rest = now.where("label <> main")
@@ -240,8 +245,8 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
         if not chosen.limit(1).count():
             return found, labels
         used = chosen.select("value", "doc_id") if used is None else used.unionByName(chosen.select("value", "doc_id"))
-        p = chosen.select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", "x", "y")])
-        pairs = now.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_n", "p_x", "p_y"))
+        p = chosen.select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", *SIGNS)])
+        pairs = now.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_"))
         pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pivots *= 8
@@ -269,11 +274,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT
     several texts; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(C("doc_id").cast("long").alias("doc_id"), C("text").cast("string").alias("text"))
-    found = stored(docs.mapInArrow(_sketches(shingle), "doc_id long, n long, key binary, sketch array<long>, x long, y long"), "sketches")
+    found = stored(docs.mapInArrow(_sketches(shingle), "doc_id long, n long, key binary, sketch array<long>, " + ", ".join(f"{b} long" for b in SIGNS)), "sketches")
     named = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").dropDuplicates(["key", "doc_id"])
-    reps = stored(reps.select("doc_id", "n", "sketch", "x", "y"), "reps")
+    reps = stored(reps.select("doc_id", "n", "sketch", *SIGNS), "reps")
     member = named.select("doc_id", "key").join(classes, "key").where("doc_id <> rep").select(C("rep").alias("a"), C("doc_id").alias("b"))
     near, labels = links(docs, reps, shingle=shingle, percent=percent)
     twice = member.join(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(C("doc_id").alias("b")), "b", "left_semi").select("a", "b")
