@@ -51,6 +51,7 @@ CONTEXTS = 16  # different contexts of a bucket in one chunk, above which its wi
 TOGETHER = 10_000  # anchors of a bucket that are refined in one task at most
 SLICE = 100_000  # anchors refined at a time
 SETTLED, REFINE, SPREAD = 1, 0, 2  # what becomes of an anchor
+LEVEL = 5  # of compression on the way; the disk that a shuffle takes is what limits this operator
 NONE = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any other
 
 C = F.col
@@ -251,7 +252,7 @@ def _send_anchors(buckets: int, groups: int):
                 yield _batch([item], PACKET)
             bucket = bucket[send]
             key = (bucket % np.uint64(buckets)).astype(np.int64)
-            columns = [(bucket // np.uint64(buckets), 5), (context[send], 5), (position[send], 4), (spread[send], 1)]
+            columns = [(bucket // np.uint64(buckets), 4), (context[send], 5), (position[send], 4), (spread[send], 1)]
             for item in _packets(key, buckets, columns, table, row[send]):
                 yield _batch([item], PACKET)
 
@@ -282,7 +283,7 @@ def _judge_anchors(groups: int):
         key = table.column("key")[0].as_py()
         if key < 0:
             return table.select(["key", "payload"])
-        (bucket, context, position, many), docs = _open(_cells(table, "payload"), [5, 5, 4, 1])
+        (bucket, context, position, many), docs = _open(_cells(table, "payload"), [4, 5, 4, 1])
         settled, refine, spread, _ = verdicts(bucket, context, docs[:, 0], many)
         hit = settled | refine
         flag = np.where(settled, SETTLED, np.where(spread, SPREAD, REFINE))
@@ -381,7 +382,7 @@ def _texts(groups: int):
             g = (uid.view(np.uint64) % np.uint64(groups)).astype(np.int64)
             for a in range(0, len(batch), 256):
                 b = min(a + 256, len(batch))
-                cells = [zlib.compress(data[offsets[i] : offsets[i + 1]], 1) for i in range(a, b)]
+                cells = [zlib.compress(data[offsets[i] : offsets[i + 1]], LEVEL) for i in range(a, b)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g[a:b]), batch.column("doc_id").slice(a, b - a), pa.array(uid[a:b]), pa.array(cells, pa.binary())], ["g", "doc_id", "uid", "data"]
                 )
@@ -393,8 +394,8 @@ def _bytes(cell) -> np.ndarray:
     return np.frombuffer(zlib.decompress(cell), np.uint8)
 
 
-def _send_windows(buckets: int):
-    """Texts and verdicts of a group of documents to packets of anchors or windows, open documents and finished rows."""
+def _send_windows(buckets: int, packets: bool):
+    """Texts and verdicts of a group of documents to packets of anchors or windows, or else to open documents and finished rows."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         grams = Grams()
@@ -409,10 +410,16 @@ def _send_windows(buckets: int):
             own, at = _bytes(cells[i]), _of(uids, uid)
             settled, rest = positions[at][flags[at] == SETTLED], positions[at][flags[at] != SETTLED]
             windows = _open_windows(grams, own, rest, settled)
+            if packets and not len(windows):
+                continue
             if not len(windows):
                 gone = _mask(len(own), settled, windows) if len(settled) else None
                 rows.append((-1 - g, 3, doc_id, uid, None, None, *_report(own, gone)))
                 continue
+            if not packets:
+                payload = np.array([len(settled)], "<i8").tobytes() + _low_bytes(settled, 4)
+                rows.append((-1 - g, 2, doc_id, uid, cells[i].to_pybytes(), payload, None, None, None, None))
+                continue
             # an anchor matters if it lies in an open window
             open_ = np.zeros(len(own) + 1, np.int64)
             open_[windows + 1] = 1
@@ -428,8 +435,6 @@ def _send_windows(buckets: int):
                     out.append((ids, windows, np.full(len(windows), len(docs))))
                 elif len(where):
                     out.append((grams.at(own, where), where, np.full(len(where), len(docs)), *_around(own, where)))
-            payload = np.array([len(settled)], "<i8").tobytes() + _low_bytes(settled, 4)
-            rows.append((-1 - g, 2, doc_id, uid, cells[i].to_pybytes(), payload, None, None, None, None))
             docs.append((NONE if doc_id is None else doc_id, uid))
         table = np.array(docs, "<i8").reshape(-1, 2)
         if spread:
@@ -450,7 +455,7 @@ def _send_windows(buckets: int):
             order = np.argsort(key, kind="stable")  # as the packets take their records
             for k, payload in _packets(key, buckets, columns, table, own):
                 mine = order[np.searchsorted(key[order], k) : np.searchsorted(key[order], k, side="right")]
-                bytes_ = zlib.compress(np.ascontiguousarray(sides[mine]), 1)
+                bytes_ = zlib.compress(np.ascontiguousarray(sides[mine]), LEVEL)
                 rows.append((2 * k + 1, 0, None, None, bytes_, payload, None, None, None, None))
         return pa.Table.from_batches([_batch(rows, STATE)])
 
@@ -540,6 +545,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = sent.groupBy("key").applyInArrow(_judge_anchors(groups), PACKET)
     texts = rows.mapInArrow(_texts(groups), "g long, doc_id long, uid long, data binary")
     found = found.select((-1 - C("key")).alias("g"), "payload")
-    sent = texts.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_send_windows(buckets), STATE)
+    # the same shuffled rows twice: packets to be judged, and documents that wait for the removals found
+    both = texts.groupBy("g").cogroup(found.groupBy("g"))
+    sent = both.applyInArrow(_send_windows(buckets, True), STATE)
     judged = sent.groupBy("key").applyInArrow(_judge_windows(groups), STATE)
-    return judged.groupBy("key").applyInArrow(_finish, OUT)
+    waiting = both.applyInArrow(_send_windows(buckets, False), STATE)
+    return judged.unionByName(waiting).groupBy("key").applyInArrow(_finish, OUT)
