@@ -133,9 +133,10 @@ def verdicts(bucket: np.ndarray, context: np.ndarray, doc: np.ndarray, many: np.
     """(settled, to refine, of a bucket to spread, to send on) of each anchor.
 
     Settled: the context occurs in a smaller document.  To refine: the bucket
-    has anchors of two documents or more that are not settled.  ``many`` marks
-    anchors that stand for a bucket that some chunk spreads; without it the
-    anchors are a chunk, and buckets of more than CONTEXTS contexts are spread.
+    has anchors of two documents or more that are not settled, or some chunk
+    spreads it, whose other documents are not seen here.  ``many`` marks anchors
+    that stand for a bucket that some chunk spreads; without it the anchors are
+    a chunk, and buckets of more than CONTEXTS contexts are spread.
     """
     n = len(bucket)
     if not n:
@@ -151,10 +152,13 @@ def verdicts(bucket: np.ndarray, context: np.ndarray, doc: np.ndarray, many: np.
     starts, group = np.flatnonzero(new_v), np.cumsum(new_v) - 1
     low = np.minimum.reduceat(np.where(settled, NONE, d), starts)
     high = np.maximum.reduceat(np.where(settled, np.iinfo(np.int64).min, d), starts)
+    shared = low != high
     if many is None:
         wide = np.add.reduceat(new_c.astype(np.int64), starts) > CONTEXTS
     else:
-        wide = np.maximum.reduceat(many[order].astype(np.int8), starts).astype(bool) | (np.diff(starts, append=n) > TOGETHER)
+        told = np.maximum.reduceat(many[order].astype(np.int8), starts).astype(bool)
+        wide = told | (np.diff(starts, append=n) > TOGETHER)
+        shared |= told
     spread = wide[group]
     # of a bucket to spread, only the first anchors of its first and last open document are sent
     end = (d == low[group]) | (d == high[group])
@@ -162,7 +166,7 @@ def verdicts(bucket: np.ndarray, context: np.ndarray, doc: np.ndarray, many: np.
     new_d[1:] |= d[1:] != d[:-1]
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    found = settled, ~settled & (low != high)[group], spread, ~settled & (~spread | (end & new_d))
+    found = settled, ~settled & shared[group], spread, ~settled & (~spread | (end & new_d))
     return tuple(x[back] for x in found)
 
 

@@ -152,6 +152,27 @@ def test_repeats(spark, monkeypatch, hot):
     assert sorted((x.doc_id is None, x.doc_id or 0, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == removed_by_hand(rows)
 
 
+def test_repeats_of_a_spread_bucket_settled_by_one_document(spark):
+    import pyarrow as pa
+
+    r = random.Random(12)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    candidates = noise(40_000)
+    data, _ = hashing.utf8(pa.array([candidates]))
+    at = int(suffix_dedup.Grams().order(data).argmin())
+    gram = candidates[at : at + suffix_dedup.Q]  # the minimiser of whatever window holds it
+    sides = {d: (noise(60), noise(suffix_dedup.SPAN)) for d in range(5, 26)}
+    sides[10] = sides[10][0], sides[5][1]  # shares 50 bytes with documents 1 and 5 only
+    far = [(d, a + gram + b) for d, (a, b) in sides.items()]
+    near = [(1, dict(far)[5] + noise(80) + dict(far)[25])]
+    docs = frame(spark, [row(*x) for x in far]).coalesce(1).unionByName(frame(spark, [row(*x) for x in near]).repartition(2))
+    assert docs.rdd.getNumPartitions() == 3  # so that each side is a chunk of its own
+    got = suffix_dedup.remove_repeats(docs).collect()
+    want = removed_by_hand(far + near)
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+    assert next(x for x in want if x[1] == 10)[3] >= 50
+
+
 def test_repeats_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).collect() == []
 
