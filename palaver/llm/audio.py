@@ -6,8 +6,9 @@ filters compare two rectangles each, whose sums come from an integral image; a
 filter's log ratio is quantised to two bits in Gray code, and the sixteen codes
 of a frame are packed into one 32-bit integer.
 
-Two recordings align at the offset that most equal integers vote for; the
-alignment counts if few of the packed bits differ over the whole overlap.
+Two recordings align at an offset that equal integers vote for; the alignment
+counts if the overlap holds a stretch with enough votes in which few of the
+packed bits differ, whatever surrounds it.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ WIDTH = 8  # frames that a filter looks at
 EDGES = (-0.35, 0.0, 0.35)  # log ratios that part the two-bit codes
 GRAY = (0, 1, 3, 2)
 MIN_VOTES = 8  # equal integers that an offset needs
-MIN_FRAMES = 24  # overlap of an alignment
+MIN_FRAMES = 24  # stretch of an alignment
 MAX_ERROR = 0.15  # share of differing bits
+TRIED_FRAMES = 2_000_000  # of overlaps compared at a time
 BLOCK_INTS = 2_000_000  # of the query recordings that travel to the tasks at a time
 
 C, L = F.col, F.lit
@@ -140,40 +142,90 @@ def _changes(ints: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(ints.astype(np.int64), prepend=-1))
 
 
+def _stretches(differ: np.ndarray, voted: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(overlap, first frame, end frame) of the best stretch of each overlap that has one.
+
+    ``differ`` and ``voted`` hold the differing bits and the votes of the frames
+    of all overlaps one after another, ``starts`` where each begins.  A stretch
+    has MIN_FRAMES frames and MIN_VOTES votes at least and a bit error of
+    MAX_ERROR at most; the one most bits below that error is the best.
+    """
+    n = len(differ)
+    overlap = np.repeat(np.arange(len(starts)), np.diff(starts, append=n))
+    gain = np.concatenate([[0], np.cumsum(round(3200 * MAX_ERROR) - 100 * differ.astype(np.int64))])
+    # the lowest sum from the start of the overlap on, and where it first occurs
+    fall = np.int64(gain.max() - gain.min() + 1)
+    sums = gain[:-1] - fall * overlap
+    lowest = np.minimum.accumulate(sums)
+    fresh = np.ones(n, bool)
+    fresh[1:] = lowest[1:] < lowest[:-1]
+    lowest_at = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    # a stretch that ends before frame ``end`` begins at ``latest`` at the latest
+    end = np.arange(1, n + 1)
+    votes, vote_at = np.cumsum(voted), np.flatnonzero(voted)
+    latest = np.where(votes >= MIN_VOTES, vote_at[np.maximum(votes - MIN_VOTES, 0)] if len(vote_at) else -1, -1)
+    latest = np.minimum(latest, end - MIN_FRAMES)
+    fits = np.flatnonzero(latest >= starts[overlap])
+    first = lowest_at[latest[fits]]
+    value = gain[end[fits]] - gain[first]
+    first, end, value, own = (x[value >= 0] for x in (first, end[fits], value, overlap[fits]))
+    order = np.lexsort((end, -value, own))
+    best = order[np.diff(own[order], prepend=-1) != 0]
+    return own[best], first[best], end[best]
+
+
 class Block:
     """Fingerprints of some query recordings, searched by integer."""
 
     def __init__(self, ids: list[int], cells: list[bytes]) -> None:
-        self.ids, self.prints = ids, [np.frombuffer(c, "<u4") for c in cells]
-        at = [_changes(x) for x in self.prints]
-        ints = np.concatenate([x[p] for x, p in zip(self.prints, at, strict=True)])
+        self.ids, prints = ids, [np.frombuffer(c, "<u4") for c in cells]
+        self.prints, self.length = np.concatenate(prints), np.array([len(x) for x in prints])
+        self.begin = np.cumsum(self.length) - self.length
+        at = [_changes(x) for x in prints]
+        ints = np.concatenate([x[p] for x, p in zip(prints, at, strict=True)])
         order = np.argsort(ints, kind="stable")
         self.ints = ints[order]
         self.owner = np.repeat(np.arange(len(ids)), [len(p) for p in at])[order]
         self.where = np.concatenate(at)[order]
 
-    def aligned(self, ints: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(query id, offset in it, frames of overlap, votes, bit error) of the best offset of each query that aligns."""
+    def aligned(self, ints: np.ndarray) -> Iterator[tuple[int, int, int, int, int, float]]:
+        """(query id, offset in it, first frame in it, frames, votes, bit error) of the best stretch of each query that aligns."""
         at = _changes(ints)
         low = np.searchsorted(self.ints, ints[at], side="left")
         many = np.searchsorted(self.ints, ints[at], side="right") - low
         rows = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         span = 1 << 32
-        shift = self.where[rows] - np.repeat(at, many)
-        key, votes = np.unique(self.owner[rows] * span + shift + span // 2, return_counts=True)
+        where = self.where[rows]
+        key, which, votes = np.unique(self.owner[rows] * span + where - np.repeat(at, many) + span // 2, return_inverse=True, return_counts=True)
         owner, offset = key // span, key % span - span // 2
-        order = np.lexsort((offset, -votes, owner))
-        best = order[np.diff(owner[order], prepend=-1) != 0]
-        for i in best[votes[best] >= MIN_VOTES]:
-            query, move = self.prints[owner[i]], int(offset[i])
-            a, b = max(0, move), min(len(query), len(ints) + move)
-            if b - a >= MIN_FRAMES:
-                error = float(np.bitwise_count(query[a:b] ^ ints[a - move : b - move]).sum()) / (32 * (b - a))
-                if error <= MAX_ERROR:
-                    yield self.ids[owner[i]], move, b - a, int(votes[i]), error
-
-
-MATCH = "kind string, rec_id long, class_id long, offset long, frames long, votes long, bit_error double"
+        first = np.maximum(0, offset)
+        size = np.minimum(self.length[owner], len(ints) + offset) - first
+        tried = np.flatnonzero((votes >= MIN_VOTES) & (size >= MIN_FRAMES))
+        if not len(tried):
+            return
+        order = np.argsort(which, kind="stable")
+        hits, hit_ends = where[order], np.cumsum(votes)
+        found = []
+        block = (np.cumsum(size[tried]) - 1) // TRIED_FRAMES
+        for own in np.split(tried, np.flatnonzero(np.diff(block)) + 1):
+            n, starts = size[own], np.cumsum(size[own]) - size[own]
+            frame = np.arange(int(n.sum())) + np.repeat(first[own] - starts, n)
+            differ = np.bitwise_count(self.prints[frame + np.repeat(self.begin[owner[own]], n)] ^ ints[frame - np.repeat(offset[own], n)])
+            voted = np.zeros(len(frame), bool)
+            k = votes[own]
+            mine = np.arange(int(k.sum())) + np.repeat(hit_ends[own] - np.cumsum(k), k)
+            voted[hits[mine] + np.repeat(starts - first[own], k)] = True
+            for i, a, b in zip(*_stretches(differ, voted, starts), strict=True):
+                error = float(differ[a:b].sum(dtype=np.int64)) / (32 * int(b - a))
+                found.append((int(owner[own[i]]), -int(voted[a:b].sum()), int(offset[own[i]]), int(frame[a]), int(b - a), error))
+        best = -1
+        for query, votes_, move, begin, frames, error in sorted(found):
+            if query != best:
+                best = query
+                yield self.ids[query], move, begin, frames, -votes_, error
+
+
+MATCH = "kind string, rec_id long, class_id long, offset long, begin long, frames long, votes long, bit_error double"
 
 
 def _search(block: Block):
@@ -184,7 +236,7 @@ def _search(block: Block):
                 ints = np.frombuffer(cell.as_buffer(), "<u4")
                 rows += [("match", query, rec_id, *found) for query, *found in block.aligned(ints) if query != rec_id] if len(ints) else []
             if rows:
-                kinds = [pa.string(), *[pa.int64()] * 5, pa.float64()]
+                kinds = [pa.string(), *[pa.int64()] * 6, pa.float64()]
                 names = [f.split()[0] for f in MATCH.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -198,9 +250,10 @@ def align(recordings: DataFrame, every: int = 50) -> DataFrame:
     rec_id.  Rows of kind ``member`` give the class of each recording and its
     frames; rows of kind ``match`` give, for the class of a query (rec_id), each
     other class (class_id) that aligns with it: the offset in frames at which it
-    begins in the query, the frames and votes of the overlap and the share of
-    bits that differ.  Of several offsets the one with most votes counts, then
-    the smallest.
+    begins in the query, the best stretch of their overlap, by its first frame in
+    the query (begin), its frames and its votes, and the share of bits that
+    differ in it.  Every offset with MIN_VOTES votes is tried; of several that
+    align the one with most votes in its stretch counts, then the smallest.
 
     The queries are a stated set; they are scanned in blocks of BLOCK_INTS
     integers, whose hits go to the shared folder.
@@ -227,7 +280,7 @@ def align(recordings: DataFrame, every: int = 50) -> DataFrame:
             block = Block(table.column("rec_id").to_pylist(), table.column("ints").to_pylist())
             others.mapInArrow(_search(block), MATCH).write.mode("append").parquet(path)
     members = prints.join(classes, "key").select(
-        L("member").alias("kind"), "rec_id", "class_id", L(None).cast("long").alias("offset"), "frames", L(None).cast("long").alias("votes"), L(None).cast("double").alias("bit_error")
+        L("member").alias("kind"), "rec_id", "class_id", L(None).cast("long").alias("offset"), L(None).cast("long").alias("begin"), "frames", L(None).cast("long").alias("votes"), L(None).cast("double").alias("bit_error")
     )
     return members.unionByName(spark.read.schema(MATCH).parquet(path))
 

@@ -224,6 +224,42 @@ def test_audio(spark, monkeypatch):
     assert audio.align(spark.createDataFrame([], "rec_id long, media binary")).collect() == []
 
 
+def stretches_by_hand(differ, voted):
+    sums, votes = np.concatenate([[0], np.cumsum(differ)]), np.concatenate([[0], np.cumsum(voted)])
+    n = len(differ)
+    fits = [(a, b) for a in range(n) for b in range(a + audio.MIN_FRAMES, n + 1) if votes[b] - votes[a] >= audio.MIN_VOTES]
+    gain = [round(3200 * audio.MAX_ERROR) * (b - a) - 100 * int(sums[b] - sums[a]) for a, b in fits]
+    return max(gain, default=-1)
+
+
+def test_best_stretches():
+    r = np.random.default_rng(6)
+    parts = []
+    for i in range(40):
+        n = int(r.integers(24, 90))
+        differ = r.integers(0, 32, n) * (np.abs(np.arange(n) - r.integers(0, n)) > r.integers(5, 40))
+        parts.append((differ, (r.random(n) < 0.4) & (differ == 0)))
+    starts = np.cumsum([0, *[len(x) for x, _ in parts[:-1]]])
+    got = {i: (a, b) for i, a, b in zip(*audio._stretches(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), starts))}
+    for i, (differ, voted) in enumerate(parts):
+        want = stretches_by_hand(differ, voted)
+        assert (i in got) == (want >= 0)
+        if i in got:
+            a, b = got[i][0] - starts[i], got[i][1] - starts[i]
+            assert 0 <= a and b <= len(differ) and b - a >= audio.MIN_FRAMES and voted[a:b].sum() >= audio.MIN_VOTES
+            assert round(3200 * audio.MAX_ERROR) * (b - a) - 100 * differ[a:b].sum() == want
+    assert 5 < len(got) < 40
+
+
+def test_audio_shared_passage(spark):
+    r = np.random.default_rng(5)
+    tune, one, two = (r.integers(0, 24, n).tolist() for n in (60, 300, 300))
+    rows = [(100, recording(one[:120] + tune + one[120:])), (7, recording(two[:30] + tune + two[30:])), (8, recording(two))]
+    got = audio.align(spark.createDataFrame(rows, "rec_id long, media binary")).where("kind = 'match'").collect()
+    assert [(x.rec_id, x.class_id, x.offset) for x in got] == [(100, 7, 90)]
+    assert 115 <= got[0].begin <= 121 and 50 <= got[0].frames <= 66 and got[0].votes >= audio.MIN_VOTES and got[0].bit_error < audio.MAX_ERROR
+
+
 def test_stages(spark, tmp_path):
     items = [(i, prose(500 + i, 30)) for i in range(3)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
