@@ -4,8 +4,8 @@ Per language, counts of byte trigrams of the normalised text (A-Z lower-cased,
 other ASCII characters than letters to single blanks) are summed over all
 labelled documents.  A document is a mixture: expectation-maximisation gives
 the share of each language from the likelihoods of its trigrams.  Which
-languages it really has is chosen by penalised likelihood among the nested sets
-of its strongest languages, and against the empty set, in which all trigrams
+languages it really has is chosen by penalised likelihood alone among the nested
+sets of its strongest languages, up to all of them, and against the empty set, in which all trigrams
 are equally likely.
 """
 
@@ -25,8 +25,6 @@ from palaver.llm.hashing import ranges, utf8
 BUCKETS = 1 << 15
 SMOOTHING = 0.05
 ROUNDS = 12  # of expectation-maximisation over all languages, and per nested set
-LARGEST_SET = 3
-LEAST_SHARE = 0.1
 PENALTY = 2.0  # times log(trigrams) for each further language
 CELLS = 2_000_000  # trigram times language cells worked on at a time
 
@@ -129,13 +127,12 @@ def mixtures(model: Model, buckets: np.ndarray, counts: np.ndarray, ends: np.nda
     order = np.argsort(-share, axis=1, kind="stable")
     best = np.zeros_like(share)
     chosen, score = np.zeros(docs, np.int64), np.full(docs, -np.inf)
-    for k in range(1, min(LARGEST_SET, langs) + 1):
+    for k in range(1, langs + 1):
         own = np.zeros_like(share)
         np.put_along_axis(own, order[:, :k], 1 / k, axis=1)
         own, fit = maximise(own)
-        low = np.take_along_axis(own, order[:, :k], axis=1).min(axis=1)
         value = fit - PENALTY * (k - 1) * np.log(n + 1)
-        better = (value > score) & ((low >= LEAST_SHARE) | (k == 1))
+        better = value > score
         best[better], chosen[better], score[better] = own[better], k, value[better]
     chosen[score < -n * np.log(BUCKETS)] = 0
     return best, chosen

@@ -120,6 +120,21 @@ def test_language(spark):
     assert language.predict(frame(spark, [])).collect() == []
 
 
+def test_language_sets_of_any_size_and_share(spark):
+    words = {**WORDS, "es": "el los por que con como pero muy ya si"}
+
+    def said(lang, seed, n):
+        return " ".join(np.random.default_rng(seed).choice(words[lang].split(), n))
+
+    rows = [row(i, said(lang, i, 60), lang) for i, lang in enumerate([*words] * 40)]
+    rows.append(row(900, " ".join(said(lang, 50 + i, 200) for i, lang in enumerate(words)), None))
+    rows += [row(901, said("en", 60, 4000) + " " + said("de", 61, 200), None), row(902, said("en", 62, 4000), None)]
+    got = {r.doc_id: r for r in language.predict(frame(spark, rows)).collect()}
+    assert sorted(got[900].languages) == sorted(words) and 0.2 < got[900].score < 0.4
+    assert got[901].languages == ["en", "de"] and 0.9 < got[901].score < 0.99
+    assert got[902].languages == ["en"] and all(got[i].languages == [lang] for i, lang in enumerate([*words] * 40))
+
+
 def test_targets_and_seats():
     assert mixing.targets([100, 100, 100], [1, 1, 1]) == [100, 100, 100]
     assert mixing.targets([10, 100, 0], [5, 2, 1]) == [30, 80, 0]
