@@ -1,7 +1,8 @@
 """Licence scans by the Dice coefficient over word bigrams, in DataFrame functions only.
 
 Each line, and each paragraph of several lines, is normalised (lower case, words
-of letters and digits) and compared with licence templates.  With bags of
+of letters and digits) and compared with licence templates, and so is every run
+of words in it that is as long as a template.  With bags of
 bigrams, Dice = 2 |A n B| / (|A| + |B|), and a Dice of t bounds the sizes:
 t / (2 - t) <= |A| / |B| <= (2 - t) / t.  So the number of words alone prunes
 templates, before any bigram is built.  Bigrams that no template has are dropped
@@ -83,11 +84,42 @@ def _at_most(hits: Column, wanted: list[str], k: int) -> Column:
     return F.aggregate(F.array_distinct(own), L(0), lambda s, b: s + F.least(F.size(F.filter(own, lambda x: x == b)), L(k)))
 
 
+def _runs(bags: list[tuple[str, Counter]], least: float) -> Column:
+    """Runs of a template's size in a longer unit with a Dice of ``least``: the best first, then those that overlap none before.
+
+    A run begins at a bigram of its template: moved there, any other keeps all
+    it has in common.  ``hits`` are (bigram, place) in order.
+    """
+    kind = "array<struct<dice:double,size:int,license:string,place:int>>"
+
+    def judged(name: str, bag: Counter) -> Column:
+        size = sum(bag.values())
+        need = next(k for k in range(size + 1) if k / size >= least)
+
+        def of(own: Column) -> Column:
+            dense = F.filter(own, lambda h, j: F.get(own, j + (need - 1)).place < h.place + size)
+            inside = lambda h: F.transform(F.filter(own, lambda x: (x.place >= h.place) & (x.place < h.place + size)), lambda x: x.bigram)
+            return F.transform(dense, lambda h: F.struct((_common(inside(h), bag) / L(float(size))).alias("dice"), L(size).alias("size"), L(name).alias("license"), h.place.alias("place")))
+
+        own = F.filter("hits", lambda h: h.bigram.isin(sorted(bag)))
+        runs = F.filter(F.flatten(F.transform(F.array(own), of)), lambda r: r.dice >= least)
+        return F.when((C("n") > size) & (F.size("hits") >= need), runs).otherwise(F.array().cast(kind))
+
+    found = [judged(name, bag) for name, bag in bags]
+    ordered = F.array_sort(F.transform(F.flatten(F.array(*found)), lambda r: F.struct((-r.dice).alias("rank"), (-r["size"]).alias("short"), r.license.alias("license"), r.place.alias("place"))))
+    apart = lambda s, r: ~F.exists(s, lambda x: (x.place <= r.place - r.short) & (r.place <= x.place - x.short))
+    return F.reduce(ordered, F.array().cast("array<struct<rank:double,short:int,license:string,place:int>>"), lambda s, r: F.when(apart(s, r), F.concat(s, F.array(r))).otherwise(s))
+
+
 def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row per line or paragraph that is a licence notice: doc_id, unit, number, license, dice.
+    """One row per line or paragraph that is or holds a licence notice: doc_id, unit, number, license, dice, word.
 
     ``unit`` is line or paragraph, ``number`` its place in the text, from 1.
-    The best template counts, equal ones by name.  Texts are read whole; clean documents have no row.
+    The best template counts, equal ones by name.  In a unit that is no notice
+    as a whole each run of words that is one has a row, with its first ``word``
+    in the unit, from 1; of runs that overlap the best counts, then the longest,
+    and a paragraph has rows only for runs that no line of it holds whole.
+    Texts are read whole; clean documents have no row.
 
     Defined cases: null and empty texts have no units that match; units of
     fewer than two words have no bigrams; equal rows are reported each; null
@@ -98,19 +130,29 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     sizes = [sum(bag.values()) for _, bag in bags]
     low, high = least / (2 - least), (2 - least) / least
     known = sorted({b for _, bag in bags for b in bag})
-    words = _units(texts).select("doc_id", "unit", "number", _once(normalised(C("content"))).alias("words")).withColumn("n", F.size("words") - 1)
-    fits = words.where((C("n") >= low * min(sizes)) & (C("n") <= high * max(sizes)))
+    words = _units(texts).select("doc_id", "unit", "number", "content", _once(normalised(C("content"))).alias("words")).withColumn("n", F.size("words") - 1)
+    fits = words.where(C("n") >= low * min(sizes))
     pairs = F.transform(F.slice("words", 1, C("n")), lambda w, i: F.concat(w, L(" "), F.get(C("words"), i + 1)))
-    hits = F.filter(pairs, lambda b: b.isin(known))
-    # Dice >= t with |A| >= t / (2 - t) |B| asks for half of t (|A| + |B|) common bigrams
-    kept = fits.select("doc_id", "unit", "number", "n", _once(hits).alias("hits")).where(F.size("hits") >= least / 2 * (C("n") + min(sizes)))
+    # Dice >= t asks for half of t (|A| + |B|) common bigrams, with |A| >= t / (2 - t) |B|, or for t |B| in a run as long as B
+    few = least / 2 * (1 + low) * min(sizes)
+    some = fits.withColumn("pairs", _once(pairs)).where(F.size(F.filter("pairs", lambda b: b.isin(known))) >= few)
+    placed = F.filter(F.transform("pairs", lambda b, i: F.struct(b.alias("bigram"), i.alias("place"))), lambda h: h.bigram.isin(known))
+    kept = some.select("doc_id", "unit", "number", "n", "content", _once(placed).alias("hits"))
+    whole = F.transform("hits", lambda h: h.bigram)
     found = []
     for (name, bag), size in zip(bags, sizes, strict=True):
-        dice = 2 * _common(C("hits"), bag) / (C("n") + size)
+        dice = 2 * _common(whole, bag) / (C("n") + size)
         found.append(F.when((C("n") >= low * size) & (C("n") <= high * size), F.struct(dice.alias("dice"), L(name).alias("license"))))
     best = F.reduce(
         F.filter(F.array(*found), lambda x: x.dice >= least), L(None).cast("struct<dice:double,license:string>"),
         lambda a, b: F.when(a.isNull() | (b.dice > a.dice) | ((b.dice == a.dice) & (b.license < a.license)), b).otherwise(a),
     )
-    judged = kept.select("doc_id", "unit", "number", _once(best).alias("best"))
-    return judged.where("best IS NOT NULL").select("doc_id", "unit", "number", "best.license", "best.dice")
+    judged = kept.select("doc_id", "unit", "number", "n", "content", "hits", _once(best).alias("best"))
+    run = F.transform(_runs(bags, least), lambda r: F.struct((-r.rank).alias("dice"), r.license.alias("license"), (r.place + 1).cast("long").alias("word"), (r.place + 1 - r.short).cast("long").alias("last")))
+    one = F.array(F.struct(C("best.dice").alias("dice"), C("best.license").alias("license"), L(1).cast("long").alias("word"), (C("n") + 1).cast("long").alias("last")))
+    rows = judged.select("doc_id", "unit", "number", "content", C("best").isNull().alias("inside"), F.explode(F.when(C("best").isNull(), run).otherwise(one)).alias("r"))
+    # words up to the end of each line: a run that ends in the line it begins in is reported there
+    sizes_ = F.transform(F.split("content", "\n|\r"), lambda x: F.size(F.filter(normalised(x), lambda w: w != "")))
+    ends = F.transform(sizes_, lambda _, i: F.aggregate(F.slice(sizes_, 1, i + 1), L(0), lambda s, x: s + x))
+    cut = F.exists(ends, lambda e: (e >= C("r.word")) & (e < C("r.last")))
+    return rows.where((C("unit") == "line") | ~C("inside") | cut).select("doc_id", "unit", "number", "r.license", "r.dice", "r.word")

@@ -61,6 +61,17 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_licenses_inside_texts(spark):
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][1].split()
+    block = "/*\n * Copyright someone\n *\n" + "".join(f" * {' '.join(mit[i : i + 9])}\n" for i in range(0, len(mit), 9)) + " *\n * " + prose(3, 90) + "\n */"
+    texts = [
+        "This file is released under the MIT License.", "All example code on this page is licensed under CC BY-NC 4.0.", block,
+        prose(4, 200) + " Released under\nthe MIT License. " + prose(5, 200), "no notice: released under\nthe same rules", prose(6, 40) + " released under the mit licence " + prose(7, 40),
+    ]
+    got = sorted((r.doc_id, r.unit, r.number, r.license, r.word) for r in licenses.scan(frame(spark, [row(i, t) for i, t in enumerate(texts)])).collect())
+    assert got == [(0, "line", 1, "MIT", 4), (1, "line", 1, "CC-BY-NC-4.0", 8), (2, "paragraph", 1, "MIT", 3), (3, "paragraph", 1, "MIT", 201)]
+
+
 PAGES = [
     ("http://a.Example.ORG/en/1x?q", "a.example.org", "/en/1x", "example.org/en/1", "block"), ("x://example.org/es/", "example.org", "/es/", "example.org/es/", "block"),
     ("https://example.org/en/2", "example.org", "/en/2", "org/", "allow"), ("https://notexample.org/es/1#f", "notexample.org", "/es/1", "org/", "allow"),
