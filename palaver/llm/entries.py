@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import audio, chat, decontaminate, language, licenses, mixing, near_dup, suffix_dedup, tokens, url_filter
+from palaver.llm import audio, chat, decontaminate, language, licenses, merkle, mixing, near_dup, suffix_dedup, tokens, url_filter
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_proofs(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_audio_fingerprints": op1,
     "op2_source_mixing": op2,
@@ -77,10 +81,12 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8,
     "op9_token_files": op9,
     "op10_url_filter": op10,
+    "op11_merkle_manifest": op11,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
 
 
