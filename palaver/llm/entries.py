@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import audio, chat, decontaminate, language, licenses, merkle, mixing, near_dup, suffix_dedup, tokens, url_filter
+from palaver.llm import align, audio, chat, decontaminate, language, licenses, merkle, mixing, near_dup, suffix_dedup, tokens, url_filter
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.document_proofs(_table(spark, folder, "documents"))
 
 
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align(_table(spark, folder, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_audio_fingerprints": op1,
     "op2_source_mixing": op2,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": op9,
     "op10_url_filter": op10,
     "op11_merkle_manifest": op11,
+    "op13_token_alignment": op13,
 }
 
 ORACLES: dict[str, str] = {
