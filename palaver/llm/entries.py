@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import align, audio, chat, decontaminate, language, licenses, merkle, mixing, near_dup, suffix_dedup, tokens, url_filter
+from palaver.llm import align, audio, chat, decontaminate, language, licenses, merkle, mixing, near_dup, quality, suffix_dedup, tokens, url_filter
 from palaver.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.document_proofs(_table(spark, folder, "documents"))
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.predict(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return align.align(_table(spark, folder, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": op9,
     "op10_url_filter": op10,
     "op11_merkle_manifest": op11,
+    "op12_quality_classifier": op12,
     "op13_token_alignment": op13,
 }
 

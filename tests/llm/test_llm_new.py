@@ -4,10 +4,11 @@ import collections
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from llm_cases import awkward, frame, prose, row
 
-from palaver.llm import align, entries, merkle
+from palaver.llm import align, entries, merkle, quality
 
 
 def H(*parts):
@@ -154,3 +155,80 @@ def test_given_texts_align(spark, both):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sortable(map(tuple, entries.op13(spark, folder).collect())) == sortable(alignment_twin(rows, both))
+
+
+def network_twin(net, text):
+    """The network byte by byte and filter by filter, without batches."""
+    w, q = {k: v.astype(np.float64) for k, v in net.weights.items()}, quality
+    reach = q.SPAN * q.STRIDE
+    halves = max(2, -(-(len(text) + reach - q.STRIDE) // q.HALF))
+    raw = text + bytes(halves * q.HALF + reach - len(text))
+    pooled = np.zeros((halves, q.FILTERS))
+    for at in range(0, halves * q.HALF - (q.SPAN - 1) * q.STRIDE, q.STRIDE):
+        value = w["bias"].copy()
+        for k in range(q.SPAN):
+            x = w["embed"][list(raw[at + k * q.STRIDE : at + (k + 1) * q.STRIDE])].ravel()
+            value += x @ w["filters"][:, k * q.FILTERS : (k + 1) * q.FILTERS]
+        pooled[at // q.HALF] = np.maximum(pooled[at // q.HALF], value)
+    chunks = [np.maximum(a, b) for a, b in zip(pooled[:-1], pooled[1:], strict=True)]
+    f = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0), np.min(chunks, 0)])
+    hidden = np.maximum(f @ w["dense"] + w["dense_bias"], 0)
+    return 1 / (1 + np.exp(-float(hidden @ w["out"] + w["out_bias"][0])))
+
+
+def test_network(monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 12)
+    r = np.random.default_rng(1)
+    texts = [prose(i, 5 + 9 * i).encode() for i in range(40)] + [b"?!" * (3 + 20 * i) for i in range(40)] + [b"", b"a", bytes(r.integers(0, 256, 999, dtype=np.uint8))]
+    net = quality.fit(texts, np.array([1] * 40 + [0] * 40 + [1, 1, 0]))
+    offsets = np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+    got = quality.score(net, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert np.allclose(got, [network_twin(net, t) for t in texts], atol=1e-5)
+    # gradients against differences of the loss
+    part = [1, 3, 45, 50, 82]
+    data, cut = np.frombuffer(b"".join(texts[i] for i in part), np.uint8), np.concatenate([[0], np.cumsum([len(texts[i]) for i in part])])
+    label, weight = np.array([1, 1, 0, 0, 0], np.float32), np.array([1, 2, 1, 3, 1], np.float32)
+
+    def loss(w):
+        p = quality.score(quality.Network(w), data, cut)
+        return float(-(weight * np.where(label == 1, np.log(p), np.log(1 - p))).mean())
+
+    wide = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    g = quality._gradients(wide, data, cut, label, weight)
+    for name, value in wide.items():
+        for _ in range(6):
+            at = tuple(r.integers(0, n) for n in value.shape) if name != "embed" else (int(data[r.integers(len(data))]), int(r.integers(quality.EMBED)))
+            moved = [{**wide, name: value.copy()} for _ in range(2)]
+            moved[0][name][at] += 1e-6
+            moved[1][name][at] -= 1e-6
+            assert abs((loss(moved[0]) - loss(moved[1])) / 2e-6 - g[name][at]) < 2e-3 * max(1, abs(g[name][at]))
+
+
+def test_quality(spark, monkeypatch):
+    good = [row(i, prose(i, 40 + i)) for i in range(90)]
+    bad = [row(100 + i, " ".join(f"W{i}!!" for _ in range(20 + i))) for i in range(90)]
+    docs = awkward() + [row(1000 + r[0], *r[1:4]) for r in good + bad]
+    labels = [(1000 + r[0], int(r[0] < 100), None) for r in good + bad] + [(None, 1, 0), (1001, None, 0), (1002, 7, 0), (4, 1, 0), (5, 0, 1), (5, 0, 1), (99, 1, 1)]
+    tags = spark.createDataFrame(labels, "doc_id long, quality int, text int")
+    monkeypatch.setattr(quality, "STEPS", 200)
+    got = quality.predict(frame(spark, docs), tags).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in docs)
+    truth = {x: q for x, q, _ in labels if x and x >= 1000 and q in (0, 1)}
+    right = [r.predicted == truth[r.doc_id] for r in got if r.held_out and r.doc_id in truth]
+    assert len(right) > 20 and np.mean(right) > 0.95
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= quality.THRESHOLD)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    assert len({r.score for r in got if r.doc_id in (4, 5)}) == 1
+    assert {r.score for r in quality.predict(frame(spark, docs), tags.limit(0)).collect()} == {0.5}
+    assert {r.score for r in quality.predict(frame(spark, docs), tags.where("quality = 1")).collect()} == {1.0}
+    assert quality.predict(frame(spark, []), tags).collect() == []
+
+
+def test_quality_of_given_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = [(r, truth[r.doc_id]) for r in entries.op12(spark, folder).collect() if r.held_out and r.doc_id in truth]
+    one, zero = ([r.score for r, q in got if q == k] for k in (1, 0))
+    assert np.mean([[x > y for y in zero] for x in one]) > 0.95
+    assert np.mean([r.predicted == q for r, q in got]) > 0.9
