@@ -32,14 +32,15 @@ from palaver.llm.hashing import ranges, utf8
 from palaver.llm.shared import stored
 from palaver.llm.tokens import Pieces, ids_of
 
-BLOCK_BYTES = 8 << 20  # of text in a block; a longer document is a block of its own
-BATCH_BYTES = 1 << 20  # of text that is aligned at a time
-CACHE = 400_000  # segments whose ids a worker remembers
-LONGEST = 48  # characters of the longest segment remembered
+BLOCK_BYTES = 6 << 20  # of text in a block; a longer document is a block of its own
+BATCH_BYTES = 1 << 19  # of text that is aligned at a time
+CACHE = 200_000  # words whose ids a worker remembers
+LONGEST = 40  # characters of the longest word remembered
 ID = "<u4"
 SPACE = "▁"
-# neither tokenizer joins a character other than white space with a blank that a visible character follows
-CUT = re.compile(rf"(?<=[^\s{SPACE}])(?= [^\s{SPACE}])")
+# neither tokenizer joins a character other than white space with a blank that a visible character follows;
+# a part stands for blank + part, the first one too
+CUT = re.compile(rf"(?<=[^\s{SPACE}]) (?=[^\s{SPACE}])")
 
 C = F.col
 BLOCKS = (
@@ -49,8 +50,12 @@ BLOCKS = (
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-class Segments(dict):
-    """(ids of A, ids of B) of a segment that begins with a blank; None where the bytes of either differ from it."""
+class Segments:
+    """Ids by A and by B of blank + word, as far as a worker remembers them.
+
+    A byte-level tokenizer with all 256 bytes in its vocabulary never changes a
+    text; B's ids are None where its bytes differ from the word's.
+    """
 
     def __init__(self, a_file: str, b_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,40 +64,50 @@ class Segments(dict):
 
         a = Tokenizer.from_file(a_file)
         a.encode_special_tokens = True
-        self.a, self.b = Pieces(a, ID), sentencepiece.SentencePieceProcessor(model_file=b_file)
-        byte_of = {c: b for b, c in self.a.letter.items()}
+        self.pieces, self.model = Pieces(a, ID), sentencepiece.SentencePieceProcessor(model_file=b_file)
+        byte_of = {c: b for b, c in self.pieces.letter.items()}
         vocab = json.loads(a.to_str())["model"]["vocab"]
+        if not byte_of.keys() <= vocab.keys():
+            raise ValueError(f"{a_file} is no complete byte-level vocabulary")
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)  # a piece crosses blanks: texts are not cut
+        self.known: dict[str, bytes | None] = {}
 
-    def learn(self, segments: list[str]) -> None:
-        """Both tokenizers over segments not yet known, in one call each where that helps."""
-        for segment, b in zip(segments, self.b.encode([x[1:] for x in segments], num_threads=1), strict=True):
-            a = self.a[segment[1:]] or ids_of(segment, self.a)
-            ids = memoryview(a).cast("I").tolist()
-            raw = segment.encode()
-            same = b"".join([self.a_bytes[i] for i in ids]) == raw == b"".join([self.b_bytes[i] for i in b])
-            self[segment] = (a, array("I", b).tobytes()) if same else None
+    def learn(self, words: list[str]) -> None:
+        table = self.b_bytes
+        for word, ids in zip(words, self.model.encode(words, num_threads=1), strict=True):
+            same = b"".join([table[i] for i in ids]) == b" " + word.encode()
+            self.known[word] = array("I", ids).tobytes() if same else None
 
     def of(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text the ids of blank + text by A and of text by B; both empty for a text without tokens."""
-        if len(self) > CACHE:
-            self.clear()
-            self.a.clear()
-        parts = [([" " + t] if self.whole else CUT.split(" " + t)) if t else [] for t in texts]
-        self.learn(list({x for p in parts for x in p if x not in self}))
-        out = []
-        for p in parts:
-            found = [self[x] for x in p]
-            if None in found:
-                found = []
-            out.append(tuple(np.frombuffer(b"".join([x[k] for x in found]), ID) for k in (0, 1)))
-        for x in {x for p in parts for x in p if len(x) > LONGEST}:
-            del self[x]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        if len(self.pieces) > 2 * CACHE:
+            self.pieces.clear()
+            self.pieces.plain.clear()
+        parts = [([t] if self.whole else CUT.split(t)) if t else [] for t in texts]
+        here = set().union(*parts)
+        self.learn(list(here.difference(self.known)))
+        out, none = [], np.zeros(0, ID)
+        for text, p in zip(texts, parts, strict=True):
+            try:
+                b = b"".join(map(self.known.__getitem__, p))
+            except TypeError:  # None among them
+                out.append((none, none))
+                continue
+            try:
+                a = b"".join(map(self.pieces.__getitem__, p))
+            except TypeError:  # white space at either end of the text
+                a = ids_of(" " + text, self.pieces)
+            out.append((np.frombuffer(a, ID), np.frombuffer(b, ID)))
+        for x in here:
+            if len(x) > LONGEST:
+                del self.known[x]
         return out
 
 
