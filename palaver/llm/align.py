@@ -162,7 +162,9 @@ class Aligner:
         # both sides have the same bytes, so running sums over the batch are places in one run of bytes
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         i, j = overlaps(doc_a, end_a - self.a_size[a], doc_b, end_b - self.b_size[b])
-        cut_a, cut_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        marks = np.zeros((2, int(end_a[-1]) + 1 if len(a) else 0), bool)
+        marks[0, end_a] = marks[1, end_b] = True
+        cut_a, cut_b = marks[1, end_a], marks[0, end_b]
         of_a, of_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b  # number of the group
         groups = int(cut_a.sum())
         size_a, size_b = np.bincount(of_a, minlength=groups), np.bincount(of_b, minlength=groups)
@@ -195,8 +197,12 @@ def _blocks(a_file: str, b_file: str):
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            pairs, at, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-            links = pa.compress(at.astype(ID).tobytes(), codec="zstd", asbytes=True)
+            at, pairs = pd.factorize(np.concatenate(held))  # far fewer pairs than links
+            order = np.argsort(pairs)
+            place = np.empty(len(pairs), ID)
+            place[order] = np.arange(len(pairs))
+            pairs, counts = pairs[order], np.bincount(at, minlength=len(pairs))[order]
+            links = pa.compress(place[at].tobytes(), codec="zstd", asbytes=True)
             lists = [doc_ids, *np.concatenate(figures).T, digests, links, pairs, counts]
             names = [x.split()[0] for x in BLOCKS.split(", ")]
             kinds = [pa.list_(pa.int64())] * 5 + [pa.list_(pa.string()), pa.binary()] + [pa.list_(pa.int64())] * 2

@@ -3,10 +3,10 @@
     conversation := HEAD turn*          HEAD is <chat:0> or <chat:1>
     turn         := <s> role \\n text </s>
 
-A conversation is rendered as it is (<chat:0>) and parsed again; if the turns
-that come back differ from the source, because a text holds a control string or
-a role a line break, it is rendered with escapes (<chat:1>): & becomes &a, <
-becomes &l, and a line break in a role &n.  No control string can then occur
+A conversation is rendered as it is (<chat:0>) and parsed again; if it holds a
+control string, or the turns that come back differ from the source (a role with
+a line break), it is rendered with escapes (<chat:1>): & becomes &a, < becomes
+&l, and a line break in a role &n.  No control string can then occur
 inside a text, so the second rendering always parses to its source.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 HEADS = ("<chat:0>", "<chat:1>")
 OPEN, CLOSE = "<s>", "</s>"
+CONTROL = "</?s>|<chat:[01]>"  # every control string
 LEARNED = "assistant"  # the loss is taken on the texts of this role
 ESCAPES = (("&", "&a"), ("<", "&l"), ("\n", "&n"))  # the last in roles only
 
@@ -85,6 +86,21 @@ def loss_runs(formatted: Column) -> Column:
     return F.flatten(F.transform(_pieces(formatted), runs))
 
 
+def learned(formatted: Column, runs: Column) -> Column:
+    """The characters under the loss mask, unescaped, nothing between the runs.
+
+    The mask has three runs a turn, of which the second ends where the turn is
+    closed; so each turn's characters are cut from its own piece of the text.
+    """
+
+    def cut(piece: Column, i: Column) -> Column:
+        run = F.get(runs, i * 3 + 1)
+        text = F.right(piece, run.chars.cast("int"))
+        return F.when(~run.loss, "").when(F.startswith(formatted, L(HEADS[1])), _unescape(text)).otherwise(text)
+
+    return F.array_join(F.transform(_pieces(formatted), cut), "")
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, escaped, loss_runs, turns (read back), round_trip, for each conversation.
 
@@ -103,7 +119,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
     chats = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
     turns = F.transform("rows", lambda r: F.struct(r.role.alias("role"), r.text.alias("text")))
     plain = chats.select("conv_id", turns.alias("source")).withColumn("plain", render(C("source"), 0))
-    tried = plain.withColumn("escaped", ~F.coalesce(parse(C("plain")) == C("source"), L(False)))
+    held = F.exists("source", lambda t: F.regexp_like(t.role, L(CONTROL)) | F.regexp_like(t.text, L(CONTROL)))
+    tried = plain.withColumn("escaped", held | ~F.coalesce(parse(C("plain")) == C("source"), L(False)))
     done = tried.withColumn("formatted", F.when(C("escaped"), render(C("source"), 1)).otherwise(C("plain")))
     back = done.withColumn("turns", parse(C("formatted")))
     return back.select("conv_id", "formatted", "escaped", loss_runs(C("formatted")).alias("loss_runs"), "turns", (C("turns") == C("source")).alias("round_trip"))
@@ -112,8 +129,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
 def digests(chats: DataFrame) -> DataFrame:
     """What the formatted conversations give back: counts and digests of turns and of the text under the loss mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, L("\n"), t.text, L("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t.role == LEARNED), lambda t: t.text), "")
-    return chats.withColumn("learned", learned).select(
+    return chats.withColumn("learned", learned(C("formatted"), C("loss_runs"))).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.encode("learned", "UTF-8"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), "round_trip",
@@ -126,7 +142,7 @@ SQL = """WITH rows AS (
 chats AS (
  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
-  bool_or(contains(role || text, '</s>') OR contains(role, chr(10))) AS escaped,
+  bool_or(regexp_matches(role, '</?s>|<chat:[01]>') OR regexp_matches(text, '</?s>|<chat:[01]>') OR contains(role, chr(10))) AS escaped,
   sum(8 + length(role) + length(text)) AS plain,
   sum(length(role) - length(replace(replace(replace(role, '&', ''), '<', ''), chr(10), '')) + length(text) - length(replace(replace(text, '&', ''), '<', ''))) AS extra
  FROM rows GROUP BY conv_id)

@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Each source is cut into shards of bounded size, each shard's documents are laid
-out in a seeded order, and that line of words into equal blocks.  All blocks of
-the mix are given to shards by the highest quotients target / (2 k + 1), so each
-shard has an integer quota; a shard whose quota exceeds its blocks repeats them.
+out in a seeded order, and that line of words into blocks of a power of two
+words, a thousandth of the shard at most, down to one word.  All blocks of one
+size are given to their shards by the highest quotients target / (2 k + 1), so
+each shard has an integer quota; a shard whose quota exceeds its blocks repeats
+them.
 Which blocks of a shard make up a partial pass is decided by a seeded
 permutation that each document evaluates for its own blocks, so blocks are never
 listed, ranked or shuffled.
@@ -27,7 +29,8 @@ from palaver.plans.scale import checked_broadcast
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 MOST = 3  # times that a word may be taken
 SHARD_WORDS = 8_000_000  # the driver sees one row a shard
-LARGEST_BLOCK, SMALLEST_BLOCK = 1024, 16  # words
+LARGEST_BLOCK = 1024  # words
+BLOCKS = 1000  # of a shard at least, unless it has fewer words
 SEED = 20_240_229
 
 C = F.col
@@ -79,6 +82,11 @@ def sainte_lague(votes: Sequence[float], seats: int) -> list[int]:
     return out
 
 
+def block_size(words: int) -> int:
+    """Words in a block of a shard."""
+    return min(LARGEST_BLOCK, 1 << max(0, (words // BLOCKS).bit_length() - 1))
+
+
 def _permutation(source: int, shard: int, n: int) -> tuple[int, int]:
     """(a, b) of the seeded permutation j -> (a j + b) mod n."""
     h = zlib.crc32(f"{SEED}:{source}:{shard}".encode())
@@ -109,13 +117,16 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS) -> tuple[DataFrame
     )
     found = with_shard(docs, sources).where("size > 0").groupBy("src", "shard").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (r["src"], r["shard"]))
-    small = min(r["size"] for r in found)
-    block = min(LARGEST_BLOCK, max(SMALLEST_BLOCK, small // 1000))
     votes = [goal[r["src"]] * r["size"] / rows[r["src"]]["size"] for r in found]
-    quotas = sainte_lague(votes, round(sum(votes) / block))
+    blocks = [block_size(r["size"]) for r in found]
+    quotas = [0] * len(found)
+    for block in sorted(set(blocks)):
+        of = [i for i, x in enumerate(blocks) if x == block]
+        for i, q in zip(of, sainte_lague([votes[i] for i in of], round(sum(votes[i] for i in of) / block)), strict=True):
+            quotas[i] = q
     out = []
-    for r, q in zip(found, quotas, strict=True):
-        n = max(1, round(r["size"] / block))
+    for r, q, block in zip(found, quotas, blocks, strict=True):
+        n = round(r["size"] / block)
         q = min(q, MOST * n)
         out.append((r["src"], r["shard"], r["size"], n, q // n, q % n, *_permutation(r["src"], r["shard"], n)))
     names = ["src", "shard", "shard_size", "blocks", "passes", "part", "a", "b"]
@@ -128,7 +139,7 @@ def with_shard(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Add src, shard, source_size and target."""
     return (
         docs.join(checked_broadcast(sources), C("source").eqNullSafe(C("name")), "left")
-        .withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), C("shards")))
+        .withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), C("shards")))
         .drop("name", "shards")
     )
 

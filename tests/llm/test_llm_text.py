@@ -41,10 +41,21 @@ def test_chat_round_trip(spark):
         assert learned == want and d.loss_chars == len("".join(want))
         assert d.loss_sha256 == hashlib.sha256("".join(want).encode()).hexdigest()
         assert d.turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in turns).encode()).hexdigest()
-        assert r.escaped == any("</s>" in t[2] + t[3] or "\n" in t[2] for t in turns)
+        assert r.escaped == (any(c in x for c in ("<s>", "</s>", "<chat:0>", "<chat:1>") for t in turns for x in t[2:]) or any("\n" in t[2] for t in turns))
     assert chat.format_chats(rows.limit(0)).collect() == []
 
 
+def test_learned_text_comes_from_the_mask(spark):
+    """Learned characters follow the mask, also where it is another one than the parsed roles would give."""
+    rows = spark.createDataFrame([(1, 0, "user", "a <s> b <chat:1>"), (1, 1, "assistant", "x & <y"), (2, 0, "assistant", "plain"), (2, 1, "user", "&l")], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(rows)
+    assert {r.conv_id: r.escaped for r in made.collect()} == {1: True, 2: False}
+    turned = made.withColumn("loss_runs", F.transform("loss_runs", lambda r, i: F.struct(r.chars.alias("chars"), ((i % 3 == 1) & ~r.loss).alias("loss"))))
+    got = {r.conv_id: r.loss_sha256 for r in chat.digests(turned).collect()}
+    assert got == {1: hashlib.sha256(b"a <s> b <chat:1>").hexdigest(), 2: hashlib.sha256(b"&l").hexdigest()}
+    assert {r.conv_id: r.loss_chars for r in chat.digests(made).collect()} == {1: 6, 2: 5}
+
+
 def test_licenses(spark):
     mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][1]
     half = len(mit) // 2
@@ -155,6 +166,47 @@ def test_targets_and_seats():
     assert mixing.sainte_lague(votes, 20) == [sum(-i == j for _, i in quotients) for j in range(4)]
 
 
+def mixing_twin(docs, goal, names):
+    """(doc_id, size, taken) by laying out every word of every shard and walking its blocks; seats one by one."""
+    hashes = docs.withColumn("size", mixing.words(F.col("text"))).select("doc_id", "source", "size", F.xxhash64(F.lit(mixing.SEED), "doc_id", "size"), F.xxhash64(F.lit(mixing.SEED + 1), "doc_id")).collect()
+    sizes = collections.Counter()
+    for _, source, size, _, _ in hashes:
+        sizes[source] += size
+    shards = collections.defaultdict(list)
+    for doc, source, size, h, order in hashes:
+        if size:
+            shards[names.index(source), h % -(-sizes[source] // mixing.SHARD_WORDS)].append((order, doc is not None, doc or 0, size))
+    classes = collections.defaultdict(list)
+    for key in sorted(shards):
+        words = sum(x[3] for x in shards[key])
+        block = 1
+        while block * 2 <= min(1024, words // 1000):
+            block *= 2
+        classes[block].append((key, words, goal[key[0]] * words / sizes[names[key[0]]]))
+    out = [(doc is not None, doc or 0, 0, 0) for doc, _, size, _, _ in hashes if not size]
+    for block, members in classes.items():
+        seats = [0] * len(members)
+        for _ in range(round(sum(v for _, _, v in members) / block)):
+            seats[max(range(len(members)), key=lambda i: (members[i][2] / (2 * seats[i] + 1), -i))] += 1
+        for (key, words, _), q in zip(members, seats, strict=True):
+            n = round(words / block)
+            q = min(q, 3 * n)
+            a, b = mixing._permutation(*key, n)
+            line, at = [], 0
+            for j in range(n):
+                line += [q // n + ((a * j + b) % n < q % n)] * ((j + 1) * words // n - j * words // n)
+            for _, there, doc, size in sorted(shards[key]):
+                out.append((there, doc, size, sum(line[at : at + size])))
+                at += size
+    return out
+
+
+def test_tiny_sources_meet_their_targets(spark):
+    rows = [row(i, prose(i, 100), "en", "a") for i in range(40)] + [row(100, "x y z", "en", "b"), row(101, "x y", "en", "d"), row(102, "one", "en", "e")]
+    got = {r.doc_id: (r.taken, r.target) for r in mixing.mixed_sizes(frame(spark, rows)).collect()}
+    assert got[100] == (9, 9.0) and got[101] == (6, 6.0) and got[102] == (3, 3.0)
+
+
 def test_mixing(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 3000)
     rows = awkward() + [row(100 + i, prose(i, 20 + i % 60), "en", f"s{i % 4}") for i in range(600)]
@@ -174,7 +226,8 @@ def test_mixing(spark, monkeypatch):
     for r in got:
         assert r.target == pytest.approx(want[names.index(r.source)]) and r.source_size == sources[r.source][0]
     for s, t in zip(names, want):
-        assert abs(sources[s][1] - t) <= 0.01 * t + 64
+        assert abs(sources[s][1] - t) <= 0.002 * t + 1
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size, r.taken) for r in got) == sorted(mixing_twin(docs, want, names))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
     per = collections.Counter(r.source for r in mixed.collect() for _ in range(len((r.text or "").split())))
