@@ -8,16 +8,6 @@ import numpy as np
 import pandas as pd
 
 
-def best_positions(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the n best scores, by score then id, ties kept in order."""
-    if len(scores) > n:
-        floor = np.partition(scores, len(scores) - n)[len(scores) - n]
-        pool = np.flatnonzero(scores >= floor)
-    else:
-        pool = np.arange(len(scores))
-    return pool[np.lexsort((ids[pool], -scores[pool]))][:n]
-
-
 def sortable(ids) -> np.ndarray:
     """Ids as numbers or as fixed-width strings, which sort by code point."""
     values = np.asarray(ids)
@@ -25,37 +15,39 @@ def sortable(ids) -> np.ndarray:
 
 
 class TopRows:
-    """The n best (id, score) seen so far for each query of a block; ``keys`` has a row per query."""
+    """The n best (id, score) seen so far for each query of a block; ``keys`` has a row per query.
+
+    All queries are kept in three flat arrays and merged at once.
+    """
 
     def __init__(self, keys: pd.DataFrame, n: int):
         self.keys, self.n = keys, n
-        self.ids: list[np.ndarray | None] = [None] * len(keys)
-        self.scores = [np.empty(0)] * len(keys)
-
-    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if self.ids[q] is not None:
-            ids = np.concatenate([self.ids[q], ids])
-            scores = np.concatenate([self.scores[q], scores])
-        best = best_positions(scores, ids, self.n)
-        self.ids[q], self.scores[q] = ids[best], scores[best]
-
-    def add_block(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Scores of all queries (rows) for the same ids; only what can enter the best n is merged."""
-        if scores.shape[1] > 4 * self.n:
-            best = np.argpartition(scores, scores.shape[1] - self.n, axis=1)[:, -self.n :]
-            floor = np.take_along_axis(scores, best, axis=1).min(axis=1)
+        self.query = np.zeros(0, np.int64)
+        self.ids: np.ndarray | None = None
+        self.scores = np.zeros(0)
+
+    def add_block(self, ids: np.ndarray, scores: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """Scores of queries (rows, all or those numbered ``queries``) for the same ids; -inf never enters."""
+        if scores.shape[1] > self.n:
+            floor = np.partition(scores, scores.shape[1] - self.n, axis=1)[:, scores.shape[1] - self.n]
         else:
             floor = np.full(len(scores), -np.inf)
-        for q in range(len(scores)):
-            at = np.flatnonzero(scores[q] >= floor[q])
-            self.add(q, ids[at], scores[q][at])
+        q, at = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        found, found_ids, value = q if queries is None else queries[q], ids[at], scores[q, at]
+        if self.ids is not None:
+            found, found_ids = np.concatenate([self.query, found]), np.concatenate([self.ids, found_ids])
+            value = np.concatenate([self.scores, value])
+        order = np.lexsort((found_ids, -value, found))
+        found = found[order]
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        place = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
+        keep = order[place < self.n]
+        self.query, self.ids, self.scores = found[place < self.n], found_ids[keep], value[keep]
 
     def frames(self) -> Iterator[pd.DataFrame]:
-        sizes = [0 if x is None else len(x) for x in self.ids]
-        if sum(sizes):
-            out = self.keys.iloc[np.repeat(np.arange(len(self.keys)), sizes)].reset_index(drop=True)
-            out["id"] = np.concatenate([x for x in self.ids if x is not None])
-            out["score"] = np.concatenate(self.scores)
+        if len(self.query):
+            out = self.keys.iloc[self.query].reset_index(drop=True)
+            out["id"], out["score"] = self.ids, self.scores
             yield out
 
 
@@ -74,64 +66,118 @@ def dense_scan(keys: pd.DataFrame, matrix: np.ndarray, n: int, skip: np.ndarray
             ids = sortable(pdf["id"])
             block = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             scores = np.round(matrix @ block.T, digits)
-            if skip is None:
-                top.add_block(ids, scores)
-            else:
-                for q in range(len(keys)):
-                    other = ids != skip[q]
-                    top.add(q, ids[other], scores[q][other])
+            if skip is not None:
+                scores[ids[None, :] == skip[:, None]] = -np.inf
+            top.add_block(ids, scores)
         yield from top.frames()
 
     return run
 
 
-def lexical_scan(
-    keys: pd.DataFrame, weights: np.ndarray, n: int, k1: float, b: float, avgdl: float, digits: int, cells: int = 4_000_000
-) -> Callable[[Frames], Frames]:
-    """Scores one partition of matched tokens (id, dl, tidx) against a query
-    block and keeps the n best per query.
+DEAD, LIVE = -1, -2  # in place of a term: documents to leave out, the only ones to take
 
-    ``weights`` is (terms x queries).  The tokens of a document follow each
-    other, so counting them needs no shuffle; the last document of a batch
-    waits for the next batch.
-    """
-    n_terms = weights.shape[0]
 
-    def score(ids: np.ndarray, dl: np.ndarray, tidx: np.ndarray, top: TopRows) -> None:
-        if not len(ids):
+def _ranges(batches: Frames) -> Iterator[pd.DataFrame]:
+    """The rows of one range of documents after the other; a range may go on in the next batch."""
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        cuts = [0, *(np.flatnonzero(np.diff(pdf["range"])) + 1)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield pdf.iloc[a:b]
+        held = pdf.iloc[cuts[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield held
+
+
+class Bm25:
+    """Weights (terms x queries) and the saturation of term counts."""
+
+    def __init__(self, weights: np.ndarray, k1: float, b: float, avgdl: float):
+        self.weights, self.k1, self.b, self.avgdl = weights, k1, b, avgdl
+
+    def saturated(self, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / self.avgdl))
+
+    def reach(self, lists: pd.DataFrame) -> np.ndarray:
+        """What a document of the range can score at most, for every query."""
+        most = self.saturated(lists["max_tf"].to_numpy(np.float64), lists["min_dl"].to_numpy(np.float64))
+        return most @ np.maximum(self.weights[lists["tidx"].to_numpy()], 0) + 1e-9
+
+
+def best_ranges(keys: pd.DataFrame, model: Bm25, n: int) -> Callable[[Frames], Frames]:
+    """The n ranges with the greatest reach per query, from (range, tidx, max_tf, min_dl) in the order of ranges."""
+
+    def run(batches: Frames) -> Frames:
+        top = TopRows(keys, n)
+        held: list[tuple[int, np.ndarray]] = []
+
+        def merge() -> None:
+            if held:
+                scores = np.array([x for _, x in held]).T
+                top.add_block(np.array([r for r, _ in held]), np.where(scores > 1e-9, scores, -np.inf))
+                held.clear()
+
+        for rows in _ranges(batches):
+            held.append((int(rows["range"].iat[0]), model.reach(rows)))
+            if len(held) >= 64:
+                merge()
+        merge()
+        yield from top.frames()
+
+    return run
+
+
+def open_ranges(model: Bm25, floor: np.ndarray) -> Callable[[Frames], Frames]:
+    """(range) of all ranges that can reach the floor of some query."""
+
+    def run(batches: Frames) -> Frames:
+        found = [int(rows["range"].iat[0]) for rows in _ranges(batches) if (model.reach(rows) >= floor).any()]
+        yield pd.DataFrame({"range": np.array(found, np.int64)})
+
+    return run
+
+
+def postings_scan(keys: pd.DataFrame, model: Bm25, n: int, digits: int, floor: np.ndarray, only_live: bool, cells: int = 4_000_000) -> Callable[[Frames], Frames]:
+    """Scores one task's lists (range, tidx, max_tf, min_dl, ids, tfs, dls), in the order of ranges,
+    and keeps the n best per query that reach its floor."""
+
+    def score(rows: pd.DataFrame, top: TopRows) -> None:
+        lists = rows[rows["tidx"] >= 0]
+        if lists.empty:
+            return
+        asked = np.flatnonzero(model.reach(lists) >= floor)
+        if not len(asked):
             return
-        new = np.append(True, ids[1:] != ids[:-1])
-        doc = np.cumsum(new) - 1
-        doc_ids, doc_dl = ids[new], dl[new]
-        pairs, tf = np.unique(doc * n_terms + tidx, return_counts=True)
-        d, t = pairs // n_terms, pairs % n_terms
-        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_dl[d] / avgdl))
-        step = max(1, cells // n_terms)
-        for lo in range(0, len(doc_ids), step):
-            at = slice(*np.searchsorted(d, [lo, lo + step]))
-            block = np.zeros((min(step, len(doc_ids) - lo), n_terms))
-            block[d[at] - lo, t[at]] = part[at]
+        weights = model.weights[lists["tidx"].to_numpy()][:, asked]
+        term = np.repeat(np.arange(len(lists)), lists["ids"].str.len())
+        ids, doc = np.unique(sortable(np.concatenate(lists["ids"].to_list())), return_inverse=True)
+        part = model.saturated(np.concatenate(lists["tfs"].to_list()), np.concatenate(lists["dls"].to_list()))
+        usable = np.ones(len(ids), bool)
+        for kind, inside in ((DEAD, False), (LIVE, True)):
+            named = rows.loc[rows["tidx"] == kind, "ids"].to_list()
+            if named:
+                usable &= np.isin(ids, sortable(np.concatenate(named)), invert=not inside)
+            elif kind == LIVE and only_live:
+                return
+        order = np.argsort(doc, kind="stable")
+        doc, term, part = doc[order], term[order], part[order]
+        step = max(1, cells // max(len(lists), len(asked)))
+        for lo in range(0, len(ids), step):
+            at = slice(*np.searchsorted(doc, [lo, lo + step]))
+            block = np.zeros((min(step, len(ids) - lo), len(lists)))
+            block[doc[at] - lo, term[at]] = part[at]
             scores = np.round(block @ weights, digits).T
-            here = doc_ids[lo : lo + step]
-            for q in range(len(keys)):
-                hit = scores[q] > 0
-                top.add(q, here[hit], scores[q][hit])
+            scores[(scores <= 0) | (scores < floor[asked][:, None])] = -np.inf
+            scores[:, ~usable[lo : lo + step]] = -np.inf
+            top.add_block(ids[lo : lo + step], scores, asked)
 
     def run(batches: Frames) -> Frames:
         top = TopRows(keys, n)
-        held: list[np.ndarray] | None = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            rows = [sortable(pdf["id"]), pdf["dl"].to_numpy(dtype=np.int64), pdf["tidx"].to_numpy(dtype=np.int64)]
-            if held is not None:
-                rows = [np.concatenate(pair) for pair in zip(held, rows)]
-            others = np.flatnonzero(rows[0] != rows[0][-1])
-            cut = others[-1] + 1 if len(others) else 0
-            score(*[r[:cut] for r in rows], top)
-            held = [r[cut:] for r in rows]
-        if held is not None:
-            score(*held, top)
+        for rows in _ranges(batches):
+            score(rows, top)
         yield from top.frames()
 
     return run

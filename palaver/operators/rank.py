@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palaver.functions.tasks import dense_scan, lexical_scan
+from palaver.functions.tasks import DEAD, LIVE, Bm25, best_ranges, dense_scan, open_ranges, postings_scan
 from palaver.functions.text import tokenize
 from palaver.operators.activity import metadata_filter
+from palaver.operators.postings import LexicalIndex
 from palaver.plans.scale import checked_broadcast, scalar, spread
 from palaver.session import cut_lineage, scratch_table
 
@@ -35,6 +36,7 @@ DIGITS = 9  # scores are compared at this precision, so sums may run in any orde
 
 QUERY_BLOCK = 4096  # query vectors held by one task at a time
 BLOCK_CELLS = 8_000_000  # terms by queries held by one task at a time
+SEEDS = 4  # ranges of a query that are scored first; what they reach is the floor for all others
 
 
 # --- generic ranks -----------------------------------------------------------------
@@ -45,9 +47,9 @@ def query_keys(queries: DataFrame) -> list[str]:
     return [c for c in ("qid", "variant") if c in queries.columns]
 
 
-def _hit_schema(queries: DataFrame, docs: DataFrame) -> str:
-    fields = [(c, queries.schema[c].dataType) for c in query_keys(queries)] + [("id", docs.schema["id"].dataType)]
-    return ", ".join(f"{c} {kind.simpleString()}" for c, kind in fields) + ", score double"
+def _hit_schema(queries: DataFrame, id_type: str) -> str:
+    fields = [(c, queries.schema[c].dataType.simpleString()) for c in query_keys(queries)] + [("id", id_type)]
+    return ", ".join(f"{c} {kind}" for c, kind in fields) + ", score double"
 
 
 def rank_rows(scores: DataFrame, n: int | None = None, by: str | Sequence[str] = "qid", score: str = "score") -> DataFrame:
@@ -61,26 +63,6 @@ def rank_rows(scores: DataFrame, n: int | None = None, by: str | Sequence[str] =
 # --- lexical side --------------------------------------------------------------------
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(term, df, dl): document frequency per term, from one scan.
-
-    The row with a NULL term holds the number of documents and the number of
-    tokens.  Every document contributes a term once, so partial counts combine
-    map side and the shuffle carries the vocabulary, not the text.
-    """
-    marks = F.transform(
-        F.array_distinct("toks"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("bigint").alias("dl"))
-    )
-    whole = F.struct(F.lit(None).cast("string").alias("term"), F.size("toks").cast("bigint").alias("dl"))
-    return (
-        spread(docs.select("text"))
-        .select(tokenize(C("text")).alias("toks"))
-        .select(F.explode_outer(F.array_append(marks, whole)).alias("m"))
-        .groupBy("m.term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("m.dl").alias("dl"))
-    )
-
-
 def idf_table(vocab: DataFrame) -> DataFrame:
     """(term, idf).  Terms in more than half of the documents get a quarter of
     the mean idf instead of a negative weight."""
@@ -103,26 +85,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, dl, term, tf) for the terms that occur in some query.
-
-    The distinct query terms go to the tokens (broadcast when few enough), so
-    all other tokens drop out during the scan.
-    """
-    wanted = checked_broadcast(terms.select("term").distinct())
-    toks = spread(docs.select("id", "text")).select("id", tokenize(C("text")).alias("toks"))
-    return (
-        # the length is taken before the explode, so the array itself is not
-        # copied into every exploded row; the outer form keeps the optimizer
-        # from adding a size check that would tokenise every text twice
-        toks.select("id", F.size("toks").alias("dl"), "toks")
-        .select("id", "dl", F.explode_outer("toks").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-
-
 def bm25_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """(qid, term, weight): repeats of the term times its idf."""
     return terms.join(idf_table(vocab), "term").select(*query_keys(terms), "term", (C("qtf") * C("idf")).alias("weight"))
@@ -166,28 +128,69 @@ def _gathered(docs: DataFrame, schema: str, jobs: Iterator[Callable[[], DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def _lexical_top(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
-    """(qid, id, score) of the n best documents per query and task.
+def _by_range(lists: DataFrame) -> DataFrame:
+    """Whole ranges, one after the other in a task."""
+    return lists.repartition("range").sortWithinPartitions("range")
+
+
+def bm25_search(index: LexicalIndex, queries: DataFrame, n: int = PER_RANKER, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score, rank) of the n best documents per query; no text is read.
+
+    ``queries`` = (qid, query), or (qid, variant, query) to rank each wording on
+    its own; ``allowed`` (id) limits the documents, not the statistics.
 
-    The texts are tokenised and joined with the broadcast query terms where
-    they lie.  The matched tokens of a document stay together, so the same task
-    counts and scores them, a block of documents against a block of queries at
-    a time, and only n rows per query leave it.
+    Per block of queries the SEEDS ranges with the greatest reach of each query
+    are scored first.  The n-th best score there is a floor, and only the lists
+    of ranges that can reach the floor of some query are moved and scored.
     """
+    spark, keys = queries.sparkSession, query_keys(queries)
+    vocab = cut_lineage(index.vocabulary())
     whole = vocab.where(C("term").isNull()).select("df", "dl").first()
     avgdl = whole.dl / whole.df if whole and whole.dl else 1.0
-    toks = spread(docs.select("id", "text")).select("id", tokenize(C("text")).alias("toks"))
-    rows = toks.select("id", F.size("toks").alias("dl"), "toks").select("id", "dl", F.explode_outer("toks").alias("term"))
-    schema = _hit_schema(queries, docs)
-
-    def jobs():
-        for keys, terms, matrix in _query_blocks(bm25_weights(query_terms(queries), vocab)):
-            names = docs.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "term string, tidx int")
-            matched = rows.join(F.broadcast(names), "term").select("id", "dl", "tidx")
-            scan = lexical_scan(keys, matrix, n, K1, B, avgdl, DIGITS)
-            yield lambda matched=matched, scan=scan: matched.mapInPandas(scan, schema)
-
-    return _gathered(docs, schema, jobs())
+    schema = _hit_schema(queries, index.id_type)
+    path = scratch_table(spark, "hits")
+    spark.createDataFrame([], schema).write.parquet(path)
+    masks = _masks(index, allowed)
+    for names, terms, matrix in _query_blocks(bm25_weights(query_terms(queries), vocab)):
+        model = Bm25(matrix, K1, B, avgdl)
+        table = spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, tidx int")
+        lists = index.lists().join(F.broadcast(table), "term").drop("term", "bucket", "gen", "n", "tokens")
+
+        def scored(floor, ranges=None, lists=lists, names=names, model=model):
+            rows = lists if masks is None else lists.unionByName(masks)
+            rows = rows if ranges is None else rows.join(checked_broadcast(ranges), "range", "left_semi")
+            return _by_range(rows).mapInPandas(postings_scan(names, model, n, DIGITS, floor, allowed is not None), schema)
+
+        reach = cut_lineage(_by_range(lists.select("range", "tidx", "max_tf", "min_dl")))  # no list among them
+        reach = _by_range(reach)
+        best = reach.mapInPandas(best_ranges(names, model, SEEDS), _hit_schema(queries, "long"))
+        seeds = cut_lineage(rank_rows(best, SEEDS, keys).select(C("id").alias("range")).distinct())
+        rest = reach.select("range").distinct().join(F.broadcast(seeds), "range", "left_anti").limit(1).count()
+        first = cut_lineage(rank_rows(scored(np.zeros(len(names)), seeds), n, keys))
+        if not rest:  # the seeds are all there is
+            first.drop("rank").write.mode("append").parquet(path)
+            continue
+        bar = first.where(C("rank") == n).toPandas()  # a row a query of the block
+        floor = names.merge(bar, "left", keys)["score"].fillna(0.0).to_numpy()
+        able = reach.mapInPandas(open_ranges(model, floor), "range long")
+        scored(floor, cut_lineage(able)).write.mode("append").parquet(path)
+    return rank_rows(spark.read.schema(schema).parquet(path), n, keys)
+
+
+def _masks(index: LexicalIndex, allowed: DataFrame | None) -> DataFrame | None:
+    """Rows beside the lists of a range that name dead documents, or the only ones allowed."""
+
+    def named(rows: DataFrame, kind: int) -> DataFrame:
+        lists = rows.groupBy("range").agg(F.collect_list("id").alias("ids"))  # a range is bounded
+        none = [F.lit(None).cast("array<long>").alias(c) for c in ("tfs", "dls")]
+        return lists.select("range", F.lit(0).cast("long").alias("max_tf"), F.lit(0).cast("long").alias("min_dl"), "ids", *none, F.lit(kind).alias("tidx"))
+
+    parts = [named(index.dead(), DEAD)] if index.commits().where("dead > 0").limit(1).count() else []
+    if allowed is not None:
+        parts.append(named(index.documents().join(allowed.select("id"), "id", "left_semi"), LIVE))
+    if not parts:
+        return None
+    return cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
 
 def bm25_rank(
@@ -195,28 +198,26 @@ def bm25_rank(
     queries: DataFrame,
     n: int = PER_RANKER,
     *,
-    vocab: DataFrame | None = None,
+    index: LexicalIndex | None = None,
     filter_mode: str = "post",
     **filters,
 ) -> DataFrame:
     """(qid, id, score, rank) of the n best documents per query.
 
-    ``docs`` = (id, text, filter columns); ``queries`` = (qid, query), or
-    (qid, variant, query) to rank each wording on its own.  By
-    default the metadata filter applies after the cut to n, so fewer than n
-    rows may remain; ``filter_mode='pre'`` cuts last.  ``vocab`` may be the
-    stored result of ``vocabulary``; otherwise it is computed and written.
+    ``docs`` = (id, text, filter columns).  By default the metadata filter
+    applies after the cut to n, so fewer than n rows may remain;
+    ``filter_mode='pre'`` cuts last.  ``index`` is the stored index of ``docs``;
+    without one it is built for this call.
     """
-    vocab = cut_lineage(vocabulary(docs)) if vocab is None else vocab
+    index = LexicalIndex.build(docs) if index is None else index
     filtered = any(v is not None for v in filters.values())
-    allowed = docs.where(metadata_filter(**filters))
-    keys = query_keys(queries)
+    allowed = docs.where(metadata_filter(**filters)).select("id")
     if filtered and filter_mode == "pre":
-        return rank_rows(_lexical_top(allowed, queries, vocab, n), n, keys)
-    cut = rank_rows(_lexical_top(docs, queries, vocab, n), n, keys)
+        return bm25_search(index, queries, n, allowed)
+    cut = bm25_search(index, queries, n)
     if not filtered:
         return cut
-    return rank_rows(cut.join(allowed.select("id"), "id", "left_semi").drop("rank"), by=keys)
+    return rank_rows(cut.join(allowed, "id", "left_semi").drop("rank"), by=query_keys(queries))
 
 
 # --- dense side ----------------------------------------------------------------------
@@ -241,7 +242,7 @@ def dense_rank(
     with an id to leave out.
     """
     stored = spread(vectors.where(metadata_filter(**filters)).select("id", "embedding"))
-    keys, schema = query_keys(queries), _hit_schema(queries, vectors)
+    keys, schema = query_keys(queries), _hit_schema(queries, vectors.schema["id"].dataType.simpleString())
     rows = queries.select(*keys, "embedding", *([skip] if skip else [])).toLocalIterator(prefetchPartitions=True)
 
     def jobs():
@@ -386,7 +387,7 @@ def hybrid_search(
     pool: int = POOL,
     rerank: bool | str | Scorer = False,
     variants: DataFrame | None = None,
-    vocab: DataFrame | None = None,
+    index: LexicalIndex | None = None,
     **filters,
 ) -> DataFrame:
     """Lexical and dense rankings fused, optionally rescored, then diversified.
@@ -399,7 +400,7 @@ def hybrid_search(
     """
     n = max(PER_RANKER, pool, k)
     texts = queries.select("qid", "query")
-    lexical = bm25_rank(corpus, texts if variants is None else variants, n, vocab=vocab, **filters)
+    lexical = bm25_rank(corpus, texts if variants is None else variants, n, index=index, **filters)
     dense = dense_rank(vectors, query_vectors, n, **filters)
     # n rows per query, wording and ranker, read twice below
     ranked = cut_lineage(

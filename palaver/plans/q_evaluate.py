@@ -181,7 +181,7 @@ SQL_FORMS = ["original", "lowercase_no_punct", "truncate_3", "reverse"]
 def stress(t, forms=None):
     wordings = ev.perturbed_queries(t.queries, forms)
     asked = wordings.where(~C("skipped")).select("qid", C("form_no").alias("variant"), "query")
-    hits = cut_lineage(rank.bm25_rank(K.corpus(t), asked, 5))  # five rows a wording
+    hits = cut_lineage(rank.bm25_rank(K.corpus(t), asked, 5, index=t.lexical_index))  # five rows a wording
     originals = t.queries.select("qid", C("query").alias("phrase"))
     judged = (
         K.corpus(t).select("id", "text").join(checked_broadcast(hits.join(originals, "qid")), "id")

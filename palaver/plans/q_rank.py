@@ -7,6 +7,8 @@ from pyspark.sql.types import DoubleType
 
 from palaver.functions import text as tx
 from palaver.operators import rank
+from palaver.operators.corpus import index_delta
+from palaver.operators.postings import LexicalIndex
 from palaver.plans import q_corpus as K
 from palaver.plans import sql_rank as S
 from palaver.plans.registry import query
@@ -28,7 +30,7 @@ def vectors(t):
 
 
 def lexical(t, n=rank.PER_RANKER, **filters):
-    return rank.bm25_rank(corpus(t), t.queries, n, **filters)
+    return rank.bm25_rank(corpus(t), t.queries, n, index=t.lexical_index, **filters)
 
 
 def dense(t, n=rank.PER_RANKER):
@@ -46,7 +48,7 @@ def pool_hits(t):
 
 
 def search(t, **options):
-    return rank.hybrid_search(corpus(t), t.queries, vectors(t), t.item_vectors, **options)
+    return rank.hybrid_search(corpus(t), t.queries, vectors(t), t.item_vectors, index=t.lexical_index, **options)
 
 
 def ids(df, *cols):
@@ -66,10 +68,23 @@ def _(t):
 
 @query("J15_lexical_postings", f"WITH {S.bm25()} SELECT p.doc_id, p.term, p.tf, d.dl FROM post p JOIN dls d ON d.doc_id = p.doc_id WHERE p.term IN (SELECT term FROM qterms)")
 def _(t):
-    rows = rank.query_postings(corpus(t), rank.query_terms(t.queries))
+    rows = t.lexical_index.postings(rank.query_terms(t.queries))
     return ids(rows, "doc_id", "term", "tf", "dl")
 
 
+@query("J15b_extended_index", f"WITH {S.bm25()} SELECT qid, doc_id, rank, round(score, 6) AS score FROM bmr")
+def _(t):
+    """An index of the labelled documents, some in an older wording, and of others that go; then the delta."""
+    docs = t.documents.select(C("doc_id").alias("id"), "text")
+    old = docs.join(t.labels.select(C("doc_id").alias("id")), "id", "left_semi")
+    older = old.withColumn("text", F.when(C("id") % 2 == 0, F.concat("text", F.lit(" "), "text")).otherwise(C("text")))
+    leaving = old.select((-1 - C("id")).alias("id"), "text")
+    index = LexicalIndex.build(older.unionByName(leaving))
+    fresh = index_delta(docs, index.documents()).unionByName(old.where("id % 2 = 0"))
+    index.extend(fresh, leaving)
+    return ids(rank.bm25_search(index, t.queries), "qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("J14_dense_scan", """
 SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (
  SELECT q.qid, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score

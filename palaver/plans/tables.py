@@ -7,10 +7,13 @@ attribute.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palaver.operators.postings import LexicalIndex
 from palaver.plans.scale import spread
 from palaver.session import configure
 
@@ -153,6 +156,9 @@ def with_views(sql: str) -> str:
     return f"{head}{ctes}{own or chr(10)}{body}"
 
 
+INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+
+
 class Tables:
     """Lazy access to one folder of tables and the views over them."""
 
@@ -172,6 +178,17 @@ class Tables:
         # text work is heavy per byte: small text tables go to all cores
         return spread(df) if name in ("documents", "pages") else df
 
+    @property
+    def lexical_index(self) -> LexicalIndex:
+        """The stored index of the documents, built at the first use in an application."""
+        plain = self.spark.read.parquet(f"{self.folder}/documents.parquet")
+        state = plain.agg(F.max("_metadata.file_modification_time").cast("string"), F.count("*")).first()
+        name = hashlib.sha256("\n".join([*sorted(plain.inputFiles()), *map(str, state)]).encode()).hexdigest()
+        key = (self.spark.sparkContext.applicationId, name)
+        if key not in INDEXES:
+            INDEXES[key] = LexicalIndex.build(self.documents.select(F.col("doc_id").alias("id"), "text"))
+        return INDEXES[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.table(name)

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from palaver.operators import evaluate, rank
+from palaver.operators import evaluate, postings, rank
 
 C = F.col
 
@@ -57,6 +57,65 @@ def test_bm25(spark, monkeypatch):
     assert lists(found) == want and {r.variant for r in found.collect()} == {1000}
 
 
+def test_stored_index(spark, monkeypatch):
+    """Many small ranges, deltas and masks give what a fresh count over the live documents gives."""
+    monkeypatch.setattr(postings, "RANGE_TOKENS", 60)
+    rnd = random.Random(3)
+    words = ["the"] * 12 + [f"w{i}" for i in range(200)]
+    text = lambda: " ".join(rnd.choices(words, k=rnd.randint(0, 30)))
+    live = {f"d{i:04d}": text() for i in range(400)} | {"empty": "", "none": None}
+    frame = lambda rows: spark.createDataFrame(list(rows), "id string, text string")
+    queries = [(q, " ".join(rnd.choices(words, k=4))) for q in range(9)]
+    asked = spark.createDataFrame(queries, "qid long, query string")
+
+    def found(ranked):
+        out = {}
+        for r in ranked.orderBy("qid", "rank").collect():
+            out.setdefault(r.qid, []).append((r.id, r.score))
+        return out
+
+    def want(n=7):
+        return {q: v for q, v in bm25_by_hand([(i, t or "") for i, t in live.items()], queries, n).items() if v}
+
+    index = postings.LexicalIndex.build(frame(live.items()))
+    assert index.documents().select("range").distinct().count() > 20
+    assert {q: [i for i, _ in v] for q, v in found(rank.bm25_search(index, asked, 7)).items()} == want()
+    # the floor leaves ranges out; without it (all ranges are seeds) the result is the same
+    for seeds in (1, 1000):
+        monkeypatch.setattr(rank, "SEEDS", seeds)
+        assert {q: [i for i, _ in v] for q, v in found(rank.bm25_search(index, asked, 7)).items()} == want()
+    monkeypatch.setattr(rank, "SEEDS", 2)
+    for step in range(3):
+        change = {i: text() for i in rnd.sample(sorted(live), 20)} | {f"n{step}-{i}": text() for i in range(30)}
+        gone = [i for i in rnd.sample(sorted(live), 15) if i not in change]
+        index.extend(frame(change.items()), frame((i, None) for i in [*gone, "unknown"]))
+        live = {i: t for i, t in (live | change).items() if i not in gone}
+    index.extend(removed=frame([("empty", None)]))
+    live.pop("empty", None)
+    assert sorted((r.id, r.dl) for r in index.documents().collect()) == sorted((i, len((t or "").split())) for i, t in live.items())
+    df = Counter(w for t in live.values() for w in set((t or "").split()))
+    assert {r.term: r.df for r in index.vocabulary().collect() if r.term} == df
+    assert {q: [i for i, _ in v] for q, v in found(rank.bm25_search(index, asked, 7)).items()} == want()
+    few = [i for i in live if i.endswith("7")]
+    limited = found(rank.bm25_search(index, asked, 3, frame((i, None) for i in few)))
+    every = found(rank.bm25_search(index, asked, 1000))
+    assert limited == {q: [x for x in v if x[0] in few][:3] for q, v in every.items() if any(x[0] in few for x in v)}
+    # a generation without its line in commits does not count
+    before = found(rank.bm25_search(index, asked, 5))
+    monkeypatch.setattr(index, "commits", lambda real=index.commits: real().where("gen < 4"))
+    index._append("vocab", spark.createDataFrame([("the", 999, 0)], "term string, df long, dl long"), 77)
+    assert found(rank.bm25_search(index, asked, 5)) != {} and before
+    nothing = postings.LexicalIndex.build(frame([]))
+    assert rank.bm25_search(nothing, asked).collect() == []
+
+
+def test_a_search_reads_no_text(spark):
+    index = postings.LexicalIndex.build(spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "id long, text string"))
+    asked = spark.createDataFrame([(1, "word7 common")], "qid long, query string")
+    assert [r.id for r in rank.bm25_search(index, asked, 2).orderBy("rank").collect()][0] == 7
+    assert all(f.startswith("file:") and index.path.split("/")[-1] in f for f in index.lists().inputFiles())
+
+
 def unit(rng, n, dim=8):
     v = rng.standard_normal((n, dim)).astype(np.float32)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
