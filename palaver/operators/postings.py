@@ -95,6 +95,8 @@ class LexicalIndex:
 
     def __init__(self, spark: SparkSession, path: str, id_type: str) -> None:
         self.spark, self.path, self.id_type = spark, path.rstrip("/"), id_type
+        self._seen: list | None = None
+        self._vocabulary: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None) -> LexicalIndex:
@@ -105,12 +107,25 @@ class LexicalIndex:
         index.extend(docs)
         return index
 
-    def commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits")
+    def refresh(self) -> None:
+        """Look for generations that others have added."""
+        rows = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").orderBy("gen").collect()  # a line a delta
+        if rows != self._seen:
+            self._seen, self._vocabulary = rows, None
+
+    def commits(self) -> list:
+        """The generations that count, as last looked up."""
+        if self._seen is None:
+            self.refresh()
+        return self._seen
+
+    @property
+    def ranges(self) -> int:
+        return sum(r["postings"] for r in self.commits())
 
     def _read(self, table: str, schema: str) -> DataFrame:
         """The rows of ``table`` of all generations that count."""
-        done = [r["gen"] for r in self.commits().where(C(table) > 0).collect()]  # a line a delta
+        done = [r["gen"] for r in self.commits() if r[table]]
         if not done:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(f"{schema}, gen int").parquet(f"{self.path}/{table}").where(C("gen").isin(done))
@@ -131,8 +146,10 @@ class LexicalIndex:
 
     def vocabulary(self) -> DataFrame:
         """(term, df, dl): document frequencies; the row with a NULL term counts documents and tokens."""
-        parts = self._read("vocab", "term string, df long, dl long")
-        return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).where("df > 0")
+        if self._vocabulary is None:
+            parts = self._read("vocab", "term string, df long, dl long")
+            self._vocabulary = cut_lineage(parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).where("df > 0"))
+        return self._vocabulary
 
     def extend(self, docs: DataFrame | None = None, removed: DataFrame | None = None) -> None:
         """Add a generation: ``docs`` (id, text) are new or changed, ``removed`` (id) go.
@@ -141,7 +158,8 @@ class LexicalIndex:
         in the lists of their own ranges.  A generation counts once its line in
         ``commits`` is written, so a failed attempt leaves the index as it was.
         """
-        gen, counts = self._next(), {"postings": 0, "vocab": 0, "dead": 0}
+        self.refresh()
+        gen, counts = max([-1, *(r["gen"] for r in self.commits())]) + 1, {"postings": 0, "vocab": 0, "dead": 0}
         vocab = []
         gone = self._gone(docs, removed) if gen else None
         if gone is not None and (n := gone.count()):
@@ -153,17 +171,13 @@ class LexicalIndex:
             vocab.append(gone.agg((-F.count("*")).alias("df"), (-F.sum("dl")).alias("dl")).select(F.lit(None).cast("string").alias("term"), "df", "dl"))
         if docs is not None:
             added = self._lists_of(docs, gen)
-            counts["postings"] = 1
+            counts["postings"] = added.where("bucket < 0").count()  # ranges
             vocab.append(added.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.when(C("term").isNull(), C("tokens"))).alias("dl")))
         if vocab:
             counts["vocab"] = 1
             self._append("vocab", reduce(DataFrame.unionByName, vocab), gen)
         self.spark.createDataFrame([(gen, *counts.values())], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
-
-    def _next(self) -> int:
-        """A number above all generations, failed ones included: theirs are never read."""
-        last = self.commits().agg(F.max("gen")).first()[0]
-        return 0 if last is None else last + 1
+        self.refresh()
 
     def _append(self, table: str, rows: DataFrame, gen: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{table}/gen={gen}")

@@ -144,7 +144,8 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, n: int = PER_RANKER, al
     of ranges that can reach the floor of some query are moved and scored.
     """
     spark, keys = queries.sparkSession, query_keys(queries)
-    vocab = cut_lineage(index.vocabulary())
+    index.refresh()
+    vocab = index.vocabulary()
     whole = vocab.where(C("term").isNull()).select("df", "dl").first()
     avgdl = whole.dl / whole.df if whole and whole.dl else 1.0
     schema = _hit_schema(queries, index.id_type)
@@ -161,15 +162,13 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, n: int = PER_RANKER, al
             rows = rows if ranges is None else rows.join(checked_broadcast(ranges), "range", "left_semi")
             return _by_range(rows).mapInPandas(postings_scan(names, model, n, DIGITS, floor, allowed is not None), schema)
 
-        reach = cut_lineage(_by_range(lists.select("range", "tidx", "max_tf", "min_dl")))  # no list among them
-        reach = _by_range(reach)
+        if index.ranges <= 4 * SEEDS:  # the seeds would be most of them
+            scored(np.zeros(len(names))).write.mode("append").parquet(path)
+            continue
+        reach = _by_range(cut_lineage(lists.select("range", "tidx", "max_tf", "min_dl")))  # no list among them
         best = reach.mapInPandas(best_ranges(names, model, SEEDS), _hit_schema(queries, "long"))
         seeds = cut_lineage(rank_rows(best, SEEDS, keys).select(C("id").alias("range")).distinct())
-        rest = reach.select("range").distinct().join(F.broadcast(seeds), "range", "left_anti").limit(1).count()
-        first = cut_lineage(rank_rows(scored(np.zeros(len(names)), seeds), n, keys))
-        if not rest:  # the seeds are all there is
-            first.drop("rank").write.mode("append").parquet(path)
-            continue
+        first = rank_rows(scored(np.zeros(len(names)), seeds), n, keys)
         bar = first.where(C("rank") == n).toPandas()  # a row a query of the block
         floor = names.merge(bar, "left", keys)["score"].fillna(0.0).to_numpy()
         able = reach.mapInPandas(open_ranges(model, floor), "range long")
@@ -185,7 +184,7 @@ def _masks(index: LexicalIndex, allowed: DataFrame | None) -> DataFrame | None:
         none = [F.lit(None).cast("array<long>").alias(c) for c in ("tfs", "dls")]
         return lists.select("range", F.lit(0).cast("long").alias("max_tf"), F.lit(0).cast("long").alias("min_dl"), "ids", *none, F.lit(kind).alias("tidx"))
 
-    parts = [named(index.dead(), DEAD)] if index.commits().where("dead > 0").limit(1).count() else []
+    parts = [named(index.dead(), DEAD)] if any(r["dead"] for r in index.commits()) else []
     if allowed is not None:
         parts.append(named(index.documents().join(allowed.select("id"), "id", "left_semi"), LIVE))
     if not parts:

@@ -81,7 +81,7 @@ def test_stored_index(spark, monkeypatch):
     assert index.documents().select("range").distinct().count() > 20
     assert {q: [i for i, _ in v] for q, v in found(rank.bm25_search(index, asked, 7)).items()} == want()
     # the floor leaves ranges out; without it (all ranges are seeds) the result is the same
-    for seeds in (1, 1000):
+    for seeds in (1, 3, 1000):
         monkeypatch.setattr(rank, "SEEDS", seeds)
         assert {q: [i for i, _ in v] for q, v in found(rank.bm25_search(index, asked, 7)).items()} == want()
     monkeypatch.setattr(rank, "SEEDS", 2)
@@ -102,9 +102,9 @@ def test_stored_index(spark, monkeypatch):
     assert limited == {q: [x for x in v if x[0] in few][:3] for q, v in every.items() if any(x[0] in few for x in v)}
     # a generation without its line in commits does not count
     before = found(rank.bm25_search(index, asked, 5))
-    monkeypatch.setattr(index, "commits", lambda real=index.commits: real().where("gen < 4"))
     index._append("vocab", spark.createDataFrame([("the", 999, 0)], "term string, df long, dl long"), 77)
-    assert found(rank.bm25_search(index, asked, 5)) != {} and before
+    again = postings.LexicalIndex(spark, index.path, "string")
+    assert found(rank.bm25_search(again, asked, 5)) == before
     nothing = postings.LexicalIndex.build(frame([]))
     assert rank.bm25_search(nothing, asked).collect() == []
 
