@@ -47,7 +47,7 @@ def query_keys(queries: DataFrame) -> list[str]:
     return [c for c in ("qid", "variant") if c in queries.columns]
 
 
-def _hit_schema(queries: DataFrame, id_type: str) -> str:
+def hit_schema(queries: DataFrame, id_type: str) -> str:
     fields = [(c, queries.schema[c].dataType.simpleString()) for c in query_keys(queries)] + [("id", id_type)]
     return ", ".join(f"{c} {kind}" for c, kind in fields) + ", score double"
 
@@ -148,7 +148,7 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, n: int = PER_RANKER, al
     vocab = index.vocabulary()
     whole = vocab.where(C("term").isNull()).select("df", "dl").first()
     avgdl = whole.dl / whole.df if whole and whole.dl else 1.0
-    schema = _hit_schema(queries, index.id_type)
+    schema = hit_schema(queries, index.id_type)
     path = scratch_table(spark, "hits")
     spark.createDataFrame([], schema).write.parquet(path)
     masks = _masks(index, allowed)
@@ -166,7 +166,7 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, n: int = PER_RANKER, al
             scored(np.zeros(len(names))).write.mode("append").parquet(path)
             continue
         reach = _by_range(cut_lineage(lists.select("range", "tidx", "max_tf", "min_dl")))  # no list among them
-        best = reach.mapInPandas(best_ranges(names, model, SEEDS), _hit_schema(queries, "long"))
+        best = reach.mapInPandas(best_ranges(names, model, SEEDS), hit_schema(queries, "long"))
         seeds = cut_lineage(rank_rows(best, SEEDS, keys).select(C("id").alias("range")).distinct())
         first = rank_rows(scored(np.zeros(len(names)), seeds), n, keys)
         bar = first.where(C("rank") == n).toPandas()  # a row a query of the block
@@ -241,7 +241,7 @@ def dense_rank(
     with an id to leave out.
     """
     stored = spread(vectors.where(metadata_filter(**filters)).select("id", "embedding"))
-    keys, schema = query_keys(queries), _hit_schema(queries, vectors.schema["id"].dataType.simpleString())
+    keys, schema = query_keys(queries), hit_schema(queries, vectors.schema["id"].dataType.simpleString())
     rows = queries.select(*keys, "embedding", *([skip] if skip else [])).toLocalIterator(prefetchPartitions=True)
 
     def jobs():

@@ -8,6 +8,7 @@ from palaver.functions import lang
 from palaver.operators import activity as act
 from palaver.operators import badges, history
 from palaver.plans import q_text as Q
+from palaver.sources.retention import DayTable
 from palaver.plans.registry import query
 
 C = F.col
@@ -248,9 +249,28 @@ def _(t):
 
 @query("X07_retention_prune", "SELECT count(*) FILTER (WHERE ts < (SELECT max(ts) FROM v_oplog) - INTERVAL '10' DAY) AS dropped, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM v_oplog) - INTERVAL '10' DAY) AS kept FROM v_oplog")
 def _(t):
-    cutoff = t.oplog.agg(F.max("ts") - F.expr("INTERVAL 10 DAYS")).scalar()
-    old = C("ts") < C("_cut")
-    return t.oplog.select("ts", cutoff.alias("_cut")).agg(act.count_if(old).alias("dropped"), act.count_if(~old).alias("kept"))
+    table = DayTable.create(t.oplog)
+    cutoff = t.oplog.agg((F.max("ts") - F.expr("INTERVAL 10 DAYS")).alias("cutoff")).first()["cutoff"]
+    dropped = table.prune(cutoff)
+    return table.rows().agg(F.lit(dropped).cast("bigint").alias("dropped"), F.count("*").alias("kept"))
+
+
+@query("X07b_pruned_rows", "SELECT id, ts, level FROM v_oplog WHERE ts >= (SELECT max(ts) FROM v_oplog) - INTERVAL '10' DAY")
+def _(t):
+    """The log appended in two writes, pruned by days, read back."""
+    table = DayTable.create(t.oplog.where("id % 2 = 0"))
+    table.append(t.oplog.where("id % 2 <> 0"))
+    table.prune(t.oplog.agg((F.max("ts") - F.expr("INTERVAL 10 DAYS")).alias("cutoff")).first()["cutoff"])
+    return table.rows().select("id", "ts", "level")
+
+
+@query("X07c_soft_reset", """SELECT v.id, CASE WHEN v.turn_idx = 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN v.ts <= r.reset_at THEN r.reset_at END AS cleared_at FROM v_turns v
+ LEFT JOIN (SELECT chat_id, user_id, max(ts) AS reset_at FROM v_turns WHERE turn_idx = 2 GROUP BY ALL) r ON r.chat_id = v.chat_id AND r.user_id = v.user_id""")
+def _(t):
+    """Every conversation is reset at its third turn; what was cleared before keeps its stamp."""
+    turns = t.turns.withColumn("cleared_at", F.when(C("turn_idx") == 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).cast(t.turns.schema["ts"].dataType))
+    resets = t.turns.where("turn_idx = 2").select("chat_id", "user_id", C("ts").alias("reset_at"))
+    return history.reset_turns(turns, resets).select("id", "cleared_at")
 
 
 @query("X08_daily_questions", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql.types import DoubleType
 
 from palaver.functions import text as tx
 from palaver.operators import rank
+from palaver.operators.cells import CellIndex, recall
 from palaver.operators.corpus import index_delta
 from palaver.operators.postings import LexicalIndex
 from palaver.plans import q_corpus as K
@@ -127,6 +128,30 @@ def _(t):
     return rank.lsh_rank(stored, t.item_vectors, 10, planes=6, tables=8, dim=64).select("qid", C("id").alias("vec_id"), "rank")
 
 
+def best_cells(t):
+    """(found, exact): the best ten by cells and by the full scan."""
+    stored, asked = t.embeddings.select(C("vec_id").alias("id"), "embedding"), t.item_vectors
+    return cut_lineage(CellIndex.build(stored).search(asked, 10)), rank.dense_rank(stored, asked, 10)
+
+
+@query("R06d_cell_search", """
+SELECT qid, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (
+ SELECT q.qid, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score
+ FROM v_item_vectors q CROSS JOIN embeddings v)) WHERE rank <= 1""")
+def _(t):
+    """The best hit of every query: the vector itself is stored, so the nearest cell holds it."""
+    found, _ = best_cells(t)
+    return found.where("rank = 1").select("qid", C("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("R06e_cell_recall", """
+SELECT count(DISTINCT qid) AS queries, count(*) AS wanted, true AS enough FROM (SELECT q.qid, row_number() OVER (PARTITION BY q.qid) AS rank
+ FROM v_item_vectors q CROSS JOIN embeddings v) WHERE rank <= 10""")
+def _(t):
+    """Recall of the best ten against the full scan is 0.9 or more."""
+    return recall(*best_cells(t)).select("queries", "wanted", (C("recall") >= 0.9).alias("enough"))
+
+
 @query("W04_rank_per_ranker", f"WITH {S.bm25()}, {S.DENSE} SELECT 'lexical' AS ranker, qid, doc_id, rank FROM bmr UNION ALL SELECT 'dense' AS ranker, qid, doc_id, rank FROM dnr")
 def _(t):
     return ids(both(t), "ranker", "qid", "doc_id", "rank")

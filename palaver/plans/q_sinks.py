@@ -33,22 +33,22 @@ def _(t):
     return rows.select("id", "type", chat.flatten_text(C("text")).alias("text"), C("from").alias("sender"))
 
 
-@query("S02_document_text_source", "SELECT concat(source, ' n°', doc_id, '.txt') AS file, concat(source, ' n°', doc_id) AS stem, text FROM documents WHERE text <> '' AND doc_id % 5 <> 0")
+@query("S02_document_text_source", "SELECT concat(source, ' n°', doc_id, '.txt') AS file, concat(source, ' n°', doc_id) AS stem, text FROM documents WHERE text <> ''")
 def _(t):
-    """Texts as files of a folder; every fifth file is empty."""
+    """Texts as files of a folder; beside each lies an empty file, which does not count."""
     path = F.concat(F.lit("/texts/"), C("source"), F.lit(" n°"), C("doc_id").cast("string"), F.lit(".txt"))
-    content = F.when(C("doc_id") % 5 == 0, "").otherwise(C("text"))
-    return files.document_files(t.documents.select(path.alias("path"), content.alias("content"))).select("file", "stem", "text")
+    empty = t.documents.select(F.concat(path, F.lit(".empty.txt")).alias("path"), F.lit("").alias("content"))
+    return files.document_files(t.documents.select(path.alias("path"), C("text").alias("content")).unionByName(empty)).select("file", "stem", "text")
 
 
 @query("S03_scraped_tree_source", f"""SELECT CASE WHEN page_id % 3 = 0 THEN 'chat_links' ELSE host END AS site, CASE WHEN page_id % 3 = 0 THEN concat(host, '__p.', page_id) ELSE concat('p.', page_id) END AS slug,
- url AS source, body FROM (SELECT page_id, url, {Q.host_sql('url')} AS host, {Q.html_sql('html')} AS body FROM pages) WHERE body <> '' AND page_id % 7 <> 0""")
+ url AS source, body FROM (SELECT page_id, url, {Q.host_sql('url')} AS host, {Q.html_sql('html')} AS body FROM pages) WHERE body <> ''""")
 def _(t):
-    """Pages as files below their host; those shared in chats lie one folder deeper, and hidden files do not count."""
-    host, name = web.url_host(C("url")), F.concat(F.when(C("page_id") % 7 == 0, "_").otherwise(""), F.lit("p."), C("page_id").cast("string"), F.lit(".txt"))
+    """Pages as files below their host; those shared in chats lie one folder deeper; beside each lies a hidden copy, which does not count."""
+    host, name = web.url_host(C("url")), F.concat(F.lit("p."), C("page_id").cast("string"), F.lit(".txt"))
     folder = F.when(C("page_id") % 3 == 0, F.concat(F.lit("chat_links/"), host)).otherwise(host)
     content = F.concat(F.lit("[Source: "), C("url"), F.lit("]\n\n"), web.strip_html(C("html")))
-    tree = t.pages.select(F.concat(F.lit("/data/web/"), folder, F.lit("/"), name).alias("path"), content.alias("content"))
+    tree = t.pages.select(F.explode(F.array(*[F.concat(F.lit("/data/web/"), folder, F.lit(f"/{mark}"), name) for mark in ("", "_")])).alias("path"), content.alias("content"))
     return files.scraped_files(tree, "/data/web").select("site", "slug", F.try_element_at("headers", F.lit("Source")).alias("source"), "body")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palaver.plans import q_activity as A
 from palaver.plans.registry import query
-from palaver.streaming import sinks, stateful
+from palaver.streaming import sinks, stateful, windows
 
 C = F.col
 
@@ -45,6 +45,25 @@ def _(t):
     return sinks.answer_votes(answers, votes)
 
 
+@query("X08b_daily_questions_stream", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+def _(t):
+    asked = events(t).where("event_type = 'click'").select("ts", F.lit("user").alias("role"))
+    return sinks.latest_windows(windows.daily_questions(asked), "day", "days")
+
+
+@query("X09b_rolling_health_stream", A.ROLLING)
+def _(t):
+    logs = sinks.replay(t.oplog.select(C("ts").cast("timestamp").alias("ts"), "level"), "logs")
+    return sinks.latest_windows(windows.rolling_log_health(logs), "window_end", "hours")
+
+
+@query("X09c_answer_health_stream", """SELECT CAST(hour AS TIMESTAMP) AS window_end, count(*) AS answers, max(latency_ms) AS max_ms, quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms FROM (
+ SELECT latency_ms, unnest(generate_series(date_trunc('hour', ts) + INTERVAL '1' HOUR, date_trunc('hour', ts) + INTERVAL '24' HOUR, INTERVAL '1' HOUR)) AS hour FROM v_turns WHERE role = 'assistant') GROUP BY 1""")
+def _(t):
+    turns = sinks.replay(t.turns.select(C("ts").cast("timestamp").alias("ts"), "role", "latency_ms"), "turns")
+    return sinks.latest_windows(windows.rolling_answer_health(turns), "window_end", "answers")
+
+
 @query("X01b_cooldown_stream", """WITH RECURSIVE acc AS (
  SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
  UNION ALL

@@ -73,15 +73,15 @@ def message_table(records: DataFrame, name: str = "messages") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def answer_votes(answers: DataFrame, votes: DataFrame, within: str = "7 days") -> DataFrame:
-    """Every answer with the votes that follow within a time, or without one.
+def vote_stream(answers: DataFrame, votes: DataFrame, within: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """Answers joined with the votes that follow within a time, as a stream.
 
-    ``answers`` = (chat_id, message_id, ts), ``votes`` = (chat_id, message_id,
-    rating, created_at), as streams.  Both are stored as they come and joined
-    when read, so no answer waits for a watermark and no late vote is lost.
+    Two watermarks and the interval bound the state: a vote meets its answer at
+    once, and an answer without a vote is given out when the watermark has
+    passed its interval.  Times lie after 1970, where watermarks begin.
     """
-    a = run_to_table(answers, "answers").alias("a")
-    v = run_to_table(votes, "votes").alias("v")
+    a = answers.select("chat_id", "message_id", "ts").withWatermark("ts", delay).alias("a")
+    v = votes.select("chat_id", "message_id", "rating", "created_at").withWatermark("created_at", delay).alias("v")
     cond = F.expr(
         "a.chat_id = v.chat_id AND a.message_id = v.message_id "
         f"AND v.created_at >= a.ts AND v.created_at <= a.ts + INTERVAL {within}"
@@ -89,6 +89,26 @@ def answer_votes(answers: DataFrame, votes: DataFrame, within: str = "7 days") -
     return a.join(v, cond, "left_outer").select("a.chat_id", "a.message_id", "a.ts", "v.rating", "v.created_at")
 
 
+def answer_votes(answers: DataFrame, votes: DataFrame, within: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """Every answer with the votes that follow within a time, or without one.
+
+    ``answers`` = (chat_id, message_id, ts), ``votes`` = (chat_id, message_id,
+    rating, created_at), as streams.  What is still open when the streams have
+    ended is read from the state of the join and closed without a vote.  Rows
+    more than ``delay`` behind the latest of all earlier files come too late.
+    """
+    spark, joined = answers.sparkSession, vote_stream(answers, votes, within, delay)
+    path, log = scratch_table(spark, "votes"), scratch_table(spark, "votes-log")
+    query = joined.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not any(p["numInputRows"] for p in query.recentProgress):
+        return spark.createDataFrame([], joined.schema)
+    done = spark.read.schema(joined.schema).parquet(path)
+    state = spark.read.format("statestore").option("storeName", "left-keyWithIndexToValue").load(log)
+    none = [F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("rating", "created_at")]
+    return done.unionByName(state.where("NOT value.matched").select("value.chat_id", "value.message_id", "value.ts", *none))
+
+
 def registry_merge(state: str):
     """``foreachBatch`` function that adds a batch's part to a table of users.
 
@@ -126,6 +146,24 @@ def user_registry(events: DataFrame) -> DataFrame:
     return registry(spark.read.schema(schema).option("recursiveFileLookup", True).parquet(state))
 
 
-def prune_old(oplog: DataFrame, now, days: int = 30) -> DataFrame:
-    """Rows young enough to keep; write the result as the next version."""
-    return oplog.where(C("ts") >= now - F.make_dt_interval(days=F.lit(days)))
+def latest_windows(windows: DataFrame, key: str, name: str) -> DataFrame:
+    """Drain a windowed aggregate in update mode and read its windows as last written.
+
+    A batch writes only the windows it has changed, late rows among them, into a
+    folder of its own; a batch that runs again replaces its own folder.
+    """
+    spark, path = windows.sparkSession, scratch_table(windows.sparkSession, name)
+    others = [c for c in windows.columns if c != key]
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = (
+        windows.writeStream.outputMode("update").foreachBatch(merge)
+        .option("checkpointLocation", scratch_table(spark, f"{name}-log")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not any(p["numInputRows"] for p in query.recentProgress):
+        return spark.createDataFrame([], windows.schema)
+    rows = spark.read.parquet(path).groupBy(key).agg(F.max_by(F.struct(*others), "epoch").alias("_last"))
+    return rows.select(key, *[C(f"_last.{c}").alias(c) for c in others])

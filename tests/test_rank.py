@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from palaver.operators import evaluate, postings, rank
+from palaver.operators import cells, evaluate, postings, rank
 
 C = F.col
 
@@ -137,6 +137,31 @@ def test_dense_rank_in_blocks_with_ties(spark):
             assert got[q] == order[:12]
 
 
+def test_cells_find(spark):
+    rng = np.random.default_rng(5)
+    heart = unit(rng, 30, 16)
+    kind = np.where(np.arange(3000) % 3 == 0, 0, rng.integers(0, 30, 3000))  # a third lies around one centre
+    store = (heart[kind] + 0.15 * rng.standard_normal((3000, 16))).astype(np.float32)
+    store /= np.linalg.norm(store, axis=1, keepdims=True)
+    rows = [(f"v{i:04d}", v.tolist(), "fr" if i % 2 else "en") for i, v in enumerate(store)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<float>, lang string").repartition(4)
+    asked = spark.createDataFrame([(q, store[q * 9].tolist(), f"v{q * 9:04d}") for q in range(60)], "qid long, embedding array<float>, own string")
+    index = cells.CellIndex.build(vectors.where("id < 'v2800'"))
+    index.extend(vectors.where("id >= 'v2800'"))
+    assert index.vectors().count() == 3000 and index.probes_for(10) < len(index.centres) / 3
+    lists = lambda df: sorted((r.qid, r.rank, r.id, r.score) for r in df.collect())
+    for options in ({}, {"skip": "own"}, {"lang": "fr"}):
+        exact = rank.dense_rank(vectors, asked, 10, **options)
+        assert lists(index.search(asked, 10, probes=10_000, block=7, **options)) == lists(exact)
+        assert cells.recall(index.search(asked, 10, **options), exact).first().recall >= 0.9
+    few = index.search(asked.limit(1), 10)
+    assert few.count() == 10
+    again = cells.CellIndex(spark, index.path, index.schema)
+    assert again.probes == index.probes and lists(again.search(asked, 3)) == lists(index.search(asked, 3))
+    assert cells.CellIndex.build(vectors.limit(0)).search(asked).collect() == []
+    assert len(cells.CellIndex.build(vectors.limit(1)).search(asked, 5).collect()) == 60
+
+
 def test_fusion_ignores_the_order_of_rankers(spark):
     a = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 7, 3)], "qid long, id long, rank int")
     b = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "qid long, id long, rank int")

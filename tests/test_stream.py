@@ -94,13 +94,63 @@ def test_messages_and_votes_keep_late_rows(spark, feed):
     rows = [(i, d * 86400) for i, d in zip([1, 2, 3, 1, 5, 4], times)]
     df = spark.createDataFrame(rows, "id long, s long").withColumn("n", F.monotonically_increasing_id())
     assert sorted(r.id for r in sinks.message_table(feed(df, "n", "late")).collect()) == [1, 2, 3, 4, 5]
-    answers = spark.createDataFrame([(1, i, i * 86400) for i in range(6)], "chat_id long, message_id long, s long").select("chat_id", "message_id", F.timestamp_seconds("s").alias("ts"))
-    votes = spark.createDataFrame([(1, 2, "useful", 3 * 86400), (1, 3, "useful", 30 * 86400)], "chat_id long, message_id long, rating string, s long")
+    answers = spark.createDataFrame([(1, i, (10 + i) * 86400) for i in range(6)], "chat_id long, message_id long, s long").select("chat_id", "message_id", F.timestamp_seconds("s").alias("ts"))
+    votes = spark.createDataFrame([(1, 2, "useful", 13 * 86400), (1, 3, "useful", 40 * 86400)], "chat_id long, message_id long, rating string, s long")
     votes = votes.select("chat_id", "message_id", "rating", F.timestamp_seconds("s").alias("created_at"))
     got = sinks.answer_votes(feed(answers, "ts", "answers"), feed(votes, "created_at", "votes")).collect()
     assert sorted((r.message_id, r.rating) for r in got if r.rating) == [(2, "useful")] and len(got) == 6
 
 
+def test_votes_join_as_streams(spark, feed):
+    """Unvoted answers come out of the stream when their interval has passed, the state stays small, and nothing is lost at the end."""
+    day = 86400
+    answers = spark.createDataFrame([(i % 3, i, (9 + i) * day) for i in range(60)], "chat_id long, message_id long, s long").select("chat_id", "message_id", F.timestamp_seconds("s").alias("ts"))
+    given = [(i % 3, i, f"r{k}", (9 + i + k * 2) * day) for i in range(0, 60, 4) for k in range(5)]  # the fifth vote is a day too late
+    votes = spark.createDataFrame(given, "chat_id long, message_id long, rating string, s long").select("chat_id", "message_id", "rating", F.timestamp_seconds("s").alias("created_at"))
+    joined = sinks.vote_stream(feed(answers, "ts", "a1"), feed(votes, "created_at", "v1"))
+    query = joined.writeStream.format("memory").queryName("joined").trigger(availableNow=True).start()
+    query.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    early = spark.table("joined").collect()
+    assert sum(r.rating is None for r in early) >= 20 and state[-1] < max(state)
+    got = sinks.answer_votes(feed(answers, "ts", "a2"), feed(votes, "created_at", "v2")).collect()
+    want = [(c, m, r) for c, m, r, s in given if s - (9 + m) * day <= 7 * day] + [(i % 3, i, None) for i in range(60) if i % 4]
+    assert sorted((r.chat_id, r.message_id, r.rating or "") for r in got) == sorted((c, m, r or "") for c, m, r in want)
+    nothing = sinks.answer_votes(sinks.replay(answers.limit(0), "a3"), sinks.replay(votes.limit(0), "v3"))
+    assert nothing.collect() == [] and nothing.columns == ["chat_id", "message_id", "ts", "rating", "created_at"]
+
+
+def test_late_rows_change_windows(spark, feed):
+    rows = [(i, 10**6 + i * 1800, "ERROR" if i % 3 else "WARNING") for i in range(200)] + [(900 + i, 10**6 + 190 * 1800 - 3600 * i, "ERROR") for i in range(3)]
+    df = spark.createDataFrame(rows, "n long, s long, level string").withColumn("ts", F.timestamp_seconds("s"))
+    stream = windows.rolling_log_health(feed(df.drop("s"), "n", "late-logs"), "4 hours")
+    got = {r.window_end: (r.errors, r.warnings, r.n) for r in sinks.latest_windows(stream, "window_end", "w").collect()}
+    assert got == {r.window_end: (r.errors, r.warnings, r.n) for r in windows.rolling_log_health(df).collect()}
+
+
+def test_retention_by_days(spark):
+    import datetime as dt
+
+    from palaver.sources.retention import DayTable
+
+    start = dt.datetime(2024, 3, 1)
+    frame = lambda ids: spark.createDataFrame([(i, start + dt.timedelta(hours=5 * i)) for i in ids], "id long, ts timestamp")
+    table = DayTable.create(frame(range(60)))
+    table.append(frame(range(60, 90)))
+    table.append(spark.createDataFrame([(999, None)], "id long, ts timestamp"))
+    cutoff = start + dt.timedelta(days=6, hours=11)
+    before = {r["part"] for r in table._folders()}
+    young = [i for i in range(90) if start + dt.timedelta(hours=5 * i) >= cutoff]
+    assert table.prune(cutoff) == 90 - len(young)
+    assert sorted(r.id for r in table.rows().collect()) == [*young, 999]
+    after = {r["part"] for r in table._folders()}
+    assert len(after - before) == 1 and {r.part for r in table.unreferenced().collect()} == before - after
+    assert table.prune(cutoff) == 0 and table.rows().count() == len(young) + 1
+    assert DayTable(spark, table.path, table.schema).rows().count() == len(young) + 1
+    assert table.prune(start + dt.timedelta(days=400)) == len(young)
+    assert [r.id for r in table.rows().collect()] == [999]
+
+
 def test_folder_table_streams(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     assert sinks.run_to_table(sinks.stream_table(spark, str(tmp_path), "events"), "e").count() == 100
