@@ -21,32 +21,50 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that some language explains; the others are rejected."""
+    """Documents that some language explains; the others are rejected.
+
+    Null texts and texts without a letter go; without labelled rows nothing is
+    learned and all go; rows keep all their columns, repeated ones stay each.
+    """
     configure(spark)
     return language.keep_known(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates (five words, 0.8 or more).
+    """One document of each group of near duplicates (five words, 0.8 or more).
 
-    Rows without a doc_id stay; of rows that share a kept doc_id one stays.
+    Rows are named by a hash of doc_id and text, so two texts under one doc_id,
+    or without any, are two documents; which one of a group stays follows from
+    the hashes.  Rows equal in doc_id and text are one: the least by its other
+    columns.  Should two rows share a hash by accident, both texts stay.
     """
     configure(spark)
-    judged = near_dup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL")
-    kept = stored(judged.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    single = only(docs, kept.where("rows = 1").select("doc_id"), "doc_id")
-    several = only(docs, kept.where("rows > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
+    name = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    judged = near_dup.near_duplicates(docs.select(name.alias("doc_id"), "text")).where("kept")
+    kept = stored(judged.groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "_name"), "kept")
+    named = docs.withColumn("_name", name)
+    single = only(named, kept.where("rows = 1").select("_name"), "_name").select(docs.columns)
+    several = only(named, kept.where("rows > 1").select("_name"), "_name")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = several.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_rest")).select("doc_id", "text", "_rest.*")
+    return single.unionByName(one.select(docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage with the benchmark.
+
+    Null and empty texts and rows without a doc_id share none; rows that share
+    a doc_id are judged each by its own text; an empty benchmark keeps all.
+    """
     configure(spark)
     return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Documents without words are taken 0 times; null is a source of its own, the last.
+    """
     configure(spark)
     return mixing.mixed_documents(docs)
 
