@@ -191,10 +191,10 @@ def slice_transitions(cooldown: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ts = np.sort(pdf["us"].to_numpy())
         after = np.searchsorted(ts, ts + cooldown, side="left")
-        leave = ts.copy()
-        for i in range(len(ts) - 1, -1, -1):
-            if after[i] < len(ts):
-                leave[i] = leave[after[i]]
+        end = np.where(after < len(ts), after, np.arange(len(ts)))
+        while not np.array_equal(end, end[end]):  # twice as far with every step
+            end = end[end]
+        leave = ts[end]
         # the last event accepted before the slice is older than its first event
         n = min(int(after[0]) + 1, len(ts))
         keep = np.append(leave[1:n] != leave[: n - 1], True)
@@ -227,25 +227,59 @@ def walk_slices(cooldown: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _places(group: np.ndarray, us: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Index of the first event of group ``of`` at or after time ``at``; len(us) where there is none.
+
+    Events are sorted by group and time.
+    """
+    kind = np.repeat([0, 1], [len(at), len(us)])  # a time stands before the events of that time
+    order = np.lexsort((kind, np.concatenate([at, us]), np.concatenate([of, group])))
+    events = np.cumsum(kind[order])
+    found = np.empty(len(at), np.int64)
+    asked = order < len(at)
+    found[order[asked]] = events[asked]
+    inside = found < len(us)
+    inside[inside] = group[found[inside]] == of[inside]
+    return np.where(inside, found, len(us))
+
+
+def chains(group: np.ndarray, us: np.ndarray, cooldown: int, free: np.ndarray) -> np.ndarray:
+    """Marks the events that are accepted: per group the first at or after ``free``,
+    then each first one that is ``cooldown`` later.
+
+    The jump to the next accepted event is known for every event; tables of 1, 2,
+    4, ... jumps mark all that the first one leads to.
+    """
+    n = len(us)
+    tables = [np.append(_places(group, us, group, us + cooldown), n)]
+    while (tables[-1] < n).any():
+        tables.append(tables[-1][tables[-1]])
+    marked = np.zeros(n + 1, bool)
+    marked[_places(group, us, np.arange(len(free)), free)] = True
+    for jump in reversed(tables):
+        marked[jump[marked]] = True
+    return marked[:n]
+
+
 def accept_spaced(cooldown: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Accepted events of rows sorted by (user, slice, time); ``last`` is the
     last event accepted before the slice, if any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, free = None, None
+        held, free_held = None, 0  # the slice that the last batch ended in
         for pdf in batches:
-            keep = np.zeros(len(pdf), dtype=bool)
-            befores = pdf["last"].astype("Int64")
-            known = befores.notna().to_numpy()
-            lasts = befores.fillna(0).to_numpy(dtype=np.int64)
-            rows = zip(pdf["user_id"].to_numpy(), pdf["slice"].to_numpy(), pdf["us"].to_numpy())
-            for i, (user, part, us) in enumerate(rows):
-                if (user, part) != key:
-                    key = (user, part)
-                    free = lasts[i] + cooldown if known[i] else us
-                if us >= free:
-                    keep[i] = True
-                    free = us + cooldown
+            if pdf.empty:
+                continue
+            user, part, us = (pdf[c].to_numpy() for c in ("user_id", "slice", "us"))
+            first = np.append(True, (user[1:] != user[:-1]) | (part[1:] != part[:-1]))
+            starts, group = np.flatnonzero(first), np.cumsum(first) - 1
+            last = pdf["last"].astype("Int64").iloc[starts]
+            free = np.where(last.notna(), last.fillna(0).to_numpy(np.int64) + cooldown, us[starts])
+            if held == (user[0], part[0]):
+                free[0] = free_held
+            keep = chains(group, us, cooldown, free)
+            held, mine = (user[-1], part[-1]), np.flatnonzero(keep & (group == group[-1]))
+            free_held = us[mine[-1]] + cooldown if len(mine) else free[-1]
             yield pdf.loc[keep, ["event_id", "user_id"]]
 
     return run

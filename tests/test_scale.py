@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -131,3 +132,27 @@ def test_report_reasons_equal_the_plain_walk(spark):
     rows_out = got.collect()
     assert {(r.report_id, r.message_id) for r in rows_out} == reasons_by_hand(rows, 10)
     assert all(len(r.reason) == 500 for r in rows_out)
+
+
+def test_chains_equal_the_walk():
+    import numpy as np
+
+    from palaver.functions.tasks import accept_spaced, chains
+
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        sizes = rng.integers(1, 30, rng.integers(1, 6))
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        us = np.concatenate([np.sort(rng.integers(0, 60, n)) for n in sizes])
+        cooldown, free = int(rng.integers(1, 25)), rng.integers(0, 60, len(sizes))
+        want, open_at = [], free.copy()
+        for g, t in zip(group, us):
+            want.append(t >= open_at[g])
+            open_at[g] = t + cooldown if want[-1] else open_at[g]
+        assert chains(group, us, cooldown, free).tolist() == want
+    # a user's events cut into batches anywhere
+    us = np.sort(rng.integers(0, 10**6, 3000))
+    rows = pd.DataFrame({"event_id": range(3000), "user_id": np.repeat([1, 2], 1500), "slice": 0, "us": np.concatenate([us[::2], us[1::2]]), "last": pd.array([None] * 1500 + [int(us[1]) - 1] * 1500, "Int64")})
+    whole = pd.concat(accept_spaced(5000)(iter([rows])))["event_id"].tolist()
+    cuts = np.sort(rng.integers(0, 3000, 40))
+    assert pd.concat(accept_spaced(5000)(iter(np.split(rows, cuts))))["event_id"].tolist() == whole and 200 < len(whole) < 450
