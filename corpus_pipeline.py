@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.llm import decontaminate, entries, language, mixing, near_dup, tokens
-from palaver.llm.shared import only, stored
+from palaver.llm.shared import BROADCAST_IDS, only, stored
+from palaver.plans.scale import checked_broadcast
 from palaver.session import configure
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,16 +34,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8 or more).
 
-    Rows are named by a hash of doc_id and text, so two texts under one doc_id,
-    or without any, are two documents; which one of a group stays follows from
-    the hashes.  Rows equal in doc_id and text are one: the least by its other
-    columns.  Should two rows share a hash by accident, both texts stay.
+    A row is named by its doc_id; by a hash of doc_id and text where rows share
+    the id or have none, so two texts under one id are two documents.  The least
+    name of a group stays.  Rows equal in doc_id and text are one: the least by
+    its other columns.  Should two names agree by accident, both texts stay.
     """
     configure(spark)
-    name = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    judged = near_dup.near_duplicates(docs.select(name.alias("doc_id"), "text")).where("kept")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    shared = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "shared")
+    named = docs.withColumn("_name", F.coalesce(doc_id, F.xxhash64(doc_id, text)))
+    if shared.limit(1).count():
+        marked = docs.join(checked_broadcast(shared.withColumn("_shared", F.lit(True)), BROADCAST_IDS), "doc_id", "left")
+        named = marked.select(*docs.columns, F.when(F.col("_shared"), F.xxhash64(doc_id, text)).otherwise(F.coalesce(doc_id, F.xxhash64(doc_id, text))).alias("_name"))
+    judged = near_dup.near_duplicates(named.select(F.col("_name").alias("doc_id"), "text")).where("kept")
     kept = stored(judged.groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "_name"), "kept")
-    named = docs.withColumn("_name", name)
     single = only(named, kept.where("rows = 1").select("_name"), "_name").select(docs.columns)
     several = only(named, kept.where("rows > 1").select("_name"), "_name")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
