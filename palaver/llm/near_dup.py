@@ -173,17 +173,16 @@ def _fits(percent: int, other: str) -> Column:
     return sizes & (first <= differing_bits(percent)) & ((100 + percent) * rest <= (100 - percent) * (C("n") + n))
 
 
-def _lists(values: DataFrame) -> DataFrame:
+def _lists(values: DataFrame, sizes: DataFrame) -> DataFrame:
     """(value, doc_id, n): the lists, with two members or more, of the rarest values of each document.
 
-    ``values`` has doc_id, n, value, of which there are s, and need: so many of
-    them are shared with every linked document.
+    ``values`` has doc_id and value.  ``sizes`` has doc_id, n, the number s of its
+    values, and need: so many of them are shared with every linked document.
     """
     common = values.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
+    found = values.join(common, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("found"))
     listed = (
-        values.join(common, "value")
-        .groupBy("doc_id", "n", "s", "need")
-        .agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("found"))
+        found.join(sizes, "doc_id")
         # values that no other document has are the rarest, and come first
         .withColumn("take", C("s") - C("need") + 1 - (C("s") - F.size("found")))
         .where("take > 0")
@@ -192,25 +191,45 @@ def _lists(values: DataFrame) -> DataFrame:
     return rows.select(C("x.value").alias("value"), "doc_id", "n")
 
 
-def _full_lists(docs: DataFrame, ids: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _full_lists(docs: DataFrame, reps: DataFrame, ids: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The lists over the full sets of some documents: exact, as linked sets share percent of the larger one."""
     sets = only(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_members(shingle), "doc_id long, items array<long>")
-    size = F.size("items").cast("long")
-    need = F.ceil(size * percent / 100).cast("int")
-    return _lists(sets.select("doc_id", size.alias("n"), size.cast("int").alias("s"), need.alias("need"), F.explode("items").alias("value")))
+    sizes = only(reps.select("doc_id", "n"), ids, "doc_id")
+    sizes = sizes.select("doc_id", "n", C("n").cast("int").alias("s"), F.ceil(C("n") * percent / 100).cast("int").alias("need"))
+    return _lists(sets.select("doc_id", F.explode("items").alias("value")), sizes)
+
+
+def _relabelled(labels: DataFrame | None, good: DataFrame) -> DataFrame:
+    """(doc_id, label): the components after some more links; only components that these touch are walked."""
+    if labels is None:
+        return stored(components(good).withColumnRenamed("node", "doc_id"), "labels")
+    ends = good
+    for end in ("a", "b"):
+        of = labels.select(C("doc_id").alias(end), C("label").alias(f"l{end}"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce(f"l{end}", end)).select("a", "b")
+    joined = stored(components(ends), "joined")
+    moved = labels.join(joined.select(C("node").alias("label"), C("label").alias("new")), "label", "left")
+    moved = moved.select("doc_id", F.coalesce("new", "label").alias("label"))
+    fresh = joined.withColumnRenamed("node", "doc_id").join(labels, "doc_id", "left_anti")
+    return stored(moved.unionByName(fresh), "labels")
 
 
 def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(a, b): confirmed links that span every component of the graph of all links, and (doc_id, label): its components."""
-    values = reps.select("doc_id", "n", F.size("sketch").alias("s"), _need(C("n"), percent).alias("need"), F.explode("sketch").alias("value"))
+    """(a, b): confirmed links that span every component of the graph of all links, and (doc_id, label): its components.
+
+    Lists carry no bit strings from round to round; these join the lists that
+    meet pivots.  Pairs that met in several lists are made one before anything
+    else is asked of them.
+    """
+    sizes = reps.select("doc_id", "n", F.size("sketch").alias("s"), _need(C("n"), percent).alias("need"))
     bits = reps.select("doc_id", *SIGNS)
-    lists = stored(_lists(values).join(bits, "doc_id"), "lists")
+    lists = stored(_lists(reps.select("doc_id", F.explode("sketch").alias("value")), sizes).join(bits, "doc_id"), "lists")
     heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n", *SIGNS)).alias("head")).where("m > 1")
     heads = heads.select("value", *[C(f"head.{c}").alias(f"h_{c}") for c in ("doc_id", "n", *SIGNS)])
     pairs = lists.join(heads, "value").where((C("doc_id") != C("h_doc_id")) & _fits(percent, "h_"))
-    pairs = pairs.select(C("h_doc_id").alias("a"), C("doc_id").alias("b")).distinct()
-    lists = lists.join(heads.select("value"), "value", "left_semi")
-    sets = tested = found = used = None
+    pairs = stored(pairs.select(C("h_doc_id").alias("a"), C("doc_id").alias("b")).distinct(), "met")
+    lists = lists.select("value", "doc_id", "n")
+    sets = tested = found = used = labels = None
     pivots, anew = PIVOTS, False
     while True:
         tried = stored(_pairs_by_sketch(pairs, reps, percent), "pairs")
@@ -224,30 +243,31 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
             good = stored(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
             found = good if found is None else found.unionByName(good)
             tested = tried if tested is None else tested.unionByName(tried)
-            labels = components(found).withColumnRenamed("node", "doc_id")
+            labels = _relabelled(labels, good)
         now = _open_lists(lists, labels)
         if not anew:  # once: crowded lists give way to lists over full sets
             anew = True
-            crowded = now.where("label <> main").groupBy("value").agg(F.count("*").alias("k")).where(C("k") > CROWDED)
+            crowded = now.where("label <> main").groupBy("value").agg(F.count("*").alias("k")).where(C("k") > CROWDED).select("value")
             members = stored(now.join(crowded, "value", "left_semi").select("doc_id").distinct(), "crowded")
             if members.limit(1).count():
-                again = _full_lists(docs, members, shingle, percent).join(bits, "doc_id")
-                parts = lists.join(crowded, "value", "left_anti"), again
-                lists = [x.select(F.struct(L(of).alias("of"), "value").alias("value"), "doc_id", "n", *SIGNS) for of, x in zip(("sketch", "set"), parts, strict=True)]
-                lists = stored(lists[0].unionByName(lists[1]), "lists")
+                again = _full_lists(docs, reps, members, shingle, percent)
+                # a hash names a list of full sets, so that it is not taken for the sketches' list of the same value
+                again = again.withColumn("value", F.xxhash64("value"))
+                lists = stored(lists.join(crowded, "value", "left_anti").unionByName(again), "lists")
                 now = _open_lists(lists, labels)
-        rest = now.where("label <> main")
+        rest = now.where("label <> main").drop("main")
         if used is not None:
             rest = rest.join(used, ["value", "doc_id"], "left_anti")
         # lists of one group choose the same pivots
         rank = F.row_number().over(W.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
-        chosen = stored(rest.withColumn("rank", rank).where(C("rank") <= pivots).drop("rank", "main"), "pivots")
+        chosen = stored(rest.withColumn("rank", rank).where(C("rank") <= pivots).drop("rank"), "pivots")
         if not chosen.limit(1).count():
             return found, labels
         used = chosen.select("value", "doc_id") if used is None else used.unionByName(chosen.select("value", "doc_id"))
-        p = chosen.select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", *SIGNS)])
-        pairs = now.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_"))
-        pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
+        p = chosen.join(bits, "doc_id").select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", *SIGNS)])
+        meeting = now.drop("main").join(chosen.select("value").distinct(), "value", "left_semi").join(bits, "doc_id")
+        pairs = meeting.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_"))
+        pairs = stored(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "met")
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pivots *= 8
 
