@@ -36,7 +36,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palaver.llm.hashing import Words, long_lists, ranges, shingle_sets, utf8
-from palaver.llm.shared import components, only, stored
+from palaver.llm.shared import BROADCAST_IDS, components, only, stored
+from palaver.plans.scale import checked_broadcast
 
 K = 64  # values kept of a set
 BITS, PARITIES = 128, 512
@@ -142,8 +143,13 @@ def _need(n: Column, percent: int) -> Column:
     return F.when(n <= K, inside).otherwise(found).cast("int")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
 def _pairs_by_sketch(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches allow the threshold."""
+    """The pairs whose sketches allow the threshold; only sketches of documents in a pair are moved."""
+    reps = only(reps.select("doc_id", "sketch", "n"), stored(_ends(pairs), "ends"), "doc_id")
     left = reps.select(C("doc_id").alias("a"), C("sketch").alias("sa"), C("n").alias("na"))
     right = reps.select(C("doc_id").alias("b"), C("sketch").alias("sb"), C("n").alias("nb"))
     joined = pairs.join(left, "a").join(right, "b")
@@ -234,12 +240,13 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
     while True:
         tried = stored(_pairs_by_sketch(pairs, reps, percent), "pairs")
         if found is None or tried.limit(1).count():
-            ids = tried.select(C("a").alias("doc_id")).union(tried.select(C("b").alias("doc_id"))).distinct()
-            ids = stored(ids if sets is None else ids.join(sets, "doc_id", "left_anti"), "ids")
-            more = stored(only(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_sets(shingle), "doc_id long, items binary"), "sets")
+            ids = stored(_ends(tried), "ids")
+            wanted = ids if sets is None else stored(ids.join(sets, "doc_id", "left_anti"), "wanted")
+            more = stored(only(docs.select("doc_id", "text"), wanted, "doc_id").mapInArrow(_sets(shingle), "doc_id long, items binary"), "sets")
             sets = more if sets is None else sets.unionByName(more)
-            full = tried.join(sets.select(C("doc_id").alias("a"), C("items").alias("items_a")), "a")
-            full = full.join(sets.select(C("doc_id").alias("b"), C("items").alias("items_b")), "b")
+            here = only(sets, ids, "doc_id")
+            full = tried.join(here.select(C("doc_id").alias("a"), C("items").alias("items_a")), "a")
+            full = full.join(here.select(C("doc_id").alias("b"), C("items").alias("items_b")), "b")
             good = stored(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
             found = good if found is None else found.unionByName(good)
             tested = tried if tested is None else tested.unionByName(tried)
@@ -268,7 +275,7 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
         meeting = now.drop("main").join(chosen.select("value").distinct(), "value", "left_semi").join(bits, "doc_id")
         pairs = meeting.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_"))
         pairs = stored(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "met")
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         pivots *= 8
 
 
@@ -297,11 +304,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT
     found = stored(docs.mapInArrow(_sketches(shingle), "doc_id long, n long, key binary, sketch array<long>, " + ", ".join(f"{b} long" for b in SIGNS)), "sketches")
     named = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").dropDuplicates(["key", "doc_id"])
-    reps = stored(reps.select("doc_id", "n", "sketch", *SIGNS), "reps")
+    several = stored(named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "several")
+    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi")
+    # only rows that share a doc_id can stand for a class twice
+    repeated = checked_broadcast(several, BROADCAST_IDS)
+    once = reps.join(repeated, "doc_id", "left_anti").select("key", "doc_id", "n", "sketch", *SIGNS)
+    more = reps.join(repeated, "doc_id", "left_semi").select(once.columns).dropDuplicates(["key", "doc_id"])
+    reps = stored(once.unionByName(more).drop("key"), "reps")
     member = named.select("doc_id", "key").join(classes, "key").where("doc_id <> rep").select(C("rep").alias("a"), C("doc_id").alias("b"))
     near, labels = links(docs, reps, shingle=shingle, percent=percent)
-    twice = member.join(found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(C("doc_id").alias("b")), "b", "left_semi").select("a", "b")
+    twice = member.join(several.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")
     if twice.limit(1).count():  # rows that share a doc_id join their classes
         labels = components(near.unionByName(twice)).withColumnRenamed("node", "doc_id")
     out = (
