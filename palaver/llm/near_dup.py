@@ -7,6 +7,8 @@
    least h sketch values (by counting for sets within the sketch, else with a
    probability of 1 - 1e-9), so only the k - h + 1 rarest values of a sketch are
    listed: values that a third of all documents hold are listed by few of them.
+   Rarity is read from counts of 2^20 buckets of values, so a task picks the
+   rarest by itself and only what is listed travels.
 3. Lists are not expanded into pairs.  Each list first compares all its members
    with one of them.  Members that this joins to one component need no further
    test.  Lists in which many others are left are built anew over the full sets
@@ -16,11 +18,12 @@
    64, 512, ... per list and round, and compared with the members of other
    components, until none is left.  No link between different components is
    lost, and a group of n copies costs about n comparisons.
-4. Where lists meet pivots, a pair must pass set sizes and two bit strings.  Of
-   one bit of the least hash in each of 128 bins, a tenth differ at the threshold
-   and half between unrelated sets.  Of the parities of 512 further bins, no more
-   can differ than the sets have values in which they differ.  Pairs are then
-   filtered by the sketch of the union and confirmed on full sets; components of the confirmed links are returned.
+4. Where lists meet pivots, a pair must pass set sizes and a bit string.  Of one
+   bit of the least hash in each of 128 bins, a tenth differ at the threshold and
+   half between unrelated sets.  Pairs are then filtered by the parities of 512
+   further bins, of which no more can differ than the sets have values in which
+   they differ, by the sketch of the union, and confirmed on full sets; components
+   of the confirmed links are returned.
 """
 
 from __future__ import annotations
@@ -42,10 +45,12 @@ from palaver.plans.scale import checked_broadcast
 K = 64  # values kept of a set
 BITS, PARITIES = 128, 512
 SIGNS = [f"b{i}" for i in range((BITS + PARITIES) // 64)]  # the bit strings, as numbers
+ODD = SIGNS[BITS // 64 :]  # those of the parities
 MISS = 1e-9  # probability that a link at the threshold shares fewer sketch values than asked for
 PIVOTS = 64  # members of a list that its others are compared with in the first of these rounds
 CROWDED = 64  # members outside the main component above which a list is built anew from full sets
 PERCENT = 80
+BUCKETS = 1 << 20  # of values, in which their rarity is counted
 
 C, L = F.col, F.lit
 
@@ -148,16 +153,27 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _pairs_by_sketch(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches allow the threshold; only sketches of documents in a pair are moved."""
-    reps = only(reps.select("doc_id", "sketch", "n"), stored(_ends(pairs), "ends"), "doc_id")
-    left = reps.select(C("doc_id").alias("a"), C("sketch").alias("sa"), C("n").alias("na"))
-    right = reps.select(C("doc_id").alias("b"), C("sketch").alias("sb"), C("n").alias("nb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    union = F.array_sort(F.array_union("sa", "sb"))
-    common = F.size(F.array_intersect(F.array_intersect(F.slice(union, 1, K), "sa"), "sb"))
-    whole = (C("na") <= K) & (C("nb") <= K)
-    exact = 100 * F.size(F.array_intersect("sa", "sb")) >= percent * F.size(union)
-    return joined.where(F.when(whole, exact).otherwise(common >= shared_values(1 << 40, percent))).select("a", "b")
+    """The pairs whose parities and sketches allow the threshold; only those of documents in a pair are moved."""
+    reps = only(reps.select("doc_id", "sketch", "n", *ODD), stored(_ends(pairs), "ends"), "doc_id")
+    left = reps.select(*[C(c).alias(f"{c}_a") for c in reps.columns]).withColumnRenamed("doc_id_a", "a")
+    right = reps.select(*[C(c).alias(f"{c}_b") for c in reps.columns]).withColumnRenamed("doc_id_b", "b")
+    odd = [F.bit_count(C(f"{c}_a").bitwiseXOR(C(f"{c}_b"))) for c in ODD]
+    fits = (100 + percent) * sum(odd[1:], odd[0]) <= (100 - percent) * (C("n_a") + C("n_b"))
+    union = F.array_sort(F.array_union("sketch_a", "sketch_b"))
+    common = F.size(F.array_intersect(F.array_intersect(F.slice(union, 1, K), "sketch_a"), "sketch_b"))
+    whole = (C("n_a") <= K) & (C("n_b") <= K)
+    exact = 100 * F.size(F.array_intersect("sketch_a", "sketch_b")) >= percent * F.size(union)
+    by_sketch = F.when(whole, exact).otherwise(common >= shared_values(1 << 40, percent))
+    return pairs.join(left, "a").join(right, "b").where(fits & by_sketch).select("a", "b")
+
+
+def _pairs_by_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose first bits allow the threshold."""
+    signs = bits.columns[1:]
+    for end in ("a", "b"):
+        pairs = pairs.join(bits.select(C("doc_id").alias(end), *[C(c).alias(f"{c}_{end}") for c in signs]), end)
+    differ = [F.bit_count(C(f"{c}_a").bitwiseXOR(C(f"{c}_b"))) for c in signs]
+    return pairs.where(sum(differ[1:], differ[0]) <= differing_bits(percent)).select("a", "b")
 
 
 def differing_bits(percent: int) -> int:
@@ -170,39 +186,60 @@ def differing_bits(percent: int) -> int:
     return BITS
 
 
+def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def _fits(percent: int, other: str) -> Column:
-    """Set sizes and bit strings of a list's member allow the threshold with another's, whose columns begin with ``other``."""
-    n = C(f"{other}n")
-    sizes = 100 * F.least(C("n"), n) >= percent * F.greatest(C("n"), n)
-    differ = [F.bit_count(C(b).bitwiseXOR(C(other + b))) for b in SIGNS]
-    first, rest = sum(differ[1 : BITS // 64], differ[0]), sum(differ[BITS // 64 + 1 :], differ[BITS // 64])
-    return sizes & (first <= differing_bits(percent)) & ((100 + percent) * rest <= (100 - percent) * (C("n") + n))
+    """Set size and bits of a list's member allow the threshold with another's, whose columns begin with ``other``."""
+    sizes = _sizes_fit(C("n"), C(f"{other}n"), percent)
+    differ = [F.bit_count(C(b).bitwiseXOR(C(other + b))) for b in SIGNS[: BITS // 64]]
+    return sizes & (sum(differ[1:], differ[0]) <= differing_bits(percent))
+
+
+def _rarity(values: DataFrame) -> np.ndarray:
+    """Rows of each of BUCKETS buckets of values: however large the table is, the result is not."""
+    bucket = C("value").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")
+    table = values.groupBy(bucket).agg(F.count("*").cast("float").alias("c")).toArrow()
+    found = np.zeros(BUCKETS, np.float32)
+    found[table.column("bucket").to_numpy()] = table.column("c").to_numpy()
+    return found
+
+
+def _rarest(rarity: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column("items")
+            ends, values, need = items.offsets.to_numpy(), items.flatten().to_numpy(), batch.column("need").to_numpy()
+            for a, b in ranges(ends):
+                size, own = np.diff(ends[a : b + 1]), values[ends[a] - ends[0] : ends[b] - ends[0]]
+                row = np.repeat(np.arange(a, b), size)
+                order = np.lexsort((own, rarity[own & (BUCKETS - 1)], row))  # rows stay together
+                place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+                take = order[place < np.repeat(size - need[a:b] + 1, size)]
+                which = pa.array(row[take])
+                yield pa.RecordBatch.from_arrays([pa.array(own[take]), batch.column("doc_id").take(which), batch.column("n").take(which)], ["value", "doc_id", "n"])
+
+    return run
 
 
-def _lists(values: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(value, doc_id, n): the lists, with two members or more, of the rarest values of each document.
+def _lists(sets: DataFrame) -> DataFrame:
+    """(value, doc_id, n): the lists of the rarest values of each document.
 
-    ``values`` has doc_id and value.  ``sizes`` has doc_id, n, the number s of its
-    values, and need: so many of them are shared with every linked document.
+    ``sets`` has doc_id, n, items, and need: so many of the items are shared with
+    every linked document.  Two linked documents meet in a list whatever the
+    order of rarity is, as long as it is one for all; so it is taken from counts
+    of buckets of values, and no value travels for it.
     """
-    common = values.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
-    found = values.join(common, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("found"))
-    listed = (
-        found.join(sizes, "doc_id")
-        # values that no other document has are the rarest, and come first
-        .withColumn("take", C("s") - C("need") + 1 - (C("s") - F.size("found")))
-        .where("take > 0")
-    )
-    rows = listed.select("doc_id", "n", F.explode(F.slice("found", 1, C("take"))).alias("x"))
-    return rows.select(C("x.value").alias("value"), "doc_id", "n")
+    rarity = _rarity(sets.select(F.explode("items").alias("value")))
+    return sets.select("doc_id", "n", "need", "items").mapInArrow(_rarest(rarity), "value long, doc_id long, n long")
 
 
 def _full_lists(docs: DataFrame, reps: DataFrame, ids: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The lists over the full sets of some documents: exact, as linked sets share percent of the larger one."""
     sets = only(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_members(shingle), "doc_id long, items array<long>")
-    sizes = only(reps.select("doc_id", "n"), ids, "doc_id")
-    sizes = sizes.select("doc_id", "n", C("n").cast("int").alias("s"), F.ceil(C("n") * percent / 100).cast("int").alias("need"))
-    return _lists(sets.select("doc_id", F.explode("items").alias("value")), sizes)
+    n = F.size("items").cast("long")
+    return _lists(sets.select("doc_id", "items", n.alias("n"), F.ceil(n * percent / 100).cast("int").alias("need")))
 
 
 def _relabelled(labels: DataFrame | None, good: DataFrame) -> DataFrame:
@@ -223,17 +260,17 @@ def _relabelled(labels: DataFrame | None, good: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(a, b): confirmed links that span every component of the graph of all links, and (doc_id, label): its components.
 
-    Lists carry no bit strings from round to round; these join the lists that
-    meet pivots.  Pairs that met in several lists are made one before anything
-    else is asked of them.
+    Lists carry no bit strings; the first bits join the pairs that sizes let
+    pass, made one, and the lists that meet pivots.  A list whose members are one
+    component is never looked at again.
     """
-    sizes = reps.select("doc_id", "n", F.size("sketch").alias("s"), _need(C("n"), percent).alias("need"))
-    bits = reps.select("doc_id", *SIGNS)
-    lists = stored(_lists(reps.select("doc_id", F.explode("sketch").alias("value")), sizes).join(bits, "doc_id"), "lists")
-    heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n", *SIGNS)).alias("head")).where("m > 1")
-    heads = heads.select("value", *[C(f"head.{c}").alias(f"h_{c}") for c in ("doc_id", "n", *SIGNS)])
-    pairs = lists.join(heads, "value").where((C("doc_id") != C("h_doc_id")) & _fits(percent, "h_"))
-    pairs = stored(pairs.select(C("h_doc_id").alias("a"), C("doc_id").alias("b")).distinct(), "met")
+    sets_ = reps.select("doc_id", "n", C("sketch").alias("items"), _need(C("n"), percent).alias("need"))
+    bits = reps.select("doc_id", *SIGNS[: BITS // 64])
+    lists = stored(_lists(sets_), "lists")
+    heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("head")).where("m > 1")
+    lists = stored(lists.join(heads.select("value", "head"), "value"), "headed")
+    pairs = lists.where((C("doc_id") != C("head.doc_id")) & _sizes_fit(C("n"), C("head.n"), percent))
+    pairs = stored(_pairs_by_bits(pairs.select(C("head.doc_id").alias("a"), C("doc_id").alias("b")).distinct(), bits, percent), "met")
     lists = lists.select("value", "doc_id", "n")
     sets = tested = found = used = labels = None
     pivots, anew = PIVOTS, False
@@ -262,6 +299,7 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
                 again = again.withColumn("value", F.xxhash64("value"))
                 lists = stored(lists.join(crowded, "value", "left_anti").unionByName(again), "lists")
                 now = _open_lists(lists, labels)
+        lists = now.select("value", "doc_id", "n")
         rest = now.where("label <> main").drop("main")
         if used is not None:
             rest = rest.join(used, ["value", "doc_id"], "left_anti")
@@ -271,7 +309,7 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
         if not chosen.limit(1).count():
             return found, labels
         used = chosen.select("value", "doc_id") if used is None else used.unionByName(chosen.select("value", "doc_id"))
-        p = chosen.join(bits, "doc_id").select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", *SIGNS)])
+        p = chosen.join(bits, "doc_id").select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", *bits.columns[1:])])
         meeting = now.drop("main").join(chosen.select("value").distinct(), "value", "left_semi").join(bits, "doc_id")
         pairs = meeting.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_"))
         pairs = stored(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "met")
@@ -281,7 +319,7 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists with members of several components, each member's component and the largest one."""
-    now = lists.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    now = lists.join(checked_broadcast(labels, BROADCAST_IDS), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     groups = now.groupBy("value", "label").agg(F.count("*").alias("k"))
     main = groups.groupBy("value").agg(F.count("*").alias("groups"), F.max(F.struct("k", "label")).alias("top")).where("groups > 1")
     return stored(now.join(main.select("value", "groups", C("top.label").alias("main")), "value").drop("groups"), "open")
@@ -305,13 +343,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT
     named = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     several = stored(named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "several")
-    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi")
+    # sketches move only where the copies are too many for a broadcast
+    copies = stored(named.select("doc_id", "key").join(classes, "key").where("doc_id <> rep"), "copies")
+    reps = named.join(checked_broadcast(copies.select("key", "doc_id"), BROADCAST_IDS), ["key", "doc_id"], "left_anti")
     # only rows that share a doc_id can stand for a class twice
     repeated = checked_broadcast(several, BROADCAST_IDS)
     once = reps.join(repeated, "doc_id", "left_anti").select("key", "doc_id", "n", "sketch", *SIGNS)
     more = reps.join(repeated, "doc_id", "left_semi").select(once.columns).dropDuplicates(["key", "doc_id"])
     reps = stored(once.unionByName(more).drop("key"), "reps")
-    member = named.select("doc_id", "key").join(classes, "key").where("doc_id <> rep").select(C("rep").alias("a"), C("doc_id").alias("b"))
+    member = copies.select(C("rep").alias("a"), C("doc_id").alias("b"))
     near, labels = links(docs, reps, shingle=shingle, percent=percent)
     twice = member.join(several.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")
     if twice.limit(1).count():  # rows that share a doc_id join their classes
