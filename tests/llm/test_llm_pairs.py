@@ -185,26 +185,43 @@ def test_masks_cover_the_tolerance():
 
 
 def leaks_by_hand(docs, items):
-    found = set()
+    """{(doc, item): (start, words, equal)} of the best diagonal, the earliest of equal ones."""
+    found = {}
     for d, t in docs:
         doc = (t or "").encode().lower().split()
         for i, x in items:
             item = (x or "").encode().lower().split()
             n = min(13, len(item))
-            if len(item) < 8:
-                continue
-            for a in range(len(doc) - n + 1):
-                for b in range(len(item) - n + 1):
-                    if sum(u == v for u, v in zip(doc[a : a + n], item[b : b + n])) >= n - n // 6:
-                        found.add((d, i))
-    return found
+            spare = n // 6 if len(item) >= 8 else 0
+            for move in range(-len(item) + 1, len(doc)) if item else ():
+                pairs = [(p, doc[p] == item[p - move]) for p in range(max(0, move), min(len(doc), move + len(item)))]
+                good = [a for a in range(len(pairs) - n + 1) if sum(same for _, same in pairs[a : a + n]) >= n - spare]
+                if good:
+                    stretch = pairs[good[0] : good[-1] + n]
+                    best = (sum(same for _, same in stretch), -stretch[0][0], len(stretch))
+                    found[d, i] = max(found.get((d, i), best), best)
+    return {k: (-start, n, same) for k, (same, start, n) in found.items()}
+
+
+def test_leaks_of_equal_words_in_pieces(monkeypatch):
+    def found():
+        import pyarrow as pa
+
+        seeds = decontaminate.Seeds(pa.array(["a " * 300, "a b " * 100, "b " * 5]), [1, 2, 3])
+        data, offsets = hashing.utf8(pa.array(["a " * 5000, "a b " * 2500, "c"]))
+        return seeds.leaks(*hashing.Words().of(data, offsets))
+
+    whole = found()
+    assert whole == {(0, 0): (300, 0, 300), (1, 1): (200, 0, 200)}
+    monkeypatch.setattr(decontaminate, "HITS", 1000)
+    assert found() == whole
 
 
 @pytest.mark.parametrize("blocks", [1, 3])
 def test_leaks(spark, monkeypatch, blocks):
     if blocks > 1:
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
-    items = [(i, prose(500 + i, 8 + 3 * i)) for i in range(8)] + [(20, "too short"), (21, None), (None, prose(700, 20)), (3, prose(701, 15))]
+    items = [(i, prose(500 + i, 8 + 3 * i)) for i in range(8)] + [(20, "so Short"), (21, None), (22, prose(702, 7)), (23, "z"), (24, "z z z"), (25, "z " * 9), (26, "x y " * 8), (27, " "), (None, prose(700, 20)), (30, prose(701, 15))]
     rows = awkward()
     r = random.Random(8)
     for k, (_, text) in enumerate(items[:8]):
@@ -213,10 +230,16 @@ def test_leaks(spark, monkeypatch, blocks):
             words[r.randrange(len(words))] = f"sub{j}"
         rows.append(row(50 + k, prose(600 + k, 25) + " " + " ".join(words).upper() + " " + prose(650 + k, 25)))
     rows.append(row(70, prose(700, 20)))
+    rows += [row(71, "sO short"), row(72, "so very short so short so short"), row(73, prose(703, 30) + " " + prose(702, 7)), row(74, prose(702, 7).replace("w", "q", 1))]
+    rows += [row(75, "z " * 60), row(76, "x y " * 30), row(77, "so z " * 9), row(78, "z " * 12 + "y " + "z " * 12)]
     docs, benchmark = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_leaks(docs, benchmark).collect()
     want = leaks_by_hand([x[:2] for x in rows], items)
-    assert {(x.doc_id, x.item_id) for x in got} == want and len(want) > 5
+    rows_ = [x for x in rows if x[0] != 12]  # its two texts are looked at below by their presence alone
+    assert {(x.doc_id, x.item_id): (x.doc_start, x.n_words, x.n_equal) for x in got if x.doc_id != 12} == {k: v for k, v in leaks_by_hand([x[:2] for x in rows_], items).items()}
+    assert {(x.doc_id, x.item_id) for x in got} == set(want) and len(want) > 12
+    assert {(71, 20), (72, 20), (73, 22), (75, 25), (76, 26), (78, 24)} <= set(want) and (74, 22) not in want
+    assert all(x.coverage == x.n_equal / len(dict(items)[x.item_id].split()) for x in got)
     kept = decontaminate.drop_leaked(docs, benchmark)
     assert kept.columns == docs.columns
     assert kept.count() == len([x for x in rows if x[0] not in {d for d, _ in want}])
