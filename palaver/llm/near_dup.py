@@ -261,18 +261,19 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
     """(a, b): confirmed links that span every component of the graph of all links, and (doc_id, label): its components.
 
     Lists carry no bit strings; the first bits join the pairs that sizes let
-    pass, made one, and the lists that meet pivots.  A list whose members are one
-    component is never looked at again.
+    pass, made one, and the lists that meet pivots.  What has met all members
+    leaves its list, and a list whose members are one component is done.
     """
     sets_ = reps.select("doc_id", "n", C("sketch").alias("items"), _need(C("n"), percent).alias("need"))
     bits = reps.select("doc_id", *SIGNS[: BITS // 64])
     lists = stored(_lists(sets_), "lists")
     heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("head")).where("m > 1")
-    lists = stored(lists.join(heads.select("value", "head"), "value"), "headed")
+    lists = stored(lists.join(heads, "value"), "headed")
     pairs = lists.where((C("doc_id") != C("head.doc_id")) & _sizes_fit(C("n"), C("head.n"), percent))
     pairs = stored(_pairs_by_bits(pairs.select(C("head.doc_id").alias("a"), C("doc_id").alias("b")).distinct(), bits, percent), "met")
-    lists = lists.select("value", "doc_id", "n")
-    sets = tested = found = used = labels = None
+    # a head has met all others of its list, so two members need no more
+    lists = lists.where((C("doc_id") != C("head.doc_id")) & (C("m") > 2)).select("value", "doc_id", "n")
+    sets = tested = found = labels = None
     pivots, anew = PIVOTS, False
     while True:
         tried = stored(_pairs_by_sketch(pairs, reps, percent), "pairs")
@@ -291,7 +292,7 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
         now = _open_lists(lists, labels)
         if not anew:  # once: crowded lists give way to lists over full sets
             anew = True
-            crowded = now.where("label <> main").groupBy("value").agg(F.count("*").alias("k")).where(C("k") > CROWDED).select("value")
+            crowded = now.where(C("others") > CROWDED).select("value").distinct()
             members = stored(now.join(crowded, "value", "left_semi").select("doc_id").distinct(), "crowded")
             if members.limit(1).count():
                 again = _full_lists(docs, reps, members, shingle, percent)
@@ -299,18 +300,16 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
                 again = again.withColumn("value", F.xxhash64("value"))
                 lists = stored(lists.join(crowded, "value", "left_anti").unionByName(again), "lists")
                 now = _open_lists(lists, labels)
-        lists = now.select("value", "doc_id", "n")
-        rest = now.where("label <> main").drop("main")
-        if used is not None:
-            rest = rest.join(used, ["value", "doc_id"], "left_anti")
+        rest = now.where("label <> main").select("value", "doc_id", "n", "label")
         # lists of one group choose the same pivots
         rank = F.row_number().over(W.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
         chosen = stored(rest.withColumn("rank", rank).where(C("rank") <= pivots).drop("rank"), "pivots")
         if not chosen.limit(1).count():
             return found, labels
-        used = chosen.select("value", "doc_id") if used is None else used.unionByName(chosen.select("value", "doc_id"))
+        # pivots meet all members, so they leave their lists, and lists without other members outside the main component close
+        lists = now.where(C("others") > pivots).select("value", "doc_id", "n").join(chosen.select("value", "doc_id"), ["value", "doc_id"], "left_anti")
         p = chosen.join(bits, "doc_id").select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", *bits.columns[1:])])
-        meeting = now.drop("main").join(chosen.select("value").distinct(), "value", "left_semi").join(bits, "doc_id")
+        meeting = now.select("value", "doc_id", "n", "label").join(chosen.select("value").distinct(), "value", "left_semi").join(bits, "doc_id")
         pairs = meeting.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_"))
         pairs = stored(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "met")
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -318,11 +317,12 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists with members of several components, each member's component and the largest one."""
+    """The lists with members of several components, each member's component, the largest one, and how many are in the others."""
     now = lists.join(checked_broadcast(labels, BROADCAST_IDS), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     groups = now.groupBy("value", "label").agg(F.count("*").alias("k"))
-    main = groups.groupBy("value").agg(F.count("*").alias("groups"), F.max(F.struct("k", "label")).alias("top")).where("groups > 1")
-    return stored(now.join(main.select("value", "groups", C("top.label").alias("main")), "value").drop("groups"), "open")
+    main = groups.groupBy("value").agg(F.count("*").alias("groups"), F.sum("k").alias("total"), F.max(F.struct("k", "label")).alias("top")).where("groups > 1")
+    main = main.select("value", C("top.label").alias("main"), (C("total") - C("top.k")).alias("others"))
+    return stored(now.join(main, "value").select("value", "doc_id", "n", "label", "main", "others"), "open")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
