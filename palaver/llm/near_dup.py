@@ -18,12 +18,11 @@
    64, 512, ... per list and round, and compared with the members of other
    components, until none is left.  No link between different components is
    lost, and a group of n copies costs about n comparisons.
-4. Where lists meet pivots, a pair must pass set sizes and a bit string.  Of one
-   bit of the least hash in each of 128 bins, a tenth differ at the threshold and
-   half between unrelated sets.  Pairs are then filtered by the parities of 512
-   further bins, of which no more can differ than the sets have values in which
-   they differ, by the sketch of the union, and confirmed on full sets; components
-   of the confirmed links are returned.
+4. A pair must pass set sizes and two bit strings.  Of one bit of the least hash
+   in each of 128 bins, a tenth differ at the threshold and half between unrelated
+   sets.  Of the parities of 512 further bins, no more can differ than the sets
+   have values in which they differ.  Pairs are then filtered by the sketch of the
+   union and confirmed on full sets; components of the confirmed links are returned.
 """
 
 from __future__ import annotations
@@ -191,10 +190,11 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
 
 
 def _fits(percent: int, other: str) -> Column:
-    """Set size and bits of a list's member allow the threshold with another's, whose columns begin with ``other``."""
+    """Set size, bits and parities of a list's member allow the threshold with another's, whose columns begin with ``other``."""
     sizes = _sizes_fit(C("n"), C(f"{other}n"), percent)
-    differ = [F.bit_count(C(b).bitwiseXOR(C(other + b))) for b in SIGNS[: BITS // 64]]
-    return sizes & (sum(differ[1:], differ[0]) <= differing_bits(percent))
+    differ = [F.bit_count(C(b).bitwiseXOR(C(other + b))) for b in SIGNS]
+    first, odd = sum(differ[1 : BITS // 64], differ[0]), sum(differ[BITS // 64 + 1 :], differ[BITS // 64])
+    return sizes & (first <= differing_bits(percent)) & ((100 + percent) * odd <= (100 - percent) * (C("n") + C(f"{other}n")))
 
 
 def _rarity(values: DataFrame) -> np.ndarray:
@@ -261,16 +261,16 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
     """(a, b): confirmed links that span every component of the graph of all links, and (doc_id, label): its components.
 
     Lists carry no bit strings; the first bits join the pairs that sizes let
-    pass, made one, and the lists that meet pivots.  What has met all members
+    pass, made one, and all bits the lists that meet pivots.  What has met all members
     leaves its list, and a list whose members are one component is done.
     """
     sets_ = reps.select("doc_id", "n", C("sketch").alias("items"), _need(C("n"), percent).alias("need"))
-    bits = reps.select("doc_id", *SIGNS[: BITS // 64])
+    bits = reps.select("doc_id", *SIGNS)
     lists = stored(_lists(sets_), "lists")
     heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("head")).where("m > 1")
     lists = stored(lists.join(heads, "value"), "headed")
     pairs = lists.where((C("doc_id") != C("head.doc_id")) & _sizes_fit(C("n"), C("head.n"), percent))
-    pairs = stored(_pairs_by_bits(pairs.select(C("head.doc_id").alias("a"), C("doc_id").alias("b")).distinct(), bits, percent), "met")
+    pairs = stored(_pairs_by_bits(pairs.select(C("head.doc_id").alias("a"), C("doc_id").alias("b")).distinct(), bits.select("doc_id", *SIGNS[: BITS // 64]), percent), "met")
     # a head has met all others of its list, so two members need no more
     lists = lists.where((C("doc_id") != C("head.doc_id")) & (C("m") > 2)).select("value", "doc_id", "n")
     sets = tested = found = labels = None
