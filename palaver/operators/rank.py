@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palaver.functions.tasks import DEAD, LIVE, Bm25, best_ranges, dense_scan, open_ranges, postings_scan
+from palaver.functions.tasks import DEAD, LIVE, NAMED, Bm25, best_ranges, dense_scan, open_ranges, postings_scan
 from palaver.functions.text import tokenize
 from palaver.operators.activity import metadata_filter
-from palaver.operators.postings import LexicalIndex
+from palaver.operators.postings import LexicalIndex, by_range
 from palaver.plans.scale import checked_broadcast, scalar, spread
 from palaver.session import cut_lineage, scratch_table
 
@@ -128,11 +128,6 @@ def _gathered(docs: DataFrame, schema: str, jobs: Iterator[Callable[[], DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def _by_range(lists: DataFrame) -> DataFrame:
-    """Whole ranges, one after the other in a task."""
-    return lists.repartition("range").sortWithinPartitions("range")
-
-
 def bm25_search(index: LexicalIndex, queries: DataFrame, n: int = PER_RANKER, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank) of the n best documents per query; no text is read.
 
@@ -151,21 +146,22 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, n: int = PER_RANKER, al
     schema = hit_schema(queries, index.id_type)
     path = scratch_table(spark, "hits")
     spark.createDataFrame([], schema).write.parquet(path)
-    masks = _masks(index, allowed)
+    masks, place = _masks(index, allowed), ["range", "max_tf", "min_dl", "ids", "docs", "tfs", "dls"]
+    named = index.ranges_of().select(*place, F.lit(NAMED).alias("tidx"))
     for names, terms, matrix in _query_blocks(bm25_weights(query_terms(queries), vocab)):
         model = Bm25(matrix, K1, B, avgdl)
         table = spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, tidx int")
-        lists = index.lists().join(F.broadcast(table), "term").drop("term", "bucket", "gen", "n", "tokens")
+        lists = index.lists().join(F.broadcast(table), "term").select(*place, "tidx")
 
         def scored(floor, ranges=None, lists=lists, names=names, model=model):
-            rows = lists if masks is None else lists.unionByName(masks)
+            rows = lists.unionByName(named) if masks is None else lists.unionByName(named).unionByName(masks)
             rows = rows if ranges is None else rows.join(checked_broadcast(ranges), "range", "left_semi")
-            return _by_range(rows).mapInPandas(postings_scan(names, model, n, DIGITS, floor, allowed is not None), schema)
+            return by_range(rows).mapInPandas(postings_scan(names, model, n, DIGITS, floor, allowed is not None), schema)
 
         if index.ranges <= 4 * SEEDS:  # the seeds would be most of them
             scored(np.zeros(len(names))).write.mode("append").parquet(path)
             continue
-        reach = _by_range(cut_lineage(lists.select("range", "tidx", "max_tf", "min_dl")))  # no list among them
+        reach = by_range(cut_lineage(lists.select("range", "tidx", "max_tf", "min_dl")))  # no list among them
         best = reach.mapInPandas(best_ranges(names, model, SEEDS), hit_schema(queries, "long"))
         seeds = cut_lineage(rank_rows(best, SEEDS, keys).select(C("id").alias("range")).distinct())
         first = rank_rows(scored(np.zeros(len(names)), seeds), n, keys)
@@ -181,7 +177,7 @@ def _masks(index: LexicalIndex, allowed: DataFrame | None) -> DataFrame | None:
 
     def named(rows: DataFrame, kind: int) -> DataFrame:
         lists = rows.groupBy("range").agg(F.collect_list("id").alias("ids"))  # a range is bounded
-        none = [F.lit(None).cast("array<long>").alias(c) for c in ("tfs", "dls")]
+        none = [F.lit(None).cast("array<int>").alias(c) for c in ("docs", "tfs", "dls")]
         return lists.select("range", F.lit(0).cast("long").alias("max_tf"), F.lit(0).cast("long").alias("min_dl"), "ids", *none, F.lit(kind).alias("tidx"))
 
     parts = [named(index.dead(), DEAD)] if any(r["dead"] for r in index.commits()) else []

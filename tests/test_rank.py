@@ -231,3 +231,17 @@ def test_recall_grows_with_k(spark):
     run = spark.createDataFrame([(i, False, (i % 7) + 1 if i % 7 < 5 else None) for i in range(50)], "qid long, must_refuse boolean, first_hit int")
     curve = [r.recall for r in evaluate.recall_curve(run).orderBy("k").collect()]
     assert curve == sorted(curve)
+
+
+def test_ids_are_stored_once(spark, monkeypatch):
+    """Lists hold places; the ids and lengths of a range are in one row, and lists are written where they are made."""
+    monkeypatch.setattr(postings, "RANGE_TOKENS", 40)
+    texts = {f"d{i:03d}": " ".join(f"w{(i * k) % 7}" for k in range(i % 6)) for i in range(90)} | {"none": None}
+    index = postings.LexicalIndex.build(spark.createDataFrame(list(texts.items()), "id string, text string"))
+    assert index.lists().where("ids IS NOT NULL OR dls IS NOT NULL").count() == 0
+    assert index.ranges_of().selectExpr("sum(size(ids)) AS n").first().n == 91 and index.ranges > 3
+    index.extend(spark.createDataFrame([("d005", "w1 w1 new")], "id string, text string"))
+    texts["d005"] = "w1 w1 new"
+    asked = spark.createDataFrame([("w1",), ("w3",), ("new",)], "term string")
+    want = sorted((i, len(t.split()), w, t.split().count(w)) for i, t in texts.items() if t for w in ("w1", "w3", "new") if w in t.split())
+    assert sorted((r.id, r.dl, r.term, r.tf) for r in index.postings(asked).collect()) == want
