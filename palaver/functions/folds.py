@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 
 Fold = Callable[[Any, pd.DataFrame], tuple[Any, list[tuple]]]
@@ -30,17 +31,35 @@ def cooldown(seconds: float) -> Fold:
     return fold
 
 
-def toggle(state, rows):
-    """Votes: the same rating again removes it, another one replaces it."""
-    out = []
-    for vote_id, rating in zip(rows["id"], rows["rating"]):
-        if state == rating:
-            state, outcome = "", "removed"
-        else:
-            outcome = "updated" if state else rating
-            state = rating
-        out.append((int(vote_id), outcome))
-    return state or "", out
+def toggles(order: list[str]):
+    """Votes: the same rating again removes it, another one replaces it.
+
+    For ``applyInPandasWithState`` over buckets of keys.  Rows have ``_key``,
+    ``id`` and ``rating``; all keys of a bucket are folded at once.  In a run of
+    equal ratings of a key every second vote removes the one before it.  The
+    state has the ratings in force; a null rating is none.
+    """
+
+    def run(bucket: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(order)
+        held = pd.DataFrame(dict(zip(("_key", "rating"), json.loads(state.get[0]) if state.exists else ((), ()))), dtype=object)
+        names, ratings = (np.concatenate([held[c], rows[c].astype(object)]) for c in ("_key", "rating"))
+        key = pd.factorize(names)[0]
+        at = np.argsort(key, kind="stable")  # what is held stands before the votes
+        key, rating = key[at], pd.factorize(ratings)[0][at]  # -1: null
+        first = np.diff(key, prepend=-1) != 0
+        starts = first | (np.diff(rating, prepend=-2) != 0)
+        run_start = np.flatnonzero(starts)
+        place = np.arange(len(key)) - run_start[np.cumsum(starts) - 1]
+        stands = (place % 2 == 0) & (rating >= 0)
+        replaces = ~first & np.append(False, stands[:-1])
+        outcome = np.where(stands | (rating < 0), np.where(replaces, "updated", ratings[at]), "removed")
+        last = np.append(first[1:], True) & stands
+        state.update((json.dumps([names[at][last].tolist(), ratings[at][last].tolist()]),))
+        new = at >= len(held)
+        yield pd.DataFrame({"_key": names[at][new], "id": rows["id"].to_numpy()[at[new] - len(held)], "outcome": outcome[new]})
+
+    return run
 
 
 def streak(state, rows):

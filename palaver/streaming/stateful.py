@@ -23,6 +23,7 @@ C = F.col
 
 
 DELAY = "1 day"  # rows later than this are not waited for
+BUCKETS = 4096  # of the keys of votes
 
 
 def _apply(df: DataFrame, keys: Sequence[str], fold, order: list[str], out: str, time: str = "", seconds: float = 0, delay: str = DELAY) -> DataFrame:
@@ -42,9 +43,19 @@ def cooldown_stream(events: DataFrame, seconds: float) -> DataFrame:
 
 
 def toggle_stream(clicks: DataFrame) -> DataFrame:
-    """Outcome of every click: (chat_id, message_id, user_id, id, outcome)."""
-    rows = clicks.select("chat_id", "message_id", "user_id", "id", "rating", "created_at")
-    return _apply(rows, ["chat_id", "message_id", "user_id"], folds.toggle, ["created_at", "id"], "id bigint, outcome string")
+    """Outcome of every click: (chat_id, message_id, user_id, id, outcome).
+
+    Most keys have one click or two, so state is kept by BUCKETS of keys, whose
+    clicks are folded at once; a bucket holds the ratings in force.
+    """
+    keys = ["chat_id", "message_id", "user_id"]
+    schema = ", ".join(f"{k} {kind}" for k, kind in clicks.select(*keys).dtypes)
+    rows = clicks.select(F.to_json(F.struct(*keys)).alias("_key"), "id", "rating", "created_at")
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)))
+    folded = dealt.groupBy("_bucket").applyInPandasWithState(
+        folds.toggles(["created_at", "id"]), "_key string, id bigint, outcome string", "state string", "append", GroupStateTimeout.NoTimeout
+    )
+    return folded.select(F.from_json("_key", schema).alias("_key"), "id", "outcome").select("_key.*", "id", "outcome")
 
 
 def streak_stream(events: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from palaver.functions import folds
 from palaver.operators import history
 from palaver.streaming import sinks, stateful, windows
 
@@ -52,6 +54,30 @@ def test_votes(spark, feed):
     assert {r.id: r.outcome for r in got.collect()} == {r.id: r.outcome for r in history.feedback_outcomes(df).collect()}
 
 
+def test_votes_of_a_bucket_are_folded_together(spark, monkeypatch):
+    """Few calls for many keys, and what a walk over each key's votes gives; a null rating is none."""
+    rnd, calls = random.Random(5), 0
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    fold, state, held, want, got = folds.toggles(["created_at", "id"]), State(), {}, {}, {}
+    for lap in range(4):
+        rows = [(f"k{rnd.randint(0, 30)}", lap * 1000 + i, rnd.choice(["useful", "report", None]), lap * 1000 + rnd.randint(0, 99)) for i in range(200)]
+        for key, vote, rating, _ in sorted(rows, key=lambda r: (r[3], r[1])):
+            same = rating is not None and held.get(key) == rating
+            want[vote] = "removed" if same else "updated" if held.get(key) else rating
+            held[key] = None if same else rating
+        frame = pd.DataFrame(rows, columns=["_key", "id", "rating", "created_at"])
+        for out in fold((0,), iter([frame.iloc[:120], frame.iloc[120:]]), state):
+            calls += 1
+            got |= dict(zip(out["id"], out["outcome"]))
+    assert got == want and calls == 4
+
+
 def test_memory(spark, feed):
     rnd = random.Random(3)
     rows = [(i, 1, i % 2, i // 2, "user" if rnd.random() < 0.5 else "assistant", rnd.random() < 0.8, 10**6 + i * 9000) for i in range(120)]
