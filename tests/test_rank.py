@@ -245,3 +245,17 @@ def test_ids_are_stored_once(spark, monkeypatch):
     asked = spark.createDataFrame([("w1",), ("w3",), ("new",)], "term string")
     want = sorted((i, len(t.split()), w, t.split().count(w)) for i, t in texts.items() if t for w in ("w1", "w3", "new") if w in t.split())
     assert sorted((r.id, r.dl, r.term, r.tf) for r in index.postings(asked).collect()) == want
+
+
+def test_lists_of_an_index_are_written_without_a_sort(spark):
+    """The lists of a range leave the task as they are made: one sort, of the texts by id, none of the lists by folder."""
+    from palaver.operators.postings import LexicalIndex, both_open
+
+    docs = spark.createDataFrame([(i, f"word{i} common word{i % 7}") for i in range(50)], "id long, text string")
+    seen, write = [], spark._jsparkSession.sessionState().conf()
+    with both_open(spark):
+        seen.append(write.maxConcurrentOutputFileWriters())
+    assert seen == [2] and write.maxConcurrentOutputFileWriters() == 0  # the setting is that of the write alone
+    index = LexicalIndex.build(docs)
+    assert write.maxConcurrentOutputFileWriters() == 0
+    assert index.documents().count() == 50 and index.lists().where("term = 'common'").agg({"n": "sum"}).first()[0] == 50

@@ -34,6 +34,22 @@ def test_language_rules_disagree_as_meant(spark, value, presence, ratio, documen
     assert one(spark, value, lang.lang_script) == script
 
 
+def test_strip_equals_its_pattern(spark):
+    """Also where a line separator ends the text, which is no white space but lets ``$`` stand before it."""
+    ends = ["", " ", "\xa0", "\t\r\n", "\x0b\f", "\x85", " \x85", "\u2028", " \u2028\n", "\x1c", "\u2003", "\n \u2029", "\x85 \x85"]
+    rows = [(a + middle + b,) for a in ends for middle in ("", "x", "a  b\n\nc") for b in ends] + [(None,)]
+    pattern = F.regexp_replace("v", r"^[\s\x{00a0}]+|[\s\x{00a0}]+$", "")
+    df = spark.createDataFrame(rows, "v string").select("v", text.strip(C("v")).alias("got"), pattern.alias("want"), text.is_blank(C("v")).alias("blank"))
+    for r in df.collect():
+        assert (r.got, r.blank) == (r.want, None if r.v is None else r.want == "")
+
+
+def test_language_ratio_finds_the_words_once(spark):
+    df = spark.createDataFrame([("x",)], "v string").select(lang.lang_ratio(C("v")).alias("o"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(") == 1
+
+
 def test_language_set_takes_every_script(spark):
     df = spark.createDataFrame([(1, "سؤال déjà"), (1, "plain"), (2, "?!"), (3, "plain")], "u int, v string")
     got = {r.u: r.s for r in df.groupBy("u").agg(lang.lang_set(C("v")).alias("s")).collect()}
