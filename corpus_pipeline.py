@@ -20,6 +20,14 @@ from palaver.session import configure
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+TEXT_BYTES = 2 << 20  # of rows handed to a Python task at a time; the tasks' own arrays are several times as large
+
+
+def ready(spark: SparkSession) -> None:
+    """The settings of all operators, and small batches: every stage hands whole texts to Python."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some language explains; the others are rejected.
@@ -27,7 +35,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts and texts without a letter go; without labelled rows nothing is
     learned and all go; rows keep all their columns, repeated ones stay each.
     """
-    configure(spark)
+    ready(spark)
     return language.keep_known(docs)
 
 
@@ -39,7 +47,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     name of a group stays.  Rows equal in doc_id and text are one: the least by
     its other columns.  Should two names agree by accident, both texts stay.
     """
-    configure(spark)
+    ready(spark)
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     shared = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "shared")
     named = docs.withColumn("_name", F.coalesce(doc_id, F.xxhash64(doc_id, text)))
@@ -61,7 +69,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts and rows without a doc_id share none; rows that share
     a doc_id are judged each by its own text; an empty benchmark keeps all.
     """
-    configure(spark)
+    ready(spark)
     return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -70,13 +78,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are taken 0 times; null is a source of its own, the last.
     """
-    configure(spark)
+    ready(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the token files written and read back."""
-    configure(spark)
+    ready(spark)
     return tokens.tokenised(docs, entries.tokenizer_file(), dtype="<u2")
 
 
@@ -94,7 +102,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    configure(spark)
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -381,3 +381,21 @@ def test_stages(spark, tmp_path):
             docs = frame(spark, after)
         else:
             assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and len(after) == len(before)
+
+
+def test_stages_hand_small_batches_to_python(spark, tmp_path):
+    """A task's memory follows from the bytes of a batch: 20 MB of texts arrive as ten batches or more."""
+
+    def sizes_of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        docs = spark.createDataFrame([(1, "some words that are told here", "en", "s1")], "doc_id long, text string, lang string, source string")
+        stage(spark, docs, str(tmp_path))
+        texts = spark.range(0, 200, 1, 1).selectExpr("repeat('word ', 20000) AS text")
+        sizes = [r.n for r in texts.mapInArrow(sizes_of, "n long").collect()]
+        assert len(sizes) >= 9 and max(sizes) < 4 << 20
