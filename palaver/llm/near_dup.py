@@ -9,9 +9,12 @@
    listed: values that a third of all documents hold are listed by few of them.
    Rarity is read from counts of 2^20 buckets of values, so a task picks the
    rarest by itself and only what is listed travels.
-3. Lists are not expanded into pairs.  Each list first compares all its members
+3. Long lists are not expanded into pairs.  Each list first compares all its members
    with one of them.  Members that this joins to one component need no further
-   test.  Lists in which many others are left are built anew over the full sets
+   test.  In a list of up to 16 members, which mostly met by accident, the other
+   pairs are formed at once, where sizes and bits allow them, and wait for the
+   components; so what travels for it are a few ids, and no bit strings a list.
+   Longer lists in which many others are left are built anew over the full sets
    of their members: two sets at the threshold share one of the rarest fifth of
    their values, which documents that only have a passage in common do not.
    Then the members outside the main component of a list are taken as pivots,
@@ -47,6 +50,7 @@ SIGNS = [f"b{i}" for i in range((BITS + PARITIES) // 64)]  # the bit strings, as
 ODD = SIGNS[BITS // 64 :]  # those of the parities
 MISS = 1e-9  # probability that a link at the threshold shares fewer sketch values than asked for
 PIVOTS = 64  # members of a list that its others are compared with in the first of these rounds
+SHORT = 16  # members of a list up to which its pairs are listed, by sizes, instead of its members meeting pivots
 CROWDED = 64  # members outside the main component above which a list is built anew from full sets
 PERCENT = 80
 BUCKETS = 1 << 20  # of values, in which their rarity is counted
@@ -175,6 +179,15 @@ def _pairs_by_bits(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame
     return pairs.where(sum(differ[1:], differ[0]) <= differing_bits(percent)).select("a", "b")
 
 
+def _short_pairs(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs within lists of up to SHORT members, without their heads, whose sizes and first bits allow the threshold."""
+    others = lists.where((C("doc_id") != C("head.doc_id")) & (C("m") > 2) & (C("m") <= SHORT))
+    left = others.select("value", C("doc_id").alias("a"), C("n").alias("n_a"))
+    right = others.select("value", C("doc_id").alias("b"), C("n").alias("n_b"))
+    pairs = left.join(right, "value").where((C("a") < C("b")) & _sizes_fit(C("n_a"), C("n_b"), percent))
+    return _pairs_by_bits(pairs.select("a", "b").distinct(), bits, percent)
+
+
 def differing_bits(percent: int) -> int:
     """How many of the BITS of two sets at the threshold differ at most, but for a probability of MISS."""
     p, above = (100 - percent) / 200, 1.0
@@ -261,8 +274,9 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
     """(a, b): confirmed links that span every component of the graph of all links, and (doc_id, label): its components.
 
     Lists carry no bit strings; the first bits join the pairs that sizes let
-    pass, made one, and all bits the lists that meet pivots.  What has met all members
-    leaves its list, and a list whose members are one component is done.
+    pass, made one, and all bits the long lists that meet pivots.  What has met all members
+    leaves its list, and a list whose members are one component is done.  The pairs of
+    short lists wait until the heads have joined what they can.
     """
     sets_ = reps.select("doc_id", "n", C("sketch").alias("items"), _need(C("n"), percent).alias("need"))
     bits = reps.select("doc_id", *SIGNS)
@@ -270,9 +284,11 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
     heads = lists.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("head")).where("m > 1")
     lists = stored(lists.join(heads, "value"), "headed")
     pairs = lists.where((C("doc_id") != C("head.doc_id")) & _sizes_fit(C("n"), C("head.n"), percent))
-    pairs = stored(_pairs_by_bits(pairs.select(C("head.doc_id").alias("a"), C("doc_id").alias("b")).distinct(), bits.select("doc_id", *SIGNS[: BITS // 64]), percent), "met")
-    # a head has met all others of its list, so two members need no more
-    lists = lists.where((C("doc_id") != C("head.doc_id")) & (C("m") > 2)).select("value", "doc_id", "n")
+    first_bits = bits.select("doc_id", *SIGNS[: BITS // 64])
+    pairs = stored(_pairs_by_bits(pairs.select(C("head.doc_id").alias("a"), C("doc_id").alias("b")).distinct(), first_bits, percent), "met")
+    waiting = stored(_short_pairs(lists, first_bits, percent).join(pairs, ["a", "b"], "left_anti"), "waiting")
+    # a head has met all others of its list
+    lists = lists.where((C("doc_id") != C("head.doc_id")) & (C("m") > SHORT)).select("value", "doc_id", "n")
     sets = tested = found = labels = None
     pivots, anew = PIVOTS, False
     while True:
@@ -289,6 +305,9 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
             found = good if found is None else found.unionByName(good)
             tested = tried if tested is None else tested.unionByName(tried)
             labels = _relabelled(labels, good)
+        if waiting is not None:  # once: the pairs of short lists that the heads have left apart
+            pairs, waiting = stored(_apart(waiting, labels), "apart"), None
+            continue
         now = _open_lists(lists, labels)
         if not anew:  # once: crowded lists give way to lists over full sets
             anew = True
@@ -316,6 +335,14 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
         pivots *= 8
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for end in ("a", "b"):
+        of = labels.select(C("doc_id").alias(end), C("label").alias(f"l{end}"))
+        pairs = pairs.join(checked_broadcast(of, BROADCAST_IDS), end, "left")
+    return pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists with members of several components, each member's component, the largest one, and how many are in the others."""
     now = lists.join(checked_broadcast(labels, BROADCAST_IDS), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))

@@ -67,6 +67,30 @@ def test_near_duplicates_chains_and_crowds(spark, monkeypatch):
     check_near(spark, rows, 2)
 
 
+def test_short_lists_meet_as_pairs(spark, monkeypatch):
+    """Only lists of more than SHORT rows go on to the rounds of pivots; no link is lost by that."""
+    monkeypatch.setattr(near_dup, "SHORT", 4)
+    seen, opened = [], near_dup._open_lists
+
+    def recorded(lists, labels):
+        seen.extend(r["count"] + 1 for r in lists.groupBy("value").count().collect())  # and the head
+        return opened(lists, labels)
+
+    monkeypatch.setattr(near_dup, "_open_lists", recorded)
+    r = random.Random(8)
+    passage, rows = prose(77, 12, 10_000).split(), []
+    for g in range(5):
+        words = prose(100 + g, 150, 3000).split()
+        for i in range(4):  # chains; the least id is not near all others
+            words = words[:]
+            for _ in range(7):
+                words[r.randrange(150)] = f"c{g}x{i}x{r.random()}"
+            rows.append(row(len(rows) + 1, " ".join(words + passage[3 * (g % 3) :])))
+    r.shuffle(rows)
+    check_near(spark, rows, 2)
+    assert all(n > 4 for n in seen)
+
+
 def test_shared_values_bound():
     assert near_dup.shared_values(near_dup.K, 80) <= near_dup.K * 0.8
     values = [near_dup.shared_values(n, 80) for n in (64, 100, 300, 1000, 10**6)]
