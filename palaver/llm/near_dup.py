@@ -236,6 +236,18 @@ def _rarest(rarity: np.ndarray):
     return run
 
 
+def _rarest_members(size: int, percent: int, rarity: np.ndarray):
+    members, rarest = _members(size), _rarest(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in members(batches):
+            n = np.diff(batch.column("items").offsets.to_numpy()).astype(np.int64)
+            need = -(-n * percent // 100)
+            yield from rarest([pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(need)], ["doc_id", "items", "n", "need"])])
+
+    return run
+
+
 def _lists(sets: DataFrame) -> DataFrame:
     """(value, doc_id, n): the lists of the rarest values of each document.
 
@@ -250,9 +262,10 @@ def _lists(sets: DataFrame) -> DataFrame:
 
 def _full_lists(docs: DataFrame, reps: DataFrame, ids: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The lists over the full sets of some documents: exact, as linked sets share percent of the larger one."""
-    sets = only(docs.select("doc_id", "text"), ids, "doc_id").mapInArrow(_members(shingle), "doc_id long, items array<long>")
-    n = F.size("items").cast("long")
-    return _lists(sets.select("doc_id", "items", n.alias("n"), F.ceil(n * percent / 100).cast("int").alias("need")))
+    texts = only(docs.select("doc_id", "text"), ids, "doc_id")
+    rarity = _rarity(texts.mapInArrow(_members(shingle), "doc_id long, items array<long>").select(F.explode("items").alias("value")))
+    # one function makes the sets and picks from them: two would keep twice the workers in an executor
+    return texts.mapInArrow(_rarest_members(shingle, percent, rarity), "value long, doc_id long, n long")
 
 
 def _relabelled(labels: DataFrame | None, good: DataFrame) -> DataFrame:
@@ -316,9 +329,8 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
             if members.limit(1).count():
                 again = _full_lists(docs, reps, members, shingle, percent)
                 # a hash names a list of full sets, so that it is not taken for the sketches' list of the same value
-                again = again.withColumn("value", F.xxhash64("value"))
-                lists = stored(lists.join(crowded, "value", "left_anti").unionByName(again), "lists")
-                now = _open_lists(lists, labels)
+                again = _open_lists(again.withColumn("value", F.xxhash64("value")), labels)
+                now = now.where(C("others") <= CROWDED).unionByName(again)
         rest = now.where("label <> main").select("value", "doc_id", "n", "label")
         # lists of one group choose the same pivots
         rank = F.row_number().over(W.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -346,6 +358,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists with members of several components, each member's component, the largest one, and how many are in the others."""
     now = lists.join(checked_broadcast(labels, BROADCAST_IDS), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    now = stored(now, "labelled")  # read twice
     groups = now.groupBy("value", "label").agg(F.count("*").alias("k"))
     main = groups.groupBy("value").agg(F.count("*").alias("groups"), F.sum("k").alias("total"), F.max(F.struct("k", "label")).alias("top")).where("groups > 1")
     main = main.select("value", C("top.label").alias("main"), (C("total") - C("top.k")).alias("others"))

@@ -91,6 +91,17 @@ def test_short_lists_meet_as_pairs(spark, monkeypatch):
     assert all(n > 4 for n in seen)
 
 
+def test_full_lists_take_one_python_step(spark):
+    """Sets are made and picked from by one function; of a set of n values a linked one holds percent at least."""
+    rows = [row(1, prose(1, 60)), row(2, prose(2, 3)), row(3, None), row(4, prose(3, 40))]
+    docs = frame(spark, rows)
+    found = near_dup._full_lists(docs, None, docs.select("doc_id"), 2, 80)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    size = {r[0]: len(shingles(r[1], 2)) for r in rows}
+    listed = collections.Counter((r.doc_id, r.n) for r in found.collect())
+    assert listed == {(d, n): n - -(-n * 80 // 100) + 1 for d, n in size.items() if n}
+
+
 def test_shared_values_bound():
     assert near_dup.shared_values(near_dup.K, 80) <= near_dup.K * 0.8
     values = [near_dup.shared_values(n, 80) for n in (64, 100, 300, 1000, 10**6)]
