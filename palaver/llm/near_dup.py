@@ -19,8 +19,9 @@
    their values, which documents that only have a passage in common do not.
    Then the members outside the main component of a list are taken as pivots,
    64, 512, ... per list and round, and compared with the members of other
-   components, until none is left.  No link between different components is
-   lost, and a group of n copies costs about n comparisons.
+   components, until none is left.  Near documents share most of their lists, and
+   a pair of them is formed in the first one only.  No link between different
+   components is lost, and a group of n copies costs about n comparisons.
 4. A pair must pass set sizes and two bit strings.  Of one bit of the least hash
    in each of 128 bins, a tenth differ at the threshold and half between unrelated
    sets.  Of the parities of 512 further bins, no more can differ than the sets
@@ -51,6 +52,7 @@ ODD = SIGNS[BITS // 64 :]  # those of the parities
 MISS = 1e-9  # probability that a link at the threshold shares fewer sketch values than asked for
 PIVOTS = 64  # members of a list that its others are compared with in the first of these rounds
 SHORT = 16  # members of a list up to which its pairs are listed, by sizes, instead of its members meeting pivots
+FIRST = 16  # least lists of a member that tell whether a pair has met in an earlier list
 CROWDED = 64  # members outside the main component above which a list is built anew from full sets
 PERCENT = 80
 BUCKETS = 1 << 20  # of values, in which their rarity is counted
@@ -339,14 +341,32 @@ def links(docs: DataFrame, reps: DataFrame, *, shingle: int = 5, percent: int =
             return found, labels
         # pivots meet all members, so they leave their lists, and lists without other members outside the main component close
         lists = now.where(C("others") > pivots).select("value", "doc_id", "n").join(chosen.select("value", "doc_id"), ["value", "doc_id"], "left_anti")
-        p = chosen.join(bits, "doc_id").select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", *bits.columns[1:])])
-        meeting = now.select("value", "doc_id", "n", "label").join(chosen.select("value").distinct(), "value", "left_semi").join(bits, "doc_id")
-        pairs = meeting.join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_"))
-        pairs = stored(pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "met")
+        meeting = now.select("value", "doc_id", "n", "label").join(chosen.select("value").distinct(), "value", "left_semi")
+        pairs = stored(_met(meeting, chosen, bits, percent).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct(), "met")
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         pivots *= 8
 
 
+def _first_lists(members: DataFrame) -> DataFrame:
+    """(doc_id, n, firsts): the FIRST least lists of each member; texts that share a doc_id are told apart by their sizes."""
+    rank = F.row_number().over(W.partitionBy("doc_id", "n").orderBy("value"))
+    return members.select("doc_id", "n", "value", rank.alias("rank")).where(C("rank") <= FIRST).groupBy("doc_id", "n").agg(F.collect_list("value").alias("firsts"))
+
+
+def _met(members: DataFrame, pivots: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(p, doc_id): pivots and members of other components that share a list, where sizes, bits and parities allow a link.
+
+    Near documents share most of their lists, but a pair is formed in the least
+    one: a list passes it over when both have a smaller list in common among
+    their first ones, where p is a pivot, too.
+    """
+    signs = bits.columns[1:]
+    ends = [side.join(_first_lists(side).join(bits, "doc_id"), ["doc_id", "n"]) for side in (members, pivots)]
+    p = ends[1].select("value", C("doc_id").alias("p"), C("label").alias("pl"), *[C(c).alias(f"p_{c}") for c in ("n", "firsts", *signs)])
+    unmet = F.coalesce(F.array_min(F.array_intersect("firsts", "p_firsts")) >= C("value"), F.lit(True))
+    return ends[0].join(p, "value").where((C("label") != C("pl")) & _fits(percent, "p_") & unmet).select("p", "doc_id")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     for end in ("a", "b"):

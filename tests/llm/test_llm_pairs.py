@@ -91,6 +91,35 @@ def test_short_lists_meet_as_pairs(spark, monkeypatch):
     assert all(n > 4 for n in seen)
 
 
+def test_pivots_meet_a_member_in_one_list(spark, monkeypatch):
+    """Near documents share most of their lists; a pair of them is formed about once, and no link is lost by that."""
+    monkeypatch.setattr(near_dup, "SHORT", 2)
+    monkeypatch.setattr(near_dup, "PIVOTS", 4)
+    made, pairs, met = [], [], near_dup._met
+
+    def recorded(*args):
+        found = met(*args).cache()
+        rows = [(x.p, x.doc_id) for x in found.collect()]
+        made.append(len(rows))
+        pairs.append(len({frozenset(x) for x in rows}))
+        return found
+
+    monkeypatch.setattr(near_dup, "_met", recorded)
+    r = random.Random(5)
+    rows = []
+    for g in range(2):
+        base = prose(50 + g, 800, 5000).split()
+        for i in range(25):  # copies of a text that is not there: about as far from each other as the threshold
+            words = base[:]
+            for j in r.sample(range(800), 21 + i % 8):
+                words[j] = f"e{g}x{i}x{j}"
+            rows.append(row(100 * g + i + 1, " ".join(words)))
+    rows += [row(105, rows[3][1] + " one more"), row(7, rows[30][1] + " two more")]  # ids that have two texts
+    r.shuffle(rows)
+    check_near(spark, rows, 2)
+    assert sum(pairs) > 50 and sum(made) <= 3 * sum(pairs)
+
+
 def test_full_lists_take_one_python_step(spark):
     """Sets are made and picked from by one function; of a set of n values a linked one holds percent at least."""
     rows = [row(1, prose(1, 60)), row(2, prose(2, 3)), row(3, None), row(4, prose(3, 40))]
